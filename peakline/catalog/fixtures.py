@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakline.config import DetectConfig
+from peakline.operators.cut import cut
 from peakline.operators.extract import sample_to_grid
 
 USERS_PER_GAME = 38
@@ -45,7 +46,7 @@ def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two cameras per game, 4,320 ten-minute bins taken as samples."""
     grid = sample_to_grid(timed_events(spark, sf_dir), 1.0 / 600.0, values=["net", "slot", "audio"], n_samples=GRID)
-    return grid.select("game_id", "cam", "idx", *[F.col(c).cast("double").alias(c) for c in ("net", "slot", "audio")])
+    return cut(grid.select("game_id", "cam", "idx", *[F.col(c).cast("double").alias(c) for c in ("net", "slot", "audio")]))
 
 
 def markers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ CHUNK = "_chunk"
 HOME = "_home"
 DEFAULT_CHUNK = 3600
 FAN_OUT = 4096
+FEW_BUCKETS = 100_000
 
 
 def floor_div(col: Column, size: int) -> Column:
@@ -79,15 +80,19 @@ _PREFIX = {
 
 
 def bucket_prefix(summary: DataFrame, keys: Sequence[str], bucket: str, value: str, how: str,
-                  out: str, backwards: bool = False) -> DataFrame:
+                  out: str, backwards: bool = False, buckets: int | None = None) -> DataFrame:
     """For each (keys, bucket) row, fold `value` over all earlier buckets of the same keys.
 
     `how` is max, sum or last (nearest non-null). `backwards` folds over later buckets instead.
-    Two levels keep every window small: buckets inside a block of FAN_OUT, then blocks.
+    Two levels keep every window small: buckets inside a block of FAN_OUT, then blocks. Where the
+    caller has counted that no key has more than FEW_BUCKETS `buckets`, one window does.
     """
     step = F.col(bucket).desc() if backwards else F.col(bucket).asc()
     block_step = F.col("_block").desc() if backwards else F.col("_block").asc()
     fold = _PREFIX[how]
+    if buckets is not None and buckets <= FEW_BUCKETS:
+        seen = fold(F.col(value), Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
+        return summary.withColumn(out, F.coalesce(seen, F.lit(0).cast("long")) if how == "sum" else seen)
     blocks = summary.withColumn("_block", floor_div(F.col(bucket), FAN_OUT))
     inside = Window.partitionBy(*keys, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy(block_step).rowsBetween(Window.unboundedPreceding, -1)

@@ -96,7 +96,8 @@ def normalize_markers(raw: DataFrame, fps: int) -> DataFrame:
 
 def number_by_frame(df: DataFrame, frame: str, name: str) -> DataFrame:
     """Position within a game by (frame, seq)."""
-    levels = [("_f12", floor_div(F.col(frame), 4096)), ("_f0", F.col(frame)), ("_s16", floor_div(F.col("seq"), 65536))]
+    place = F.struct(F.col(frame).alias("f"), floor_div(F.col("seq"), 65536).alias("s"))
+    levels = [("_block", floor_div(F.col(frame), 256)), ("_place", place)]
     return number_rows(df, ["game_id"], levels, ["seq"], name)
 
 

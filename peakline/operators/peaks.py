@@ -15,36 +15,61 @@ from peakline.operators.cut import cut
 from peakline.operators.kernels import DROPPED, KEPT, WAITING, resolve
 
 
-def maxima_from_profile(profile: DataFrame, col: str = "smooth", carry: Sequence[str] = ()) -> DataFrame:
-    """Strict local maxima of rows that already know `prev` and `_chunk`.
+# Marks on `top`: not a maximum, a maximum, and the end of a flat top that began in an earlier chunk.
+_NO_TOP, _TOP, _OPEN_TOP = 0, 1, 2
 
-    A flat top counts once, at (left + right) div 2; the two ends of a series never count. Only rows
-    where the value changes matter: a run ends one sample before the next change. Within a chunk
-    that is the next change row; for the last run of a chunk it is the first change row of a later
-    chunk, read from a summary with one row per chunk.
+
+def mark_tops(spread: DataFrame, col: str) -> DataFrame:
+    """Add `rise`, `left` and `top` to chunked rows that see one row beyond each chunk edge.
+
+    A flat top is recognised at its last sample: the next value is lower and the run rose at its
+    start. `rise` tells whether the value went up or down here (null where it stayed), `left` is
+    where the current run began.
+    """
+    rows = chunk_window()
+    before, after = F.lag(col).over(rows), F.lead(col).over(rows)
+    rise = F.when(before != F.col(col), F.col(col) > before).when(before.isNull() & (F.col("idx") == 0), F.lit(False))
+    marked = spread.withColumn("rise", rise).withColumn("_falls", after < F.col(col))
+    turn = F.when(F.col("rise").isNotNull(), F.struct("idx", "rise"))
+    marked = marked.withColumn("_run", F.last(turn, ignorenulls=True).over(
+        rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    top = (F.when(F.col("_falls") & F.col("_run").isNull(), F.lit(_OPEN_TOP))
+           .when(F.col("_falls") & F.col("_run.rise"), F.lit(_TOP)).otherwise(F.lit(_NO_TOP)))
+    return marked.withColumn("top", top).withColumn("left", F.col("_run.idx")).drop("_run", "_falls")
+
+
+def tops_of(marked: DataFrame, col: str, carry: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+    """(keys, _chunk, idx, left, right, value) of the local maxima in marked rows.
+
+    Tops that began in an earlier chunk, one per chunk at most, look their start up in a summary of
+    the last change of each chunk. `chunks` is the number of chunks of the longest series, if known.
     """
-    changes = (profile.filter(F.col("prev").isNull() | (F.col(col) != F.col("prev")))
-               .select(*SERIES, CHUNK, F.col("idx").alias("left"), F.col(col).alias("value"), "prev", *carry))
-    turn = F.struct(F.col("left").alias("at"), "value")
-    firsts = changes.groupBy(*SERIES, CHUNK).agg(F.min_by(turn, F.col("left")).alias("_first"))
-    later = bucket_prefix(firsts, SERIES, CHUNK, "_first", "last", "_later", backwards=True).drop("_first")
-    within = Window.partitionBy(*SERIES, CHUNK).orderBy("left")
-    nxt = F.coalesce(F.lead(turn).over(within), F.col("_later"))
-    return (changes.join(later, [*SERIES, CHUNK], "left").withColumn("_next", nxt)
-            .filter((F.col("value") > F.col("prev")) & (F.col("_next.value") < F.col("value")))
-            .withColumn("right", F.col("_next.at") - 1)
-            .select(*SERIES, CHUNK, floor_div(F.col("left") + F.col("right"), 2).alias("idx"),
-                    "left", "right", "value", *carry))
+    def table(rows: DataFrame, left) -> DataFrame:
+        return rows.select(*SERIES, CHUNK, floor_div(left + F.col("idx"), 2).alias("idx"), left.alias("left"),
+                           F.col("idx").alias("right"), F.col(col).alias("value"), *carry)
+
+    done = table(marked.filter(F.col("top") == _TOP), F.col("left"))
+    waiting = marked.filter(F.col("top") == _OPEN_TOP)
+    if waiting.isEmpty():
+        return done
+    turn = F.struct("idx", "rise")
+    turns = (marked.filter(F.col("rise").isNotNull()).select(*SERIES, CHUNK, turn.alias("_turn"))
+             .unionByName(waiting.select(*SERIES, CHUNK, F.when(F.lit(False), turn).alias("_turn")))
+             .groupBy(*SERIES, CHUNK).agg(F.max("_turn").alias("_turn")))
+    runs = bucket_prefix(turns, SERIES, CHUNK, "_turn", "last", "_run", buckets=chunks).drop("_turn")
+    resumed = waiting.join(runs, [*SERIES, CHUNK]).filter(F.col("_run.rise"))
+    return done.unionByName(table(resumed, F.col("_run.idx")))
 
 
 def local_maxima(df: DataFrame, col: str = "smooth", carry: Sequence[str] = (), chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """(keys, idx, left, right, value) of every strict local maximum of a series.
 
-    `carry` columns are those of the first sample of the top.
+    A flat top counts once, at (left + right) div 2; the two ends of a series never count. `carry`
+    columns are those of the last sample of the top.
     """
-    spread = with_halo(df.select(*SERIES, "idx", col, *[c for c in carry if c != col]), chunk, before=1, after=0)
-    profile = spread.withColumn("prev", F.lag(col).over(chunk_window())).filter(HOME)
-    return maxima_from_profile(profile, col, carry).drop(CHUNK)
+    spread = with_halo(df.select(*SERIES, "idx", col, *[c for c in carry if c != col]), chunk, before=1, after=1)
+    marked = mark_tops(spread, col).filter(F.col(HOME) & (F.col("rise").isNotNull() | (F.col("top") > 0)))
+    return tops_of(cut(marked), col, carry).drop(CHUNK)
 
 
 def peaks_above(df: DataFrame, height, col: str = "value") -> DataFrame:

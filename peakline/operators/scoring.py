@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peakline.config import DetectConfig
 from peakline.operators.chunks import CHUNK, SERIES, explode_range, floor_div, with_chunk
-from peakline.operators.peaks import maxima_from_profile, suppress_by_distance
+from peakline.operators.peaks import suppress_by_distance
 from peakline.operators.signals import EPS
 
 WINDOW_KEYS = ["game_id", "window_id", "cam"]
@@ -23,13 +23,12 @@ def window_pieces(windows: DataFrame, cfg: DetectConfig) -> DataFrame:
     return explode_range(sides, floor_div(F.col("a"), size), floor_div(F.col("b") - 1, size), CHUNK)
 
 
-def window_samples(windows: DataFrame, series: DataFrame, cfg: DetectConfig) -> DataFrame:
+def window_samples(pieces: DataFrame, series: DataFrame, cfg: DetectConfig) -> DataFrame:
     """Samples of each camera inside each window; a boundary sample may belong to two windows.
 
-    Equi-join on (game, cam, chunk), the partitioning of the series, with the range as a residual
-    condition: merged windows do not overlap, so few windows share a chunk.
+    Equi-join of `window_pieces` on (game, cam, chunk) with the range as a residual condition:
+    merged windows do not overlap, so few windows share a chunk.
     """
-    pieces = window_pieces(windows, cfg)
     samples = with_chunk(series, cfg.segment_samples)
     inside = (F.col("idx") >= F.col("a")) & (F.col("idx") < F.col("b"))
     return samples.join(pieces, [*SERIES, CHUNK]).filter(inside)
@@ -59,16 +58,15 @@ def window_max(windows: DataFrame, samples: DataFrame) -> DataFrame:
                     F.coalesce(-F.col("_top.at"), zero).alias("argmax")))
 
 
-def window_rebound(windows: DataFrame, profile: DataFrame, stats: DataFrame, cfg: DetectConfig, **how) -> DataFrame:
+def window_rebound(pieces: DataFrame, tops: DataFrame, stats: DataFrame, cfg: DetectConfig, **how) -> DataFrame:
     """min(3, peaks >= 0.8 of the maximum, spaced) / 3 per window and camera; 0 for 5 samples or fewer.
 
     A peak of the slice is a peak of the series whose top and both neighbours lie in the slice, so
-    the maxima are found once per series, not once per window.
+    the maxima (`tops`, with their chunk) are found once per series, not once per window.
     """
-    tops = maxima_from_profile(profile, "smooth")
     inside = (F.col("left") > F.col("a")) & (F.col("right") + 1 < F.col("b"))
     heights = stats.filter(F.col("n") > 5).select(*WINDOW_KEYS, "max_attack")
-    candidates = (tops.join(window_pieces(windows, cfg), [*SERIES, CHUNK]).filter(inside)
+    candidates = (tops.join(pieces.select(*WINDOW_KEYS, CHUNK, "a", "b"), [*SERIES, CHUNK]).filter(inside)
                   .join(heights, WINDOW_KEYS)
                   .filter(F.col("value") >= F.col("max_attack") * F.lit(0.80))
                   .select(*WINDOW_KEYS, "idx", "value"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from peakline.config import DetectConfig
 from peakline.operators.chunks import (
     CHUNK, DEFAULT_CHUNK, HOME, SERIES, attach_by_chunk, chunk_window, floor_div, with_chunk, with_halo)
+from peakline.operators.peaks import mark_tops
 from peakline.operators.percentiles import exact_percentiles, percentile_name
 
 EPS = 1e-6
@@ -109,27 +110,32 @@ def global_threshold(df: DataFrame, pct: float, col: str = "smooth", chunk: int
 
 
 def attack_profile(signals: DataFrame, cfg: DetectConfig, fused: bool, longest: int | None = None) -> DataFrame:
-    """Everything the detectors need per sample, from one shuffle of the signals.
+    """Everything the detectors need per sample, from one shuffle and one sort of the signals.
 
-    Columns: raw, smooth, prev (the smooth value before, null at the start) and fwd_min (minimum of
-    smooth over the next `drop_samples` samples), partitioned by (game_id, cam, _chunk).
+    Columns: smooth, fwd_min (minimum of smooth over the next `drop_samples` samples), segment_level
+    (the threshold percentile of the sample's segment) and the marks of `mark_tops`.
     """
     before, after = frame_rows(cfg.smooth_win)
-    ahead = max(1, cfg.drop_samples) - 1
+    ahead = max(1, cfg.drop_samples - 1)
+    size = cfg.segment_samples
     audio = fused and cfg.audio_weight > 0
     blended = blend_rois(signals, cfg.net_share, cfg.slot_share).select(*SERIES, "idx", "flow", *(["audio"] if audio else []))
-    spread = with_halo(blended, cfg.segment_samples, before + 1, after + ahead)
+    spread = with_halo(blended, size, before + 1, after + ahead)
     raw = F.col("flow")
     if fused:
-        scalars = _fuse_scalars(with_chunk(blended, cfg.segment_samples), cfg.audio_weight, longest)
+        scalars = _fuse_scalars(with_chunk(blended, size), cfg.audio_weight, longest)
         spread = attach_by_chunk(spread, scalars, SERIES, "last_chunk")
         raw = _fused(cfg.flow_weight, cfg.audio_weight)
-    rows = chunk_window()
     smooth = _moving_average("raw", cfg.smooth_win) if cfg.smooth_win > 1 else round9(F.col("raw"))
-    return (spread.select(*SERIES, CHUNK, HOME, "idx", raw.alias("raw")).withColumn("smooth", smooth)
-            .withColumn("prev", F.lag("smooth").over(rows))
-            .withColumn("fwd_min", F.min("smooth").over(rows.rowsBetween(0, ahead)))
-            .filter(HOME).drop(HOME))
+    # Smooth values are right where the whole frame is visible: one row before the chunk, `ahead` after it.
+    first = F.col(CHUNK) * F.lit(size)
+    whole = (F.col("idx") >= first - 1) & (F.col("idx") < first + size + ahead)
+    smoothed = spread.select(*SERIES, CHUNK, HOME, "idx", raw.alias("raw")).withColumn("smooth", smooth).filter(whole)
+    forward = chunk_window().rowsBetween(0, max(1, cfg.drop_samples) - 1)
+    segment = F.percentile(F.when(F.col(HOME), F.col("smooth")), cfg.thresh_pct / 100.0)
+    return (mark_tops(smoothed.withColumn("fwd_min", F.min("smooth").over(forward)), "smooth")
+            .withColumn("segment_level", segment.over(Window.partitionBy(*SERIES, CHUNK)))
+            .filter(HOME).select(*SERIES, CHUNK, "idx", "smooth", "fwd_min", "segment_level", "rise", "left", "top"))
 
 
 def series_p99(attack: DataFrame, col: str = "smooth", cameras: DataFrame | None = None,

@@ -44,22 +44,23 @@ def merge_intervals(intervals: DataFrame, gap_s: float, keys: tuple[str, ...] =
     keys = list(keys)
     rows = cut(intervals.select(*keys, "start_s", "end_s").withColumn(
         "_hour", F.floor(F.col("start_s") / F.lit(BUCKET_S)).cast("long")))
+    first, last = rows.agg(F.min("_hour"), F.max("_hour")).first()
+    hours = 0 if first is None else last - first + 1
     in_hour = Window.partitionBy(*keys, "_hour").orderBy("start_s", "end_s").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy(*keys, "_hour").agg(F.max("end_s").alias("_end"))
-    ended = bucket_prefix(ends, keys, "_hour", "_end", "max", "_ended").drop("_end")
+    ended = bucket_prefix(ends, keys, "_hour", "_end", "max", "_ended", buckets=hours).drop("_end")
     rows = rows.join(ended, [*keys, "_hour"], "left")
     before = F.greatest(F.max("end_s").over(in_hour), F.col("_ended"))
     rows = rows.withColumn("_before", before).withColumn(
         "_opens", F.when(F.col("_before").isNull() | (F.col("start_s") > F.col("_before") + F.lit(gap_s)), F.col("start_s")))
     opened = rows.groupBy(*keys, "_hour").agg(F.max("_opens").alias("_last"))
-    opened = bucket_prefix(opened, keys, "_hour", "_last", "last", "_open").drop("_last")
+    opened = bucket_prefix(opened, keys, "_hour", "_last", "last", "_open", buckets=hours).drop("_last")
     so_far = Window.partitionBy(*keys, "_hour").orderBy("start_s", "end_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = cut(rows.join(opened, [*keys, "_hour"], "left")
                  .withColumn("_island", F.coalesce(F.max("_opens").over(so_far), F.col("_open")))
                  .groupBy(*keys, F.col("_island").alias("start_s")).agg(F.max("end_s").alias("end_s")))
     hour = F.floor(F.col("start_s") / F.lit(BUCKET_S)).cast("long")
-    return number_rows(merged, keys, [("_day", F.floor(hour / F.lit(1024)).cast("long")), ("_hour", hour)],
-                       ["start_s"], "window_id").select(*keys, "window_id", "start_s", "end_s")
+    return number_rows(merged, keys, [("_hour", hour)], ["start_s"], "window_id").select(*keys, "window_id", "start_s", "end_s")
 
 
 def sanitize_windows(windows: DataFrame, min_s: float = 0.5) -> DataFrame:

@@ -18,18 +18,33 @@ from peakline.operators import timeline as TL
 from peakline.operators import windows as WN
 from peakline.operators.chunks import CHUNK, SERIES, attach_by_chunk
 from peakline.operators.cut import cut
-from peakline.operators.peaks import maxima_from_profile
+from peakline.operators.peaks import tops_of
 from peakline.operators.percentiles import exact_percentiles, longest_series, percentile_name
 from peakline.operators.signals import attack_profile, segment_of
 
 MIN_SAMPLES = 10
 
 
+@dataclass(frozen=True)
+class Attack:
+    """The per-sample profile and the scalars of each series (n, level, p99).
+
+    `level` is the threshold of the whole series (version 1) or its floor (version 2).
+    """
+
+    samples: DataFrame
+    scalars: DataFrame
+    chunks: int
+
+    def tops(self, carry: tuple[str, ...] = ()) -> DataFrame:
+        return tops_of(self.samples, "smooth", carry, self.chunks)
+
+
 @dataclass(frozen=True)
 class Detection:
     """The tables of one detection run."""
 
-    attack: DataFrame
+    attack: Attack
     candidates: DataFrame
     peaks: DataFrame
     merged: DataFrame
@@ -38,44 +53,46 @@ class Detection:
     scored: DataFrame
 
 
-def prepare(signals: DataFrame, cfg: DetectConfig, version: int) -> DataFrame:
-    """Per-sample profile with the series' scalars: n, p99 and `level`.
-
-    `level` is the threshold of the whole series (version 1) or its floor (version 2).
-    """
+def prepare(signals: DataFrame, cfg: DetectConfig, version: int) -> Attack:
     longest = longest_series(signals)
-    profile = cut(attack_profile(signals, cfg, fused=version == 2, longest=longest))
+    samples = cut(attack_profile(signals, cfg, fused=version == 2, longest=longest))
     pct = cfg.floor_pct if version == 2 else cfg.thresh_pct
-    scalars = exact_percentiles(profile.select(*SERIES, CHUNK, "smooth"), {"smooth": [pct, 99.0]}, longest=longest)
+    scalars = exact_percentiles(samples.select(*SERIES, CHUNK, "smooth"), {"smooth": [pct, 99.0]}, longest=longest)
     scalars = scalars.select(*SERIES, "last_chunk", F.col("smooth_n").alias("series_n"),
                              F.col(percentile_name("smooth", pct)).alias("level"),
                              F.col(percentile_name("smooth", 99.0)).alias("p99"))
-    return attach_by_chunk(profile, scalars, SERIES, "last_chunk")
-
+    return Attack(samples, scalars, longest // cfg.segment_samples + 1)
 
-def segment_thresholds(attack: DataFrame, cfg: DetectConfig) -> DataFrame:
-    """One threshold per (game, cam, segment); grouped on the partitioning the profile has."""
-    segment = F.percentile(F.col("smooth"), cfg.thresh_pct / 100.0)
-    return (attack.groupBy(*SERIES, CHUNK).agg(segment.alias("_segment"), F.max("level").alias("_level"))
-            .select(*SERIES, F.col(CHUNK).alias("_segment_no"), F.greatest("_segment", "_level").alias("threshold")))
 
+def peak_candidates(attack: Attack, cfg: DetectConfig, version: int) -> DataFrame:
+    """Local maxima at or above their threshold, of series with enough samples.
 
-def peak_candidates(attack: DataFrame, cfg: DetectConfig, version: int) -> DataFrame:
-    """Local maxima at or above their threshold, of series with enough samples."""
-    tops = maxima_from_profile(attack, "smooth", carry=("level", "series_n"))
-    tops = tops.filter((F.col("series_n") >= MIN_SAMPLES) & (F.col("value") >= F.col("level"))).drop(CHUNK)
+    The segment's own percentile is already in the profile and removes nearly all maxima before
+    anything is joined; only flat tops whose middle lies in another segment look theirs up.
+    """
+    tops = attack.tops(("segment_level",))
     if version == 2:
-        # The floor has removed most maxima; the rest meet the threshold of the middle of their top.
-        tops = (tops.withColumn("_segment_no", segment_of(F.col("idx"), cfg))
-                .join(segment_thresholds(attack, cfg), [*SERIES, "_segment_no"])
-                .filter(F.col("value") >= F.col("threshold")))
-    return tops.select(*SERIES, "idx", "value")
-
-
-def score(windows: DataFrame, attack: DataFrame, cfg: DetectConfig) -> DataFrame:
+        elsewhere = segment_of(F.col("idx"), cfg) != F.col(CHUNK)
+        own = tops.filter(~elsewhere & (F.col("value") >= F.col("segment_level"))).drop("segment_level")
+        far = tops.filter(elsewhere).drop("segment_level")
+        if not far.isEmpty():
+            levels = attack.samples.groupBy(*SERIES, CHUNK).agg(F.max("segment_level").alias("segment_level"))
+            far = (far.withColumn(CHUNK, segment_of(F.col("idx"), cfg)).join(levels, [*SERIES, CHUNK])
+                   .filter(F.col("value") >= F.col("segment_level")).drop("segment_level"))
+            own = own.unionByName(far)
+        tops = own
+    return (attach_by_chunk(tops, attack.scalars, SERIES, "last_chunk")
+            .filter((F.col("series_n") >= MIN_SAMPLES) & (F.col("value") >= F.col("level")))
+            .select(*SERIES, "idx", "value"))
+
+
+def score(windows: DataFrame, attack: Attack, cfg: DetectConfig) -> DataFrame:
     """Statistics per camera, camera choice, score, colour and duration cap."""
-    stats = cut(S.window_stats(S.window_samples(windows, attack, cfg), extra=("p99",)))
-    stats = S.window_rebound(windows, attack, stats, cfg)
+    p99 = attack.scalars.select(*SERIES, "last_chunk", "p99")
+    pieces = cut(attach_by_chunk(S.window_pieces(windows, cfg), p99, SERIES, "last_chunk"))
+    samples = attack.samples.select(*SERIES, CHUNK, "idx", "smooth", "fwd_min")
+    stats = cut(S.window_stats(S.window_samples(pieces, samples, cfg), extra=("p99",)))
+    stats = S.window_rebound(pieces, attack.tops(), stats, cfg)
     scored = S.score_windows(S.choose_camera(windows, stats), cfg)
     capped = WN.cap_duration(WN.with_color(scored), cfg)
     return capped.select("game_id", "window_id", "start_s", "end_s", "score", "primary_cam", "conf", "color")
@@ -113,10 +130,9 @@ def markers_v2(signals: DataFrame, cfg: DetectConfig) -> DataFrame:
     return markers_of(detect_v2(signals, cfg), cfg)
 
 
-def peak_windows(signals_or_attack: DataFrame, cfg: DetectConfig, version: int = 2) -> DataFrame:
+def peak_windows(signals: DataFrame, cfg: DetectConfig, version: int = 2) -> DataFrame:
     """Peaks of each camera with their windows."""
-    attack = signals_or_attack if "level" in signals_or_attack.columns else prepare(signals_or_attack, cfg, version)
-    return WN.spaced_peak_windows(peak_candidates(attack, cfg, version), cfg)
+    return WN.spaced_peak_windows(peak_candidates(prepare(signals, cfg, version), cfg, version), cfg)
 
 
 def detection_summary(run: Detection, cfg: DetectConfig) -> DataFrame:
