@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from peakline.config import DetectConfig
 from peakline.operators.cut import cut
 from peakline.operators.extract import sample_to_grid
+from peakline.operators.markers import normalize_markers
 
 USERS_PER_GAME = 38
 GRID = 4320
@@ -63,3 +64,79 @@ def markers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("score=1.20 conf=0.40 win="), (i % 30).cast("string"), F.lit("."), (i % 10).cast("string"), F.lit("s"))).alias("Note"),
         F.when(i % 5 == 0, "").when(i % 5 == 1, "Blue").when(i % 5 == 2, "Yellow").when(i % 5 == 3, "Orange").otherwise("Red").alias("Color"),
         F.when(i % 9 == 0, "n/a").otherwise((i % 1500).cast("string")).alias("Duration"))
+
+
+def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize_markers(markers_raw(spark, sf_dir), CFG.timeline_fps)
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recording paths per user; some folders lack a camera and camera 3 is noise."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("/games/"), F.col("user_id").cast("string"), F.lit("/g"), F.col("event_id").cast("string"),
+                             F.lit("_cam"), (F.col("event_id") % 3 + 1).cast("string"), F.lit(".mp4")).alias("path"))
+
+
+def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as samples of one recording: a single series that holds every row."""
+    e = table(spark, sf_dir, "events")
+    amp = F.floor(F.col("value").cast("decimal(18,2)") * 100).cast("int") - 5000
+    return e.select(F.lit(0).alias("game_id"), F.lit(1).alias("cam"), F.col("event_id").alias("sample_idx"), amp.alias("amp"))
+
+
+def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ln = table(spark, sf_dir, "lineitem")
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    return ln.select("l_orderkey", "l_linenumber",
+                     (F.col("l_partkey") % 2200 - 100).cast("int").alias("x1"), (F.col("l_suppkey") * 13 % 1300 - 50).cast("int").alias("y1"),
+                     (order * 7 % 2200 - 100).cast("int").alias("x2"), ((order * 97 + line) % 1300 - 50).cast("int").alias("y2"))
+
+
+def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rectangles per game, many of them outside a 1920 x 1080 picture."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.floor(k / 4).cast("int").alias("game_id"), F.floor(k % 4 / 2 + 1).cast("int").alias("cam"),
+        F.when(k % 2 == 0, "net").otherwise("slot").alias("roi"),
+        (k * 37 % 2100 - 80).cast("int").alias("x"), (k * 53 % 1200 - 60).cast("int").alias("y"),
+        (k * 11 % 900).cast("int").alias("w"), (k * 7 % 700 - 20).cast("int").alias("h"))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 x 8 grey frames of two cameras."""
+    pixel = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((e.cast("double") + 0.5) * 255))).cast("smallint")
+    return _frame_keys(spark, sf_dir).select("game_id", "cam", "frame_idx", "width", "height", F.transform("embedding", pixel).alias("pixels"))
+
+
+def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frame_keys(spark, sf_dir).select("game_id", "cam", "frame_idx", "width", "height",
+                                             F.transform("embedding", lambda e: F.abs(e)).alias("mag"))
+
+
+def _frame_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(
+        F.lit(0).alias("game_id"), (v % 2 + 1).cast("int").alias("cam"), F.floor(v / 2).cast("long").alias("frame_idx"),
+        F.lit(8).alias("width"), F.lit(8).alias("height"), "embedding")
+
+
+def frame_rois(frames: DataFrame) -> DataFrame:
+    """A net and a slot per camera; the slot reaches over the picture's edge."""
+    def rect(roi, *numbers):
+        return F.struct(F.lit(roi).alias("roi"), *[F.lit(n).alias(c) for c, n in zip("xywh", numbers)])
+
+    both = F.explode(F.array(rect("net", 2, 2, 3, 3), rect("slot", 5, 5, 9, 9)))
+    return frames.select("game_id", "cam").distinct().select("game_id", "cam", both.alias("_r")).select("game_id", "cam", "_r.*")
+
+
+def clips(markers: DataFrame) -> DataFrame:
+    """One clip per block of frames that has a marker."""
+    block = F.floor(F.col("frame") / CLIP_FRAMES).cast("long")
+    return (markers.select("game_id", block.alias("clip_id")).distinct()
+            .select("game_id", "clip_id", (F.col("clip_id") * CLIP_FRAMES).alias("start_frame"), ((F.col("clip_id") + 1) * CLIP_FRAMES).alias("end_frame")))
+
+
+def merge_sides(markers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Source with repeats, and a destination that shares some markers with it."""
+    seq = F.col("seq")
+    return markers.filter(seq % 2 == 0).unionByName(markers.filter(seq % 10 == 0)), markers.filter(seq % 3 == 0)

@@ -102,9 +102,9 @@ def assign_angles(clips: DataFrame, ranges: DataFrame) -> DataFrame:
               .agg(F.min("_range").alias("_range")))
     # The longest range decides how many levels exist at all.
     longest = ranges.agg(F.max(F.col("end_frame") - F.col("start_frame")).alias("_longest")).scalar()
-    levels = F.filter(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), lambda k: (k == 0) | (_power(k) <= longest))
+    levels = F.filter(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), lambda k: (k == 0) | (_power(k) <= F.col("_longest")))
     middle = F.floor((F.col("start_frame") + F.col("end_frame")) / F.lit(2)).cast("long")
-    probes = (clips.withColumn("_level", F.explode(levels))
+    probes = (clips.withColumn("_longest", longest).withColumn("_level", F.explode(levels)).drop("_longest")
               .withColumn("_node", F.floor(middle / _power(F.col("_level"))).cast("long")))
     keys = clips.columns
     return (probes.join(blocks, ["game_id", "_level", "_node"], "left")
