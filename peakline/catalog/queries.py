@@ -302,7 +302,7 @@ def window_max(spark, sf_dir):
 
 @query("game_id:i window_id:i cam:i rebound:f")
 def window_rebound(spark, sf_dir):
-    return S.window_rebound(_pieces(spark, sf_dir), _detection(spark, sf_dir).attack.tops(), _stats(spark, sf_dir), CFG)
+    return S.window_rebound(_pieces(spark, sf_dir), _detection(spark, sf_dir).attack.tops, _stats(spark, sf_dir), CFG)
 
 
 @query("game_id:i window_id:i cam:i drop:f")
@@ -319,7 +319,7 @@ def choose_camera(spark, sf_dir):
 @query("game_id:i window_id:i score:f")
 def score_windows(spark, sf_dir):
     run = _detection(spark, sf_dir)
-    stats = S.window_rebound(_pieces(spark, sf_dir), run.attack.tops(), _stats(spark, sf_dir), CFG)
+    stats = S.window_rebound(_pieces(spark, sf_dir), run.attack.tops, _stats(spark, sf_dir), CFG)
     return S.score_windows(S.choose_camera(run.windows, stats), CFG)
 
 

@@ -19,6 +19,7 @@ HOME = "_home"
 DEFAULT_CHUNK = 3600
 FAN_OUT = 4096
 FEW_BUCKETS = 100_000
+SMALL_GROUP = 1_000_000  # rows of one key that a single window may sort
 
 
 def floor_div(col: Column, size: int) -> Column:
@@ -116,13 +117,22 @@ def bucket_prefix(summary: DataFrame, keys: Sequence[str], bucket: str, value: s
             .withColumn(out, merged).drop("_block", "_inner", "_outer"))
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; counted on the map side first."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str, Column]],
-                order: Sequence[str], name: str) -> DataFrame:
-    """1-based position of each row within `keys`, without a window over all rows of a key.
+                order: Sequence[str], name: str, small: int = SMALL_GROUP) -> DataFrame:
+    """1-based position of each row within `keys` by `order`.
 
-    `levels` are ever finer bucket expressions, each monotone in `order` within the one above it.
-    Counts per bucket are summed level by level; only the rows of one finest bucket share a window.
+    If the largest group has been counted and is small, a window over it will do. Otherwise no
+    window spans a key: `levels` are ever finer bucket expressions, each monotone in `order` within
+    the one above it; counts per bucket are summed level by level and only the rows of one finest
+    bucket share a window.
     """
+    if largest_group(df, keys) <= small:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     names = [n for n, _ in levels]
     bucketed = df
     for level, expr in levels:

@@ -15,14 +15,16 @@ KEPT, DROPPED, WAITING = 1, 2, 3
 def resolve(pos, group, order, distance, low, high):
     """Greedy choice among candidates sorted by (group, pos), visited in `order` (best first).
 
-    Candidates closer than `distance` to the edge of what is visible here may have rivals that are
-    not: they, and whatever depends on them, stay waiting.
+    `low` and `high` are the edges of what is visible around each candidate. Closer than `distance`
+    to an edge it may have rivals that are not visible: such candidates, and whatever depends on
+    them, stay waiting.
     """
     import numpy as np
 
     n = len(pos)
     state = np.zeros(n, dtype=np.int8)
     blocked = np.zeros(n, dtype=bool)
+    near_edge = ~((pos - low >= distance) & (high - pos >= distance))
     for i in order:
         if state[i] == DROPPED:
             continue
@@ -33,7 +35,7 @@ def resolve(pos, group, order, distance, low, high):
         right = i + 1
         while right < n and group[right] == g and pos[right] - p < distance:
             right += 1
-        if blocked[i] or not (p - low >= distance and high - p >= distance):
+        if blocked[i] or near_edge[i]:
             state[i] = WAITING
             blocked[left:right] = True
         else:
@@ -42,6 +44,33 @@ def resolve(pos, group, order, distance, low, high):
     return state
 
 
+def whole_groups(batches, keys):
+    """Regroup sorted batches so that no group of equal `keys` is split between two of them."""
+    held = []
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        starts = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+        starts[0] = not held or (held[-1][keys].iloc[-1] != pdf[keys].iloc[0]).any()
+        where = starts.nonzero()[0]
+        if len(where) == 0:
+            held.append(pdf)
+            continue
+        head = pd.concat([*held, pdf.iloc[:where[0]]]) if held else pdf.iloc[:0]
+        if len(head):
+            yield head.reset_index(drop=True)
+        if where[-1] > where[0]:
+            yield pdf.iloc[where[0]:where[-1]].reset_index(drop=True)
+        held = [pdf.iloc[where[-1]:]]
+    if held:
+        yield pd.concat(held).reset_index(drop=True)
+
+
+def group_numbers(pdf: pd.DataFrame, keys):
+    """0-based number of each row's run of equal `keys`."""
+    return ((pdf[keys] != pdf[keys].shift()).any(axis=1).cumsum() - 1).to_numpy()
+
+
 def frame_diff_energy(cur: pd.Series, prev: pd.Series, width: pd.Series, height: pd.Series,
                       net: pd.DataFrame, slot: pd.DataFrame) -> pd.DataFrame:
     """Frame-difference energies of one Arrow batch of 8-bit grey frames held as bytes."""

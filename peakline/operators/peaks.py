@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 from peakline.operators.chunks import (
     CHUNK, DEFAULT_CHUNK, HOME, SERIES, bucket_prefix, chunk_window, floor_div, with_halo)
 from peakline.operators.cut import cut
-from peakline.operators.kernels import DROPPED, KEPT, WAITING, resolve
+from peakline.operators.kernels import DROPPED, KEPT, WAITING, group_numbers, resolve, whole_groups
 
 
 # Marks on `top`: not a maximum, a maximum, and the end of a flat top that began in an earlier chunk.
@@ -89,24 +88,22 @@ def _suppression_pass(candidates: DataFrame, keys: Sequence[str], pos: str, grou
 
     rows = (candidates.withColumn(CHUNK, F.explode(F.sequence(span_of(F.col(pos) - F.lit(halo)), span_of(F.col(pos) + F.lit(halo)))))
             .withColumn(HOME, F.col(CHUNK) == span_of(F.col(pos))))
-    out_fields = [f for f in candidates.schema.fields]
-    names = [f.name for f in out_fields]
+    names = list(candidates.columns)
+    parts = [*keys, CHUNK]
+    runs = parts if group is None else [*parts, group]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(batches):
         import numpy as np
 
-        by = [pos] if group is None else [group, pos]
-        pdf = pdf.sort_values(by, kind="stable", ignore_index=True)
-        where = pdf[pos].to_numpy()
-        which = np.zeros(len(pdf), dtype=np.int64) if group is None else pdf[group].to_numpy()
-        ranks = [(-pdf[c].to_numpy() if down else pdf[c].to_numpy()) for c, down in reversed(list(best_first))]
-        order = np.lexsort(ranks)
-        at = int(pdf[CHUNK].iloc[0])
-        pdf["_state"] = resolve(where, which, order, distance, at * span - halo, (at + 1) * span + halo)
-        return pdf.loc[pdf[HOME] & (pdf["_state"] != DROPPED), [*names, "_state"]]
-
-    schema = T.StructType([*out_fields, T.StructField("_state", T.ByteType())])
-    return rows.groupBy(*keys, CHUNK).applyInPandas(solve, schema=schema)
+        for pdf in whole_groups(batches, parts):
+            ranks = [-pdf[c].to_numpy() if down else pdf[c].to_numpy() for c, down in reversed(list(best_first))]
+            first = pdf[CHUNK].to_numpy() * span
+            pdf["_state"] = resolve(pdf[pos].to_numpy(), group_numbers(pdf, runs), np.lexsort(ranks), distance,
+                                    first - halo, first + span + halo)
+            yield pdf.loc[pdf[HOME] & (pdf["_state"] != DROPPED), [*names, "_state"]]
+
+    schema = T.StructType([*candidates.schema.fields, T.StructField("_state", T.ByteType())])
+    return rows.repartition(*parts).sortWithinPartitions(*runs, pos).mapInPandas(solve, schema=schema)
 
 
 def suppress(candidates: DataFrame, keys: Sequence[str], pos: str, best_first: Sequence[tuple[str, bool]],

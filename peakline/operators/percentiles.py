@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakline.operators.chunks import CHUNK, SERIES, attach_by_chunk
+from peakline.operators.chunks import CHUNK, SERIES, attach_by_chunk, largest_group
 from peakline.operators.cut import cut
 
 SHORT_SERIES = 1_000_000  # rows a single percentile buffer may hold
@@ -34,11 +34,6 @@ def percentile_name(measure: str, pct: float) -> str:
     return f"{measure}_p{pct:g}".replace(".", "_")
 
 
-def longest_series(df: DataFrame, keys: Sequence[str] = SERIES) -> int:
-    """Rows of the longest series."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-
-
 def exact_percentiles(df: DataFrame, measures: Mapping[str, Sequence[float]], keys: Sequence[str] = SERIES,
                       longest: int | None = None, short: int = SHORT_SERIES) -> DataFrame:
     """One row per series: `<measure>_p<pct>` and `<measure>_n` per measure, and the last chunk.
@@ -47,7 +42,7 @@ def exact_percentiles(df: DataFrame, measures: Mapping[str, Sequence[float]], ke
     `longest` saves counting the rows again where the caller knows the longest series.
     """
     if longest is None:
-        longest = longest_series(df, keys)
+        longest = largest_group(df, keys)
     if longest <= short:
         return cut(_buffered(df, measures, list(keys)))
     return cut(_counted(df, measures, list(keys)))

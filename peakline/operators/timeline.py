@@ -42,7 +42,7 @@ def split_points(ranges: DataFrame) -> DataFrame:
 
 
 def split_clips(clips: DataFrame, points: DataFrame) -> DataFrame:
-    """Cut each clip at every point strictly inside it.
+    """Cut each clip at every point strictly inside it; the pieces keep the clip's other columns.
 
     The next point is a property of the point, so it is looked up once per game (per bin of frames,
     then across bins); a clip with many cuts is never gathered to order them.
@@ -57,34 +57,33 @@ def split_clips(clips: DataFrame, points: DataFrame) -> DataFrame:
                            floor_div(F.col("end_frame") - 1, FRAMES_PER_BIN), "_bin")
     inside = (spread.join(cuts, ["game_id", "_bin"])
               .filter((F.col("frame") > F.col("start_frame")) & (F.col("frame") < F.col("end_frame"))))
+    rest = [c for c in clips.columns if c not in ("game_id", "clip_id", "start_frame", "end_frame")]
     tails = inside.select("game_id", "clip_id", F.col("frame").alias("start_frame"),
-                          F.least(F.col("_next"), F.col("end_frame")).alias("end_frame"))
+                          F.least(F.col("_next"), F.col("end_frame")).alias("end_frame"), *rest)
     first_cut = inside.groupBy("game_id", "clip_id", "start_frame", "end_frame").agg(F.min("frame").alias("_cut"))
     heads = (clips.join(first_cut, ["game_id", "clip_id", "start_frame", "end_frame"], "left")
-             .select("game_id", "clip_id", "start_frame", F.coalesce("_cut", "end_frame").alias("end_frame")))
+             .select("game_id", "clip_id", "start_frame", F.coalesce("_cut", "end_frame").alias("end_frame"), *rest))
     return heads.unionByName(tails)
 
 
-def _power(level: Column) -> Column:
-    return F.pow(F.lit(4.0), level)
+def _shift(value: Column, level: Column) -> Column:
+    return F.call_function("shiftright", value, (level * 2).cast("int"))
 
 
-def _cover_nodes() -> Column:
-    """Fewest aligned blocks of 4^level frames that make up [start_frame, end_frame)."""
-    def nodes(level: Column) -> Column:
-        a = F.ceil(F.col("start_frame") / _power(level)).cast("long")
-        b = F.floor(F.col("end_frame") / _power(level)).cast("long")
-        up = F.ceil(a / F.lit(4.0)).cast("long") * 4
-        down = F.floor(b / F.lit(4.0)).cast("long") * 4
-
-        def node(k: int, at: Column, keep: Column) -> Column:
-            return F.struct(level.alias("level"), at.alias("node"), ((a < b) & keep).alias("keep"))
-
-        left = [node(k, a + k, a + k < F.least(up, b)) for k in range(3)]
-        right = [node(k, b - k, (up <= down) & (b - k >= down)) for k in (1, 2, 3)]
-        return F.filter(F.array(*left, *right), lambda x: x.keep)
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), nodes))
+def _with_cover(ranges: DataFrame) -> DataFrame:
+    """Fewest aligned blocks of 4^_level frames (numbered _node) that make up [start_frame, end_frame)."""
+    level = F.col("_level")
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), (level * 2).cast("int"))
+    deepest = F.least(F.lit(_LEVELS - 1), F.floor(F.log(4.0, F.col("end_frame") - F.col("start_frame"))).cast("int") + 1)
+    levels = (ranges.withColumn("_level", F.explode(F.sequence(F.lit(0), deepest)))
+              .withColumn("_a", _shift(F.col("start_frame") + size - 1, level)).withColumn("_b", _shift(F.col("end_frame"), level))
+              .withColumn("_up", F.floor((F.col("_a") + 3) / 4) * 4).withColumn("_down", F.floor(F.col("_b") / 4) * 4)
+              .filter(F.col("_a") < F.col("_b")))
+    a, b, up, down = (F.col(c) for c in ("_a", "_b", "_up", "_down"))
+    left = [F.when(a + k < F.least(up, b), a + k) for k in range(3)]
+    right = [F.when((up <= down) & (b - k >= down), b - k) for k in (1, 2, 3)]
+    return (levels.withColumn("_node", F.explode(F.array(*left, *right))).filter(F.col("_node").isNotNull())
+            .drop("_a", "_b", "_up", "_down"))
 
 
 def assign_angles(clips: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -97,15 +96,14 @@ def assign_angles(clips: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     if "angle" not in clips.columns:
         clips = clips.withColumn("angle", F.lit(None).cast("int"))
-    blocks = (ranges.select("game_id", F.struct("start_frame", "seq", "angle").alias("_range"), F.explode(_cover_nodes()).alias("_n"))
-              .groupBy("game_id", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
-              .agg(F.min("_range").alias("_range")))
+    first = F.min(F.struct("start_frame", "seq", "angle"))
+    blocks = _with_cover(ranges).groupBy("game_id", "_level", "_node").agg(first.alias("_range"))
     # The longest range decides how many levels exist at all.
     longest = ranges.agg(F.max(F.col("end_frame") - F.col("start_frame")).alias("_longest")).scalar()
-    levels = F.filter(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), lambda k: (k == 0) | (_power(k) <= F.col("_longest")))
+    deepest = F.least(F.lit(_LEVELS - 1), F.floor(F.log(4.0, F.greatest(F.coalesce("_longest", F.lit(1)), F.lit(1)))).cast("int") + 1)
     middle = F.floor((F.col("start_frame") + F.col("end_frame")) / F.lit(2)).cast("long")
-    probes = (clips.withColumn("_longest", longest).withColumn("_level", F.explode(levels)).drop("_longest")
-              .withColumn("_node", F.floor(middle / _power(F.col("_level"))).cast("long")))
+    probes = (clips.withColumn("_longest", longest).withColumn("_level", F.explode(F.sequence(F.lit(0), deepest))).drop("_longest")
+              .withColumn("_node", _shift(middle, F.col("_level"))))
     keys = clips.columns
     return (probes.join(blocks, ["game_id", "_level", "_node"], "left")
             .groupBy(*keys).agg(F.min("_range").alias("_range"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peakline.config import DetectConfig
 from peakline.functions.color import color_class, color_rank
-from peakline.operators.chunks import SERIES, bucket_prefix, number_rows
+from peakline.operators.chunks import SERIES, SMALL_GROUP, bucket_prefix, largest_group, number_rows
 from peakline.operators.cut import cut
 from peakline.operators.peaks import suppress, suppress_by_distance
 
@@ -34,16 +34,20 @@ def union_cameras(*peaks: DataFrame) -> DataFrame:
     return out
 
 
-def merge_intervals(intervals: DataFrame, gap_s: float, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
-    """Union of intervals that overlap or lie at most gap_s apart, numbered by start within a game.
+def _islands(rows: DataFrame, keys: list[str], gap_s: float) -> DataFrame:
+    """Merging with one window per key, for keys known to be small."""
+    by_start = Window.partitionBy(*keys).orderBy("start_s", "end_s")
+    before = F.max("end_s").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(before.isNull() | (F.col("start_s") > before + F.lit(gap_s)), F.col("start_s"))
+    island = F.max("_opens").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (rows.withColumn("_opens", opens).withColumn("_island", island)
+            .groupBy(*keys, F.col("_island").alias("start_s")).agg(F.max("end_s").alias("end_s")))
 
-    An interval opens a new island when it starts after everything before it has ended. "Everything
-    before" is folded per hour of start time first and across hours second, so neither a long game
-    nor one endless island is gathered in a task; the islands themselves are plain min / max sums.
-    """
-    keys = list(keys)
-    rows = cut(intervals.select(*keys, "start_s", "end_s").withColumn(
-        "_hour", F.floor(F.col("start_s") / F.lit(BUCKET_S)).cast("long")))
+
+def _islands_by_hour(rows: DataFrame, keys: list[str], gap_s: float) -> DataFrame:
+    """Merging in steps: "everything before" is folded per hour of start time, then across hours,
+    so neither a long game nor one endless island is gathered in a task."""
+    rows = rows.withColumn("_hour", _hour_of("start_s"))
     first, last = rows.agg(F.min("_hour"), F.max("_hour")).first()
     hours = 0 if first is None else last - first + 1
     in_hour = Window.partitionBy(*keys, "_hour").orderBy("start_s", "end_s").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,16 +55,37 @@ def merge_intervals(intervals: DataFrame, gap_s: float, keys: tuple[str, ...] =
     ended = bucket_prefix(ends, keys, "_hour", "_end", "max", "_ended", buckets=hours).drop("_end")
     rows = rows.join(ended, [*keys, "_hour"], "left")
     before = F.greatest(F.max("end_s").over(in_hour), F.col("_ended"))
-    rows = rows.withColumn("_before", before).withColumn(
-        "_opens", F.when(F.col("_before").isNull() | (F.col("start_s") > F.col("_before") + F.lit(gap_s)), F.col("start_s")))
+    rows = cut(rows.withColumn("_before", before).withColumn(
+        "_opens", F.when(F.col("_before").isNull() | (F.col("start_s") > F.col("_before") + F.lit(gap_s)), F.col("start_s"))))
     opened = rows.groupBy(*keys, "_hour").agg(F.max("_opens").alias("_last"))
     opened = bucket_prefix(opened, keys, "_hour", "_last", "last", "_open", buckets=hours).drop("_last")
     so_far = Window.partitionBy(*keys, "_hour").orderBy("start_s", "end_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = cut(rows.join(opened, [*keys, "_hour"], "left")
-                 .withColumn("_island", F.coalesce(F.max("_opens").over(so_far), F.col("_open")))
-                 .groupBy(*keys, F.col("_island").alias("start_s")).agg(F.max("end_s").alias("end_s")))
-    hour = F.floor(F.col("start_s") / F.lit(BUCKET_S)).cast("long")
-    return number_rows(merged, keys, [("_hour", hour)], ["start_s"], "window_id").select(*keys, "window_id", "start_s", "end_s")
+    return (rows.join(opened, [*keys, "_hour"], "left")
+            .withColumn("_island", F.coalesce(F.max("_opens").over(so_far), F.col("_open")))
+            .groupBy(*keys, F.col("_island").alias("start_s")).agg(F.max("end_s").alias("end_s")))
+
+
+def _hour_of(second: str):
+    return F.floor(F.col(second) / F.lit(BUCKET_S)).cast("long")
+
+
+def merge_intervals(intervals: DataFrame, gap_s: float, keys: tuple[str, ...] = ("game_id",), small: int = SMALL_GROUP) -> DataFrame:
+    """Union of intervals that overlap or lie at most gap_s apart, numbered by start within a game.
+
+    An interval opens a new island when it starts after everything before it has ended; an island
+    ends where its last interval does. Which way the islands are found depends on the counted size
+    of the largest game.
+    """
+    keys = list(keys)
+    rows = cut(intervals.select(*keys, "start_s", "end_s"))
+    one_window = largest_group(rows, keys) <= small
+    merged = _islands(rows, keys, gap_s) if one_window else cut(_islands_by_hour(rows, keys, gap_s))
+    if one_window:
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy("start_s")).cast("long")
+        numbered = merged.withColumn("window_id", number)
+    else:
+        numbered = number_rows(merged, keys, [("_hour", _hour_of("start_s"))], ["start_s"], "window_id", small)
+    return numbered.select(*keys, "window_id", "start_s", "end_s")
 
 
 def sanitize_windows(windows: DataFrame, min_s: float = 0.5) -> DataFrame:

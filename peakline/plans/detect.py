@@ -16,10 +16,10 @@ from peakline.operators import markers as M
 from peakline.operators import scoring as S
 from peakline.operators import timeline as TL
 from peakline.operators import windows as WN
-from peakline.operators.chunks import CHUNK, SERIES, attach_by_chunk
+from peakline.operators.chunks import CHUNK, SERIES, attach_by_chunk, largest_group
 from peakline.operators.cut import cut
 from peakline.operators.peaks import tops_of
-from peakline.operators.percentiles import exact_percentiles, longest_series, percentile_name
+from peakline.operators.percentiles import exact_percentiles, percentile_name
 from peakline.operators.signals import attack_profile, segment_of
 
 MIN_SAMPLES = 10
@@ -27,17 +27,14 @@ MIN_SAMPLES = 10
 
 @dataclass(frozen=True)
 class Attack:
-    """The per-sample profile and the scalars of each series (n, level, p99).
+    """The per-sample profile, its local maxima and the scalars of each series (n, level, p99).
 
     `level` is the threshold of the whole series (version 1) or its floor (version 2).
     """
 
     samples: DataFrame
+    tops: DataFrame
     scalars: DataFrame
-    chunks: int
-
-    def tops(self, carry: tuple[str, ...] = ()) -> DataFrame:
-        return tops_of(self.samples, "smooth", carry, self.chunks)
 
 
 @dataclass(frozen=True)
@@ -54,14 +51,15 @@ class Detection:
 
 
 def prepare(signals: DataFrame, cfg: DetectConfig, version: int) -> Attack:
-    longest = longest_series(signals)
+    longest = largest_group(signals, SERIES)
     samples = cut(attack_profile(signals, cfg, fused=version == 2, longest=longest))
     pct = cfg.floor_pct if version == 2 else cfg.thresh_pct
     scalars = exact_percentiles(samples.select(*SERIES, CHUNK, "smooth"), {"smooth": [pct, 99.0]}, longest=longest)
     scalars = scalars.select(*SERIES, "last_chunk", F.col("smooth_n").alias("series_n"),
                              F.col(percentile_name("smooth", pct)).alias("level"),
                              F.col(percentile_name("smooth", 99.0)).alias("p99"))
-    return Attack(samples, scalars, longest // cfg.segment_samples + 1)
+    tops = cut(tops_of(samples, "smooth", ("segment_level",), longest // cfg.segment_samples + 1))
+    return Attack(samples, tops, scalars)
 
 
 def peak_candidates(attack: Attack, cfg: DetectConfig, version: int) -> DataFrame:
@@ -70,7 +68,7 @@ def peak_candidates(attack: Attack, cfg: DetectConfig, version: int) -> DataFram
     The segment's own percentile is already in the profile and removes nearly all maxima before
     anything is joined; only flat tops whose middle lies in another segment look theirs up.
     """
-    tops = attack.tops(("segment_level",))
+    tops = attack.tops
     if version == 2:
         elsewhere = segment_of(F.col("idx"), cfg) != F.col(CHUNK)
         own = tops.filter(~elsewhere & (F.col("value") >= F.col("segment_level"))).drop("segment_level")
@@ -92,7 +90,7 @@ def score(windows: DataFrame, attack: Attack, cfg: DetectConfig) -> DataFrame:
     pieces = cut(attach_by_chunk(S.window_pieces(windows, cfg), p99, SERIES, "last_chunk"))
     samples = attack.samples.select(*SERIES, CHUNK, "idx", "smooth", "fwd_min")
     stats = cut(S.window_stats(S.window_samples(pieces, samples, cfg), extra=("p99",)))
-    stats = S.window_rebound(pieces, attack.tops(), stats, cfg)
+    stats = S.window_rebound(pieces, attack.tops, stats, cfg)
     scored = S.score_windows(S.choose_camera(windows, stats), cfg)
     capped = WN.cap_duration(WN.with_color(scored), cfg)
     return capped.select("game_id", "window_id", "start_s", "end_s", "score", "primary_cam", "conf", "color")
