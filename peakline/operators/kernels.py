@@ -12,9 +12,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 KEPT, DROPPED, WAITING = 1, 2, 3
 
 
-def resolve(pos, group, order, distance, low, high):
+def resolve(pos, group, order, distance, low, high, known):
     """Greedy choice among candidates sorted by (group, pos), visited in `order` (best first).
 
+    Rows `known` to be kept come first in the order and only push out their neighbours.
     `low` and `high` are the edges of what is visible around each candidate. Closer than `distance`
     to an edge it may have rivals that are not visible: such candidates, and whatever depends on
     them, stay waiting.
@@ -35,7 +36,7 @@ def resolve(pos, group, order, distance, low, high):
         right = i + 1
         while right < n and group[right] == g and pos[right] - p < distance:
             right += 1
-        if blocked[i] or near_edge[i]:
+        if not known[i] and (blocked[i] or near_edge[i]):
             state[i] = WAITING
             blocked[left:right] = True
         else:

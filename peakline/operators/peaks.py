@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from peakline.operators.chunks import (
     CHUNK, DEFAULT_CHUNK, HOME, SERIES, bucket_prefix, chunk_window, floor_div, with_halo)
@@ -82,7 +81,7 @@ def peaks_above(df: DataFrame, height, col: str = "value") -> DataFrame:
 def _suppression_pass(candidates: DataFrame, keys: Sequence[str], pos: str, group: str | None,
                       best_first: Sequence[tuple[str, bool]], distance: float, span: float,
                       halo: float) -> DataFrame:
-    """One round over spans of the position axis; adds `_state` (kept or waiting; dropped rows go)."""
+    """One round over spans of the position axis: updates `_state` (kept or waiting; dropped rows go)."""
     def span_of(at):
         return F.floor(at / F.lit(span)).cast("long")
 
@@ -96,14 +95,14 @@ def _suppression_pass(candidates: DataFrame, keys: Sequence[str], pos: str, grou
         import numpy as np
 
         for pdf in whole_groups(batches, parts):
+            known = pdf["_state"].to_numpy() == KEPT
             ranks = [-pdf[c].to_numpy() if down else pdf[c].to_numpy() for c, down in reversed(list(best_first))]
             first = pdf[CHUNK].to_numpy() * span
-            pdf["_state"] = resolve(pdf[pos].to_numpy(), group_numbers(pdf, runs), np.lexsort(ranks), distance,
-                                    first - halo, first + span + halo)
-            yield pdf.loc[pdf[HOME] & (pdf["_state"] != DROPPED), [*names, "_state"]]
+            pdf["_state"] = resolve(pdf[pos].to_numpy(), group_numbers(pdf, runs), np.lexsort([*ranks, ~known]), distance,
+                                    first - halo, first + span + halo, known)
+            yield pdf.loc[pdf[HOME] & (pdf["_state"] != DROPPED), names]
 
-    schema = T.StructType([*candidates.schema.fields, T.StructField("_state", T.ByteType())])
-    return rows.repartition(*parts).sortWithinPartitions(*runs, pos).mapInPandas(solve, schema=schema)
+    return rows.repartition(*parts).sortWithinPartitions(*runs, pos).mapInPandas(solve, schema=candidates.schema)
 
 
 def suppress(candidates: DataFrame, keys: Sequence[str], pos: str, best_first: Sequence[tuple[str, bool]],
@@ -114,20 +113,15 @@ def suppress(candidates: DataFrame, keys: Sequence[str], pos: str, best_first: S
     `best_first` lists (column, descending); `span` and `reach` count distances. Whether a candidate
     stays depends only on better ones nearby, so it is decided inside a span of the axis plus a
     margin. Candidates at the end of a chain of ever better rivals that leaves the margin are left
-    waiting for the next round, which has only them to look at and, up to `widest`, larger spans.
-    Each round decides at least the best of what waits, so the rounds end with the exact result, and
-    no task ever holds more than one stretch of the axis.
+    waiting for the next round, which sees only them and the kept ones and, up to `widest`, larger
+    spans. Each round decides at least the best of what waits, so the rounds end with the exact
+    result, and no task ever holds more than one stretch of the axis.
     """
-    kept = None
-    waiting = candidates
+    rows = candidates.withColumn("_state", F.lit(WAITING).cast("byte"))
     while True:
-        decided = cut(_suppression_pass(waiting, keys, pos, group, best_first, distance,
-                                        float(span) * distance, float(reach) * distance))
-        winners = decided.filter(F.col("_state") == KEPT).drop("_state")
-        kept = winners if kept is None else kept.unionByName(winners)
-        waiting = decided.filter(F.col("_state") == WAITING).drop("_state")
-        if waiting.isEmpty():
-            return kept
+        rows = cut(_suppression_pass(rows, keys, pos, group, best_first, distance, float(span) * distance, float(reach) * distance))
+        if rows.filter(F.col("_state") == WAITING).isEmpty():
+            return rows.drop("_state")
         if span * 16 <= widest:
             span, reach = span * 16, reach * 16
 
