@@ -390,7 +390,7 @@ SELECTS["run_game_batch"] = f"""SELECT game_id, kind, COUNT(*) AS lines FROM (
   UNION ALL SELECT DISTINCT game_id, 'edl', UNNEST(RANGE(0, 3))::VARCHAR FROM play_replay) GROUP BY ALL"""
 del SELECTS["slice_maxima"]
 
-_CASTS = {"i": "CAST({c} AS BIGINT)", "f": "ROUND(CAST({c} AS DOUBLE), 6) + 0.0", "s": "CAST({c} AS VARCHAR)", "b": "CAST({c} AS BOOLEAN)"}
+_CASTS = {"i": "CAST({c} AS BIGINT)", "f": "ROUND(CAST({c} AS DOUBLE), 6) + 0.0", "g": "ROUND(CAST({c} AS DOUBLE), 9) + 0.0", "s": "CAST({c} AS VARCHAR)", "b": "CAST({c} AS BOOLEAN)"}
 
 
 def sql(name: str, columns: str) -> str:

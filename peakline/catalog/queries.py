@@ -1,7 +1,7 @@
 """One query per operator over the driver tables.
 
-`COLUMNS` names the result columns and their kinds (i integer, f double rounded to six decimals,
-s text, b flag); queries and SQL are cast to it alike. Queries of a single detector step start from
+`COLUMNS` names the result columns and their kinds (i integer, f and g double rounded to six and
+nine decimals, s text, b flag); queries and SQL are cast to it alike. Queries of a single detector step start from
 the tables of the steps before it, which are computed once per session and scale.
 """
 
@@ -46,7 +46,7 @@ def query(columns: str) -> Callable[[Query], Query]:
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = build(spark, sf_dir)
-            cast = {"i": lambda c: c.cast("long"), "f": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0),
+            cast = {"i": lambda c: c.cast("long"), "f": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0), "g": lambda c: F.round(c.cast("double"), 9) + F.lit(0.0),
                     "s": lambda c: c.cast("string"), "b": lambda c: c.cast("boolean")}
             return df.select(*[cast[k](F.col(c)).alias(c) for c, k in kinds])
 
@@ -232,7 +232,7 @@ def fuse_signals(spark, sf_dir):
     return SG.fuse_signals(_signals(spark, sf_dir))
 
 
-@query("game_id:i cam:i idx:i smooth:f")
+@query("game_id:i cam:i idx:i smooth:g")
 def moving_average(spark, sf_dir):
     return SG.moving_average(SG.fuse_signals(_signals(spark, sf_dir)), CFG.smooth_win, chunk=CFG.segment_samples)
 
@@ -250,24 +250,24 @@ def global_threshold(spark, sf_dir):
 
 # Peaks, windows, scoring -------------------------------------------------------------------------
 
-@query("game_id:i cam:i idx:i left:i right:i value:f")
+@query("game_id:i cam:i idx:i left:i right:i value:g")
 def local_maxima_query(spark, sf_dir):
     return local_maxima(_smooth(spark, sf_dir), chunk=CFG.segment_samples)
 
 
-@query("game_id:i cam:i idx:i value:f")
+@query("game_id:i cam:i idx:i value:g")
 def peaks_above_query(spark, sf_dir):
     levels = SG.rolling_threshold(_smooth(spark, sf_dir), CFG.fps, CFG.thresh_pct).select(*SERIES, "idx", "threshold")
     tops = local_maxima(_smooth(spark, sf_dir), chunk=CFG.segment_samples)
     return peaks_above(tops.join(levels, [*SERIES, "idx"]), "threshold")
 
 
-@query("game_id:i cam:i idx:i value:f")
+@query("game_id:i cam:i idx:i value:g")
 def suppress_by_distance_query(spark, sf_dir):
     return suppress_by_distance(_detection(spark, sf_dir).candidates, CFG.peak_distance)
 
 
-@query("game_id:i cam:i idx:i peak_s:f peak_val:f start_s:f end_s:f")
+@query("game_id:i cam:i idx:i peak_s:f peak_val:g start_s:f end_s:f")
 def peak_windows(spark, sf_dir):
     return D.peak_windows(_signals(spark, sf_dir), CFG)
 
@@ -288,13 +288,13 @@ def sanitize_windows(spark, sf_dir):
     return WN.sanitize_windows(_detection(spark, sf_dir).merged)
 
 
-@query("game_id:i window_id:i cam:i idx:i smooth:f")
+@query("game_id:i window_id:i cam:i idx:i smooth:g")
 def window_samples(spark, sf_dir):
     run = _detection(spark, sf_dir)
     return S.window_samples(S.window_pieces(run.windows, CFG), run.attack.samples, CFG)
 
 
-@query("game_id:i window_id:i cam:i n:i max_attack:f argmax:i")
+@query("game_id:i window_id:i cam:i n:i max_attack:g argmax:i")
 def window_max(spark, sf_dir):
     run = _detection(spark, sf_dir)
     return S.window_max(run.windows, S.window_samples(_pieces(spark, sf_dir), run.attack.samples, CFG))
@@ -305,13 +305,13 @@ def window_rebound(spark, sf_dir):
     return S.window_rebound(_pieces(spark, sf_dir), _detection(spark, sf_dir).attack.tops, _stats(spark, sf_dir), CFG)
 
 
-@query("game_id:i window_id:i cam:i drop:f")
+@query("game_id:i window_id:i cam:i drop:g")
 def window_drop(spark, sf_dir):
     run = _detection(spark, sf_dir)
     return S.window_stats(S.window_samples(_pieces(spark, sf_dir), run.attack.samples, CFG))
 
 
-@query("game_id:i window_id:i m1:f m2:f primary_cam:i conf:f")
+@query("game_id:i window_id:i m1:g m2:g primary_cam:i conf:f")
 def choose_camera(spark, sf_dir):
     return S.choose_camera(_detection(spark, sf_dir).windows, _stats(spark, sf_dir))
 
@@ -362,7 +362,7 @@ def detection_summary(spark, sf_dir):
     return D.detection_summary(_detection(spark, sf_dir), CFG)
 
 
-@query("game_id:i cam:i idx:i t_s:f signal:f threshold:f is_peak:b")
+@query("game_id:i cam:i idx:i t_s:f signal:g threshold:f is_peak:b")
 def debug_series(spark, sf_dir):
     levels = SG.rolling_threshold(_smooth(spark, sf_dir), CFG.fps, CFG.thresh_pct)
     return D.debug_series(levels, _detection(spark, sf_dir).peaks, CFG)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peakline.functions.text import parse_cam_angle, parse_color, parse_win_seconds, strip
 from peakline.operators.chunks import bucket_prefix, explode_range, floor_div
+from peakline.operators.cut import cut
 
 FRAMES_PER_BIN = 4096
 _LEVELS = 16  # 4^16 frames, over two years at 60 frames a second
@@ -47,9 +48,11 @@ def split_clips(clips: DataFrame, points: DataFrame) -> DataFrame:
     The next point is a property of the point, so it is looked up once per game (per bin of frames,
     then across bins); a clip with many cuts is never gathered to order them.
     """
-    cuts = points.select("game_id", "frame").distinct().withColumn("_bin", floor_div(F.col("frame"), FRAMES_PER_BIN))
+    cuts = cut(points.select("game_id", "frame").distinct().withColumn("_bin", floor_div(F.col("frame"), FRAMES_PER_BIN)))
+    low, high = cuts.agg(F.min("_bin"), F.max("_bin")).first()
     firsts = cuts.groupBy("game_id", "_bin").agg(F.min("frame").alias("_first"))
-    later = bucket_prefix(firsts, ["game_id"], "_bin", "_first", "last", "_later", backwards=True).drop("_first")
+    later = bucket_prefix(firsts, ["game_id"], "_bin", "_first", "last", "_later", backwards=True,
+                          buckets=0 if low is None else high - low + 1).drop("_first")
     in_bin = Window.partitionBy("game_id", "_bin").orderBy("frame")
     cuts = (cuts.join(later, ["game_id", "_bin"], "left")
             .withColumn("_next", F.coalesce(F.lead("frame").over(in_bin), F.col("_later"))).drop("_later"))
@@ -99,10 +102,10 @@ def assign_angles(clips: DataFrame, ranges: DataFrame) -> DataFrame:
     first = F.min(F.struct("start_frame", "seq", "angle"))
     blocks = _with_cover(ranges).groupBy("game_id", "_level", "_node").agg(first.alias("_range"))
     # The longest range decides how many levels exist at all.
-    longest = ranges.agg(F.max(F.col("end_frame") - F.col("start_frame")).alias("_longest")).scalar()
-    deepest = F.least(F.lit(_LEVELS - 1), F.floor(F.log(4.0, F.greatest(F.coalesce("_longest", F.lit(1)), F.lit(1)))).cast("int") + 1)
+    longest = ranges.agg(F.max(F.col("end_frame") - F.col("start_frame"))).first()[0] or 1
+    deepest = next(k for k in range(_LEVELS) if 4 ** (k + 1) > longest or k == _LEVELS - 1)
     middle = F.floor((F.col("start_frame") + F.col("end_frame")) / F.lit(2)).cast("long")
-    probes = (clips.withColumn("_longest", longest).withColumn("_level", F.explode(F.sequence(F.lit(0), deepest))).drop("_longest")
+    probes = (clips.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
               .withColumn("_node", _shift(middle, F.col("_level"))))
     keys = clips.columns
     return (probes.join(blocks, ["game_id", "_level", "_node"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from peakline.config import DetectConfig
 from peakline.operators import markers as M
+from peakline.operators.cut import cut
 from peakline.plans.detect import markers_of, run_detection
 from peakline.sources.tables import read_markers, write_events, write_fcpxml, write_lines, write_markers
 
@@ -21,8 +22,8 @@ def run_game_batch(spark: SparkSession, signals: DataFrame, out: str, cfg: Detec
     run = run_detection(signals, cfg, 2)
     write_events(run.scored, paths["events"])
     write_markers(markers_of(run.scored, cfg), paths["markers"])
-    raw = read_markers(spark, paths["markers"])
+    raw = cut(read_markers(spark, paths["markers"]))
     fps = cfg.timeline_fps
-    write_fcpxml(M.fcpxml_lines(M.normalize_markers(raw, fps), fps, project), paths["fcpxml"])
-    write_lines(M.edl_lines(M.to_edl_events(raw, fps), fps), paths["edl"])
+    write_fcpxml(cut(M.fcpxml_lines(M.normalize_markers(raw, fps), fps, project)), paths["fcpxml"])
+    write_lines(cut(M.edl_lines(cut(M.to_edl_events(raw, fps)), fps)), paths["edl"])
     return paths

@@ -159,5 +159,5 @@ def debug_series(attack: DataFrame, peaks: DataFrame, cfg: DetectConfig) -> Data
 
 def conform_timeline(markers: DataFrame, clips: DataFrame, fps: float, start_frame: int = 0) -> DataFrame:
     """Expand markers to ranges, cut the clips at their ends, set the angle of every piece."""
-    ranges = TL.expand_markers(markers, fps, start_frame)
+    ranges = cut(TL.expand_markers(markers, fps, start_frame))
     return TL.assign_angles(TL.split_clips(clips, TL.split_points(ranges)), ranges)
