@@ -404,7 +404,7 @@ def parse_cam_angle(spark, sf_dir):
 
 @query("game_id:i seq:i frame:i name:s note:s color:s duration:i")
 def normalize_markers(spark, sf_dir):
-    return X.markers(spark, sf_dir)
+    return M.normalize_markers(X.markers_raw(spark, sf_dir), FPS60)
 
 
 @query("game_id:i event_no:i in_frame:i out_frame:i label:s")
@@ -460,7 +460,7 @@ def split_clips(spark, sf_dir):
 @query("game_id:i clip_id:i start_frame:i end_frame:i angle:i")
 def assign_angles(spark, sf_dir):
     markers = X.markers(spark, sf_dir)
-    return TL.assign_angles(X.clips(markers), TL.expand_markers(markers, FPS60, 3600))
+    return TL.assign_angles(X.clips(markers), cut(TL.expand_markers(markers, FPS60, 3600)))
 
 
 @query("game_id:i frame:i color:s name:s note:s duration:i")

@@ -10,6 +10,7 @@ from peakline.operators.chunks import bucket_prefix, explode_range, floor_div
 from peakline.operators.cut import cut
 
 FRAMES_PER_BIN = 4096
+FEW_PROBES = 500_000  # rows of three integers that may be broadcast
 _LEVELS = 16  # 4^16 frames, over two years at 60 frames a second
 
 MARKER_SIGNATURE = ["game_id", "frame", "color", "name", "note", "duration"]
@@ -99,17 +100,20 @@ def assign_angles(clips: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     if "angle" not in clips.columns:
         clips = clips.withColumn("angle", F.lit(None).cast("int"))
-    first = F.min(F.struct("start_frame", "seq", "angle"))
-    blocks = _with_cover(ranges).groupBy("game_id", "_level", "_node").agg(first.alias("_range"))
     # The longest range decides how many levels exist at all.
     longest = ranges.agg(F.max(F.col("end_frame") - F.col("start_frame"))).first()[0] or 1
     deepest = next(k for k in range(_LEVELS) if 4 ** (k + 1) > longest or k == _LEVELS - 1)
     middle = F.floor((F.col("start_frame") + F.col("end_frame")) / F.lit(2)).cast("long")
     probes = (clips.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
               .withColumn("_node", _shift(middle, F.col("_level"))))
-    keys = clips.columns
-    return (probes.join(blocks, ["game_id", "_level", "_node"], "left")
-            .groupBy(*keys).agg(F.min("_range").alias("_range"))
+    place = ["game_id", "_level", "_node"]
+    cover = _with_cover(ranges).select(*place, "start_frame", "seq", "angle")
+    if clips.count() * (deepest + 1) <= FEW_PROBES:
+        # Counted and few: blocks that no clip asks for are dropped where the ranges are read.
+        cover = cover.join(F.broadcast(probes.select(*place).distinct()), place, "left_semi")
+    blocks = cover.groupBy(*place).agg(F.min(F.struct("start_frame", "seq", "angle")).alias("_range"))
+    return (probes.join(blocks, place, "left")
+            .groupBy(*clips.columns).agg(F.min("_range").alias("_range"))
             .withColumn("angle", F.coalesce(F.col("_range.angle"), F.col("angle"))).drop("_range"))
 
 
