@@ -13,13 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakline.operators import limits
+
 SERIES = ["game_id", "cam"]
 CHUNK = "_chunk"
 HOME = "_home"
 DEFAULT_CHUNK = 3600
 FAN_OUT = 4096
-FEW_BUCKETS = 100_000
-SMALL_GROUP = 1_000_000  # rows of one key that a single window may sort
 
 
 def floor_div(col: Column, size: int) -> Column:
@@ -66,9 +66,11 @@ def chunk_window(keys: Sequence[str] = SERIES, idx: str = "idx"):
 def attach_by_chunk(df: DataFrame, scalars: DataFrame, keys: Sequence[str], last_chunk: str) -> DataFrame:
     """Join one row of scalars per series onto its samples without shuffling by series.
 
-    The scalars are repeated once per chunk and joined on (keys, chunk), the partitioning the
-    samples already have, so a series holding most of the rows still spreads over all tasks.
+    Counted and few, the scalars are broadcast. Otherwise they are repeated once per chunk and
+    joined on (keys, chunk), so a series holding most of the rows still spreads over all tasks.
     """
+    if scalars.count() <= limits.FEW_SERIES:
+        return df.join(F.broadcast(scalars.drop(last_chunk)), list(keys), "left")
     per_chunk = explode_range(scalars, F.lit(0), F.col(last_chunk), CHUNK).drop(last_chunk)
     return df.join(per_chunk, [*keys, CHUNK], "left")
 
@@ -86,12 +88,12 @@ def bucket_prefix(summary: DataFrame, keys: Sequence[str], bucket: str, value: s
 
     `how` is max, sum or last (nearest non-null). `backwards` folds over later buckets instead.
     Two levels keep every window small: buckets inside a block of FAN_OUT, then blocks. Where the
-    caller has counted that no key has more than FEW_BUCKETS `buckets`, one window does.
+    caller has counted that no key has more than a few `buckets`, one window does.
     """
     step = F.col(bucket).desc() if backwards else F.col(bucket).asc()
     block_step = F.col("_block").desc() if backwards else F.col("_block").asc()
     fold = _PREFIX[how]
-    if buckets is not None and buckets <= FEW_BUCKETS:
+    if buckets is not None and buckets <= limits.FEW_BUCKETS:
         seen = fold(F.col(value), Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
         return summary.withColumn(out, F.coalesce(seen, F.lit(0).cast("long")) if how == "sum" else seen)
     blocks = summary.withColumn("_block", floor_div(F.col(bucket), FAN_OUT))
@@ -123,7 +125,7 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str, Column]],
-                order: Sequence[str], name: str, small: int = SMALL_GROUP) -> DataFrame:
+                order: Sequence[str], name: str) -> DataFrame:
     """1-based position of each row within `keys` by `order`.
 
     If the largest group has been counted and is small, a window over it will do. Otherwise no
@@ -131,7 +133,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str,
     the one above it; counts per bucket are summed level by level and only the rows of one finest
     bucket share a window.
     """
-    if largest_group(df, keys) <= small:
+    if largest_group(df, keys) <= limits.SMALL_GROUP:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     names = [n for n, _ in levels]
     bucketed = df

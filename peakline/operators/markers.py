@@ -13,7 +13,7 @@ from peakline.config import DetectConfig
 from peakline.functions.color import color_class, color_rank
 from peakline.functions.text import fixed, marker_label, parse_win_seconds, strip, tag_note, xml_escape
 from peakline.functions.timecode import frames_to_tc, rational_time, sec_to_frame, tc_to_frames
-from peakline.operators.chunks import SMALL_GROUP, floor_div, number_rows
+from peakline.operators.chunks import floor_div, number_rows
 
 MARKER_COLUMNS = ["game_id", "seq", "frame", "name", "note", "color", "duration"]
 
@@ -94,11 +94,11 @@ def normalize_markers(raw: DataFrame, fps: int) -> DataFrame:
         F.greatest(one, length).alias("duration"))
 
 
-def number_by_frame(df: DataFrame, frame: str, name: str, small: int = SMALL_GROUP) -> DataFrame:
+def number_by_frame(df: DataFrame, frame: str, name: str) -> DataFrame:
     """Position within a game by (frame, seq)."""
     place = F.struct(F.col(frame).alias("f"), floor_div(F.col("seq"), 65536).alias("s"))
     levels = [("_block", floor_div(F.col(frame), 256)), ("_place", place)]
-    return number_rows(df, ["game_id"], levels, [frame, "seq"], name, small)
+    return number_rows(df, ["game_id"], levels, [frame, "seq"], name)
 
 
 def to_edl_events(raw: DataFrame, fps: int) -> DataFrame:

@@ -14,11 +14,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakline.operators import limits
 from peakline.operators.chunks import CHUNK, SERIES, attach_by_chunk, largest_group
 from peakline.operators.cut import cut
 
-SHORT_SERIES = 1_000_000  # rows a single percentile buffer may hold
-
 _BINS_PER_OCTAVE = 64
 _BIN_ORIGIN = 100_000  # larger than 64 * 1075, so bins of positive values stay positive
 _SLICES = 1 << 20
@@ -35,7 +34,7 @@ def percentile_name(measure: str, pct: float) -> str:
 
 
 def exact_percentiles(df: DataFrame, measures: Mapping[str, Sequence[float]], keys: Sequence[str] = SERIES,
-                      longest: int | None = None, short: int = SHORT_SERIES) -> DataFrame:
+                      longest: int | None = None) -> DataFrame:
     """One row per series: `<measure>_p<pct>` and `<measure>_n` per measure, and the last chunk.
 
     `df` has the series keys, `_chunk` and one double column per measure. Nulls are ignored.
@@ -43,7 +42,7 @@ def exact_percentiles(df: DataFrame, measures: Mapping[str, Sequence[float]], ke
     """
     if longest is None:
         longest = largest_group(df, keys)
-    if longest <= short:
+    if longest <= limits.SHORT_SERIES:
         return cut(_buffered(df, measures, list(keys)))
     return cut(_counted(df, measures, list(keys)))
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakline.functions.text import parse_cam_angle, parse_color, parse_win_seconds, strip
+from peakline.operators import limits
 from peakline.operators.chunks import bucket_prefix, explode_range, floor_div
 from peakline.operators.cut import cut
 
 FRAMES_PER_BIN = 4096
-FEW_PROBES = 500_000  # rows of three integers that may be broadcast
 _LEVELS = 16  # 4^16 frames, over two years at 60 frames a second
 
 MARKER_SIGNATURE = ["game_id", "frame", "color", "name", "note", "duration"]
@@ -108,7 +108,7 @@ def assign_angles(clips: DataFrame, ranges: DataFrame) -> DataFrame:
               .withColumn("_node", _shift(middle, F.col("_level"))))
     place = ["game_id", "_level", "_node"]
     cover = _with_cover(ranges).select(*place, "start_frame", "seq", "angle")
-    if clips.count() * (deepest + 1) <= FEW_PROBES:
+    if clips.count() * (deepest + 1) <= limits.FEW_PROBES:
         # Counted and few: blocks that no clip asks for are dropped where the ranges are read.
         cover = cover.join(F.broadcast(probes.select(*place).distinct()), place, "left_semi")
     blocks = cover.groupBy(*place).agg(F.min(F.struct("start_frame", "seq", "angle")).alias("_range"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from peakline.config import DetectConfig
 from peakline.functions.color import color_class, color_rank
-from peakline.operators.chunks import SERIES, SMALL_GROUP, bucket_prefix, largest_group, number_rows
+from peakline.operators import limits
+from peakline.operators.chunks import SERIES, bucket_prefix, largest_group, number_rows
 from peakline.operators.cut import cut
 from peakline.operators.peaks import suppress, suppress_by_distance
 
@@ -69,7 +70,7 @@ def _hour_of(second: str):
     return F.floor(F.col(second) / F.lit(BUCKET_S)).cast("long")
 
 
-def merge_intervals(intervals: DataFrame, gap_s: float, keys: tuple[str, ...] = ("game_id",), small: int = SMALL_GROUP) -> DataFrame:
+def merge_intervals(intervals: DataFrame, gap_s: float, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
     """Union of intervals that overlap or lie at most gap_s apart, numbered by start within a game.
 
     An interval opens a new island when it starts after everything before it has ended; an island
@@ -78,13 +79,13 @@ def merge_intervals(intervals: DataFrame, gap_s: float, keys: tuple[str, ...] =
     """
     keys = list(keys)
     rows = cut(intervals.select(*keys, "start_s", "end_s"))
-    one_window = largest_group(rows, keys) <= small
+    one_window = largest_group(rows, keys) <= limits.SMALL_GROUP
     merged = _islands(rows, keys, gap_s) if one_window else cut(_islands_by_hour(rows, keys, gap_s))
     if one_window:
         number = F.row_number().over(Window.partitionBy(*keys).orderBy("start_s")).cast("long")
         numbered = merged.withColumn("window_id", number)
     else:
-        numbered = number_rows(merged, keys, [("_hour", _hour_of("start_s"))], ["start_s"], "window_id", small)
+        numbered = number_rows(merged, keys, [("_hour", _hour_of("start_s"))], ["start_s"], "window_id")
     return numbered.select(*keys, "window_id", "start_s", "end_s")
 
 

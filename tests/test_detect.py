@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from peakline import DetectConfig
+from peakline.operators import limits
 from peakline.plans import detect as D
 from tests import plain
 
@@ -45,6 +46,14 @@ def test_detection_equals_plain_code(spark, name, version):
             assert a == pytest.approx(b, rel=1e-6, abs=1e-6)
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_large_plans_give_the_same(spark, version, monkeypatch):
+    """Every counted bound set to nothing: the plans for large data on small data."""
+    for name in ("SHORT_SERIES", "SMALL_GROUP", "FEW_BUCKETS", "FEW_SERIES", "FEW_PROBES"):
+        monkeypatch.setattr(limits, name, 0)
+    test_detection_equals_plain_code(spark, "short_segments", version)
+
+
 def test_no_signals(spark):
     df = spark.createDataFrame([], "game_id int, cam int, idx long, net double, slot double, audio double")
     assert D.detect_v2(df, DetectConfig.live()).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from peakline import DetectConfig
 from peakline.functions import text as TX
 from peakline.functions import timecode as TC
+from peakline.operators import limits
 from peakline.operators import markers as M
 from peakline.operators.chunks import floor_div, number_rows
 from peakline.sources import tables as TB
@@ -79,15 +80,16 @@ def test_normalize_and_events_disagree_on_length(spark):
 
 
 @pytest.mark.parametrize("small", [10 ** 6, 0])
-def test_numbering(spark, small):
+def test_numbering(spark, small, monkeypatch):
+    monkeypatch.setattr(limits, "SMALL_GROUP", small)
     rnd = random.Random(2)
     rows = [(g, rnd.randrange(-50, 2000), s * 40000) for g in range(3) for s in range(200)]
     df = spark.createDataFrame(rows, "game_id int, frame long, seq long")
-    got = M.number_by_frame(df, "frame", "no", small).collect()
+    got = M.number_by_frame(df, "frame", "no").collect()
     for g in range(3):
         mine = sorted((r.no, r.frame, r.seq) for r in got if r.game_id == g)
         assert [r[1:] for r in mine] == sorted((f, s) for k, f, s in rows if k == g) and [r[0] for r in mine] == list(range(1, 201))
-    one_level = number_rows(df, ["game_id"], [("_b", floor_div(F.col("seq"), 65536))], ["seq"], "no", small).collect()
+    one_level = number_rows(df, ["game_id"], [("_b", floor_div(F.col("seq"), 65536))], ["seq"], "no").collect()
     assert all(r.no == r.seq // 40000 + 1 for r in one_level)
 
 

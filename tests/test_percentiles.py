@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from peakline.operators import limits
 from peakline.operators.percentiles import exact_percentiles
 
 RNG = np.random.default_rng(5)
@@ -14,10 +15,12 @@ PCTS = [0, 50, 70, 92.5, 99, 100]
 
 
 @pytest.mark.parametrize("short", [10 ** 6, 0])
-def test_equals_linear_percentile(spark, short):
+def test_equals_linear_percentile(spark, short, monkeypatch):
+    monkeypatch.setattr(limits, "SHORT_SERIES", short)
+    monkeypatch.setattr(limits, "FEW_SERIES", short)
     rows = [(name, 1, i // 64, float(v), float(-v)) for name, x in SERIES.items() for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "game_id string, cam int, _chunk long, a double, b double")
-    got = exact_percentiles(df, {"a": PCTS, "b": [99]}, short=short).collect()
+    got = exact_percentiles(df, {"a": PCTS, "b": [99]}).collect()
     assert len(got) == len(SERIES)
     for row in got:
         x = SERIES[row.game_id]
@@ -27,9 +30,10 @@ def test_equals_linear_percentile(spark, short):
         assert row.b_p99 == pytest.approx(np.percentile(-x, 99), rel=1e-12, abs=1e-300)
 
 
-def test_counted_path_ignores_nulls(spark):
+def test_counted_path_ignores_nulls(spark, monkeypatch):
+    monkeypatch.setattr(limits, "SHORT_SERIES", 0)
     df = spark.range(1000).select(F.lit(1).alias("game_id"), F.lit(1).alias("cam"), F.floor(F.col("id") / 10).alias("_chunk"),
                                   F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("a"), F.col("id").cast("double").alias("b"))
-    row = exact_percentiles(df, {"a": [50], "b": [50]}, short=0).first()
+    row = exact_percentiles(df, {"a": [50], "b": [50]}).first()
     assert (row.a_n, row.b_n, row.last_chunk) == (500, 1000, 99)
     assert (row.a_p50, row.b_p50) == (499.0, 499.5)

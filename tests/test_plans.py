@@ -5,6 +5,7 @@ import pytest
 from peakline import DetectConfig
 from peakline.catalog import fixtures as X
 from peakline.operators import extract as EX
+from peakline.operators import limits
 from peakline.operators import markers as M
 from peakline.operators import signals as SG
 from peakline.operators import timeline as TL
@@ -15,6 +16,7 @@ from peakline.operators.scoring import window_pieces, window_samples
 
 SF = "/root/testdata/sf0.001"
 CFG = DetectConfig.live(fps=4)
+LARGE = ("SHORT_SERIES", "SMALL_GROUP", "FEW_BUCKETS", "FEW_SERIES", "FEW_PROBES")
 
 
 def plan(df):
@@ -35,9 +37,9 @@ def build(spark):
         "rolling_threshold": SG.rolling_threshold(signals, 4, 95),
         "local_maxima": local_maxima(signals, chunk=100),
         "window_samples": window_samples(window_pieces(windows, CFG), signals, CFG),
-        "merge_intervals": WN.merge_intervals(windows, 0.0, small=0),
-        "numbering": M.number_by_frame(markers, "frame", "no", small=0),
-        "one_level": number_rows(markers, ["game_id"], [("_b", markers.frame)], ["seq"], "no", small=0),
+        "merge_intervals": WN.merge_intervals(windows, 0.0),
+        "numbering": M.number_by_frame(markers, "frame", "no"),
+        "one_level": number_rows(markers, ["game_id"], [("_b", markers.frame)], ["seq"], "no"),
         "fcpxml": M.fcpxml_lines(markers, 60), "edl": M.edl_lines(M.to_edl_events(X.markers_raw(spark, SF), 60), 60),
         "split_clips": TL.split_clips(X.clips(markers), TL.split_points(ranges)),
         "assign_angles": TL.assign_angles(X.clips(markers), ranges),
@@ -47,9 +49,12 @@ def build(spark):
     }
 
 
-@pytest.fixture(scope="module")
-def plans(spark):
-    return {name: plan(df) for name, df in build(spark).items()}
+@pytest.fixture(scope="module", params=[(), LARGE], ids=["small", "large"])
+def plans(spark, request):
+    with pytest.MonkeyPatch.context() as patch:
+        for name in request.param:
+            patch.setattr(limits, name, 0)
+        return {name: plan(df) for name, df in build(spark).items()}
 
 
 @pytest.mark.parametrize("bad", ["CartesianProduct", "BroadcastNestedLoopJoin", "Exchange SinglePartition"])

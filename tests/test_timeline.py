@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from peakline.operators import limits
 from peakline.operators import timeline as TL
 from peakline.plans.detect import conform_timeline
 
@@ -30,8 +32,11 @@ def brute_angles(pieces, ranges):
     return [(g, c, s, e, next((ra for rs, _, re, k, ra in ordered if k == g and rs <= (s + e) / 2 < re), a)) for g, c, s, e, a in pieces]
 
 
-def test_cut_and_angles(spark):
+@pytest.mark.parametrize("few", [10 ** 6, 0])
+def test_cut_and_angles(spark, few, monkeypatch):
     """Ranges from one frame to a whole recording, clips that overlap, and cuts far apart."""
+    monkeypatch.setattr(limits, "FEW_PROBES", few)
+    monkeypatch.setattr(limits, "FEW_BUCKETS", few)
     rnd = random.Random(4)
     ranges = []
     for q in range(160):

@@ -2,19 +2,22 @@ import numpy as np
 import pytest
 
 from peakline import DetectConfig
+from peakline.operators import limits
 from peakline.operators import windows as WN
 from tests import plain
 
 
 @pytest.mark.parametrize("small", [10 ** 6, 0])
 @pytest.mark.parametrize("gap", [0.0, 2.0, 500.0])
-def test_merge_intervals(spark, small, gap):
+def test_merge_intervals(spark, small, gap, monkeypatch):
+    monkeypatch.setattr(limits, "SMALL_GROUP", small)
+    monkeypatch.setattr(limits, "FEW_BUCKETS", small)
     rng = np.random.default_rng(11)
     games = {0: [(float(s), float(s + d)) for s, d in zip(rng.integers(-7, 40000, 200), rng.integers(0, 60, 200))],
              1: [(0.0, 30000.0), (100.0, 110.0), (20000.0, 20013.0), (30002.0, 30003.0)], 2: [(5.0, 6.0)],
              3: [(0.0, 1.0), (3.0, 4.0), (3.0, 9.0), (9.0, 9.5)]}
     df = spark.createDataFrame([(g, s, e) for g, iv in games.items() for s, e in iv], "game_id int, start_s double, end_s double")
-    got = WN.merge_intervals(df, gap, small=small).collect()
+    got = WN.merge_intervals(df, gap).collect()
     for g, iv in games.items():
         rows = sorted((r.window_id, r.start_s, r.end_s) for r in got if r.game_id == g)
         assert [r[1:] for r in rows] == plain.merge(iv, gap)
