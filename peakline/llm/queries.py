@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from peakline.llm import mixing, token_counts
+from peakline.llm import mixing, quality_rules, token_counts
 from peakline.llm.common import documents
 
 #: Sources in code point order, null last, weigh these in turn and share this part of all sizes; no document is taken more often.
@@ -25,6 +25,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limit_table(token_counts.length_histogram(lengths))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir)).drop("clean_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_token_counts)}
-SQL: dict[str, str] = {}
+    f.__name__: f for f in (op1_mix_sources, op3_token_counts, op8_quality_rules)}
+SQL: dict[str, str] = {"op8_quality_rules": quality_rules.sql()}
