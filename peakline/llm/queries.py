@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peakline.llm import mixing, quality_rules, token_counts
+from peakline.llm import mixing, pii, quality_rules, token_counts
 from peakline.llm.common import documents
 
 #: Sources in code point order, null last, weigh these in turn and share this part of all sizes; no document is taken more often.
@@ -29,6 +29,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    counts = [F.size(F.filter(F.col("base")["kind"], (lambda kind: lambda x: x == kind)(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_token_counts, op8_quality_rules)}
+    f.__name__: f for f in (op1_mix_sources, op3_token_counts, op8_quality_rules, op10_pii)}
 SQL: dict[str, str] = {"op8_quality_rules": quality_rules.sql()}
