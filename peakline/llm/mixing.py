@@ -22,7 +22,7 @@ from peakline.llm.common import WORD, key_of, stored, whole_text
 from peakline.operators.cut import cut
 
 #: Documents of one (source, size) that are ranked in one window; larger cells are split by hash.
-CELL_ROWS = 4096
+CELL_ROWS = 512
 
 
 def n_words(text: Column) -> Column:

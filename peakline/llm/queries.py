@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peakline.llm import mixing, pii, quality_rules, token_counts
-from peakline.llm.common import documents
+from peakline.llm import mixing, pii, quality_rules, repair, sentencepiece_viterbi, token_counts
+from peakline.llm.common import documents, scratch_path
 
 #: Sources in code point order, null last, weigh these in turn and share this part of all sizes; no document is taken more often.
 MIX_WEIGHTS, MIX_SHARE, MIX_COPIES = (5.0, 2.0, 1.0), 1.5, 2
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -35,6 +36,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, as a count and a CRC-32 of little-endian uint32, and the text decoded from them again."""
+    encoded = sentencepiece_viterbi.encode(documents(spark, sf_dir), PIECES)
+    decoded = sentencepiece_viterbi.decode(encoded, PIECES)
+    return decoded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(documents(spark, sf_dir), BYTE_BPE, scratch_path(spark, "ids"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_token_counts, op8_quality_rules, op10_pii)}
+    f.__name__: f for f in (op1_mix_sources, op3_token_counts, op6_sentencepiece, op7_repair_ids, op8_quality_rules, op10_pii)}
 SQL: dict[str, str] = {"op8_quality_rules": quality_rules.sql()}
