@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peakline.llm import mixing, pii, quality_rules, repair, sentencepiece_viterbi, token_counts
+from peakline.llm import imatch, mixing, pii, quality_rules, ranking, repair, sentencepiece_viterbi, token_counts
 from peakline.llm.common import documents, scratch_path
 
 #: Sources in code point order, null last, weigh these in turn and share this part of all sizes; no document is taken more often.
@@ -30,12 +30,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     counts = [F.size(F.filter(F.col("base")["kind"], (lambda kind: lambda x: x == kind)(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(documents(spark, sf_dir))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, as a count and a CRC-32 of little-endian uint32, and the text decoded from them again."""
     encoded = sentencepiece_viterbi.encode(documents(spark, sf_dir), PIECES)
@@ -48,5 +56,5 @@ def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_token_counts, op6_sentencepiece, op7_repair_ids, op8_quality_rules, op10_pii)}
+    f.__name__: f for f in (op1_mix_sources, op3_token_counts, op4_imatch, op6_sentencepiece, op7_repair_ids, op8_quality_rules, op9_quality_ranking, op10_pii)}
 SQL: dict[str, str] = {"op8_quality_rules": quality_rules.sql()}
