@@ -144,3 +144,20 @@ def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...], share: float =
     dealt = F.expr("((rank * copies + offset) div n) - (((rank - 1) * copies + offset) div n)")
     return placed.withColumn("copies", dealt).join(targets.drop("source"), "key").select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, weights: DataFrame | tuple[float, ...], share: float = 1.5, max_copies: int = 2) -> DataFrame:
+    """The mix itself: every row of `docs` as often as the mix takes it, with the columns of `docs`.
+
+    docs has at least doc_id, source and text. Rows that agree in id, source and size are told apart only by their order of text; for all
+    others a plain join brings the copies back.
+    """
+    mixed = mix(docs, weights, share, max_copies).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
+    mixed = mixed.select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "copies")
+    row = docs.select(F.struct("*").alias("row"), n_words(whole_text()).alias("row_size"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("of_id")) & F.col("row.source").cast("string").eqNullSafe(F.col("of_source")) & (F.col("row_size") == F.col("of_size"))
+    met = row.join(mixed, same)
+    once = met.filter(F.size("copies") == 1).withColumn("n", F.col("copies")[0])
+    turn = F.row_number().over(W.partitionBy("of_id", "of_source", "of_size").orderBy("row.text"))
+    often = met.filter(F.size("copies") > 1).withColumn("n", F.get("copies", turn - 1))
+    return once.unionByName(often).filter("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")

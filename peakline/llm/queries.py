@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peakline.llm import imatch, mixing, pii, quality_rules, ranking, repair, sentencepiece_viterbi, token_counts
+from peakline.llm import imatch, jaccard_join, mixing, pii, quality_rules, ranking, repair, sentencepiece_viterbi, token_counts
 from peakline.llm.common import documents, scratch_path
 
 #: Sources in code point order, null last, weigh these in turn and share this part of all sizes; no document is taken more often.
@@ -21,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.token_lengths(documents(spark, sf_dir), BYTE_BPE)
     return token_counts.limit_table(token_counts.length_histogram(lengths))
@@ -56,5 +60,5 @@ def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_token_counts, op4_imatch, op6_sentencepiece, op7_repair_ids, op8_quality_rules, op9_quality_ranking, op10_pii)}
-SQL: dict[str, str] = {"op8_quality_rules": quality_rules.sql()}
+    f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_token_counts, op4_imatch, op6_sentencepiece, op7_repair_ids, op8_quality_rules, op9_quality_ranking, op10_pii)}
+SQL: dict[str, str] = {"op2_jaccard_join": jaccard_join.sql(), "op8_quality_rules": quality_rules.sql()}
