@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peakline.llm import imatch, jaccard_join, mixing, pii, quality_rules, ranking, repair, sentencepiece_viterbi, token_counts
+from peakline.llm import imatch, jaccard_join, mixing, pii, quality_rules, ranking, repair, sentencepiece_viterbi, suffix_dedup, token_counts
 from peakline.llm.common import documents, scratch_path
 
 #: Sources in code point order, null last, weigh these in turn and share this part of all sizes; no document is taken more often.
@@ -48,6 +48,10 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(documents(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, as a count and a CRC-32 of little-endian uint32, and the text decoded from them again."""
     encoded = sentencepiece_viterbi.encode(documents(spark, sf_dir), PIECES)
@@ -60,5 +64,5 @@ def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_token_counts, op4_imatch, op6_sentencepiece, op7_repair_ids, op8_quality_rules, op9_quality_ranking, op10_pii)}
+    f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_token_counts, op4_imatch, op5_suffix_dedup, op6_sentencepiece, op7_repair_ids, op8_quality_rules, op9_quality_ranking, op10_pii)}
 SQL: dict[str, str] = {"op2_jaccard_join": jaccard_join.sql(), "op8_quality_rules": quality_rules.sql()}
