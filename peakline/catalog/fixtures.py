@@ -14,7 +14,7 @@ from peakline.operators.extract import sample_to_grid
 from peakline.operators.markers import normalize_markers
 
 USERS_PER_GAME = 38
-GRID = 4320
+BIN_S = 600
 CFG = DetectConfig.live(fps=4, audio_weight=0.2)
 CLIP_FRAMES = 5000
 RATE = 200
@@ -44,10 +44,15 @@ def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     of("error").alias("audio"))
 
 
+def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = timed_events(spark, sf_dir)
+    last = timed.agg(F.max(F.floor(F.col("t_s") / BIN_S))).first()[0]
+    return sample_to_grid(timed, 1.0 / BIN_S, values=["net", "slot", "audio"], n_samples=0 if last is None else last + 1)
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two cameras per game, 4,320 ten-minute bins taken as samples."""
-    grid = sample_to_grid(timed_events(spark, sf_dir), 1.0 / 600.0, values=["net", "slot", "audio"], n_samples=GRID)
-    return cut(grid.select("game_id", "cam", "idx", *[F.col(c).cast("double").alias(c) for c in ("net", "slot", "audio")]))
+    """Two cameras per game, ten-minute bins taken as samples, as many as the whole table needs."""
+    return cut(event_grid(spark, sf_dir).select("game_id", "cam", "idx", *[F.col(c).cast("double").alias(c) for c in ("net", "slot", "audio")]))
 
 
 def markers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +62,11 @@ def markers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = (i * 37 % 100000).cast("string")
     return e.select(
         _game(F.col("user_id")).alias("game_id"), i.alias("seq"),
-        F.when(i % 50 == 0, "bad").when(i % 7 == 0, F.concat(number, F.lit(".9"))).otherwise(number).alias("Frame"),
-        F.when(F.col("event_type") == "error", "replay")
+        F.when(i % 50 == 0, "bad").when(i % 1013 == 7, "99999999999999999999").when(i % 7 == 0, F.concat(number, F.lit(".9"))).otherwise(number).alias("Frame"),
+        F.when(F.col("event_type") == "error", "replay").when(i % 997 == 5, "PLAY cam3000000000")
         .otherwise(F.concat(F.lit("PLAY cam"), (F.col("user_id") % 2 + 1).cast("string"))).alias("Name"),
         F.when(i % 11 == 0, "").when(i % 13 == 0, '[red] & "x" <y>')
+        .when(i % 991 == 3, "win=900000000s").when(i % 983 == 4, "win=1e9s win=300000000000000000s").when(i % 977 == 6, 'line "one"\nline two win=3.0s')
         .otherwise(F.concat(F.lit("score=1.20 conf=0.40 win="), (i % 30).cast("string"), F.lit("."), (i % 10).cast("string"), F.lit("s"))).alias("Note"),
         F.when(i % 5 == 0, "").when(i % 5 == 1, "Blue").when(i % 5 == 2, "Yellow").when(i % 5 == 3, "Orange").otherwise("Red").alias("Color"),
         F.when(i % 9 == 0, "n/a").otherwise((i % 1500).cast("string")).alias("Duration"))

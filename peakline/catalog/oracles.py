@@ -22,18 +22,20 @@ SELECT game_id, cam, t_s // 600 AS idx,
   SUM(CASE WHEN event_type = 'error' THEN v ELSE 0 END) AS audio
 FROM fx_events GROUP BY ALL"""
 CTES["fx_grid"] = """
-SELECT game_id, cam, UNNEST(RANGE(0, 4320)) AS idx FROM (SELECT DISTINCT game_id, cam FROM fx_events)"""
+SELECT game_id, cam, UNNEST(RANGE(0, (SELECT MAX(idx) + 1 FROM fx_bins))) AS idx FROM (SELECT DISTINCT game_id, cam FROM fx_events)"""
 CTES["fx_signals"] = """
 SELECT g.game_id, g.cam, g.idx, CAST(COALESCE(s.net, 0) AS DOUBLE) AS net,
        CAST(COALESCE(s.slot, 0) AS DOUBLE) AS slot, CAST(COALESCE(s.audio, 0) AS DOUBLE) AS audio
 FROM fx_grid g LEFT JOIN fx_bins s ON g.game_id = s.game_id AND g.cam = s.cam AND g.idx = s.idx"""
 CTES["fx_markers_raw"] = """
 SELECT CAST(user_id // 38 AS INT) AS game_id, event_id AS seq,
-  CASE WHEN event_id % 50 = 0 THEN 'bad'
+  CASE WHEN event_id % 50 = 0 THEN 'bad' WHEN event_id % 1013 = 7 THEN '99999999999999999999'
        WHEN event_id % 7 = 0 THEN CONCAT(CAST((event_id*37) % 100000 AS VARCHAR), '.9')
        ELSE CAST((event_id*37) % 100000 AS VARCHAR) END AS "Frame",
-  CASE WHEN event_type='error' THEN 'replay' ELSE CONCAT('PLAY cam', CAST(1 + user_id % 2 AS VARCHAR)) END AS "Name",
+  CASE WHEN event_type='error' THEN 'replay' WHEN event_id % 997 = 5 THEN 'PLAY cam3000000000' ELSE CONCAT('PLAY cam', CAST(1 + user_id % 2 AS VARCHAR)) END AS "Name",
   CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN '[red] & "x" <y>'
+       WHEN event_id % 991 = 3 THEN 'win=900000000s' WHEN event_id % 983 = 4 THEN 'win=1e9s win=300000000000000000s'
+       WHEN event_id % 977 = 6 THEN CONCAT('line "one"', chr(10), 'line two win=3.0s')
        ELSE CONCAT('score=1.20 conf=0.40 win=', CAST(event_id % 30 AS VARCHAR), '.', CAST(event_id % 10 AS VARCHAR), 's') END AS "Note",
   CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Blue' WHEN 2 THEN 'Yellow' WHEN 3 THEN 'Orange' ELSE 'Red' END AS "Color",
   CASE WHEN event_id % 9 = 0 THEN 'n/a' ELSE CAST(event_id % 1500 AS VARCHAR) END AS "Duration"
@@ -179,6 +181,10 @@ CTES["runs1"] = _RUNS.format(keys="game_id, cam", table="smoothed1")
 CTES["tops1"] = _TOPS.format(keys="game_id, cam", table="runs1")
 _detector("1", "series1 s ON s.game_id = t.game_id AND s.cam = t.cam", "smoothed1")
 
+CTES["event_lines"] = """
+SELECT game_id, ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY score DESC, start_s) AS pos,
+  CONCAT_WS(',', printf('%.3f', start_s), printf('%.3f', end_s), printf('%.4f', score), primary_cam, printf('%.4f', conf)) AS line FROM final2"""
+
 # Markers -----------------------------------------------------------------------------------------
 
 CTES["plays"] = """
@@ -190,26 +196,29 @@ SELECT game_id, seq, frame, name, note, color, duration FROM plays
 UNION ALL
 SELECT game_id, seq + 1, CAST(round_even((end_s + 1.0) * 60.0, 0) AS BIGINT), 'REPLAY', CONCAT('after=1.0s from end | ', name, ' | ', note), color, 1
 FROM plays WHERE color IN ('Orange', 'Red')"""
-CTES["raw_typed"] = r"""
-SELECT game_id, seq, CAST(TRUNC(TRY_CAST("Frame" AS DOUBLE)) AS BIGINT) AS frame, TRIM("Name") AS name, TRIM("Note") AS note, TRIM("Color") AS color,
-  CAST(TRUNC(TRY_CAST("Duration" AS DOUBLE)) AS BIGINT) AS dur, TRY_CAST(NULLIF(regexp_extract("Note", '(?i)\bwin\s*=\s*([0-9]+(?:\.[0-9]+)?)s\b', 1), '') AS DOUBLE) AS win
-FROM fx_markers_raw WHERE TRY_CAST("Frame" AS DOUBLE) IS NOT NULL"""
+_TYPED = r"""
+SELECT *, TRY_CAST(round_even(win * 60, 0) AS BIGINT) AS wf FROM (
+  SELECT game_id, seq, TRY_CAST(TRUNC(TRY_CAST("Frame" AS DOUBLE)) AS BIGINT) AS frame, TRIM("Name") AS name, TRIM("Note") AS note, TRIM("Color") AS color,
+    CAST(TRUNC(TRY_CAST("Duration" AS DOUBLE)) AS BIGINT) AS dur, TRY_CAST(NULLIF(regexp_extract("Note", '(?i)\bwin\s*=\s*([0-9]+(?:\.[0-9]+)?)s\b', 1), '') AS DOUBLE) AS win
+  FROM {table} WHERE ABS(TRY_CAST("Frame" AS DOUBLE)) <= 4503599627370496)"""
+CTES["raw_typed"] = _TYPED.format(table="fx_markers_raw")
 CTES["fx_markers"] = """
 SELECT game_id, seq, frame, name, note, CASE WHEN color = '' THEN 'Blue' ELSE color END AS color,
-  GREATEST(1, COALESCE(dur, CAST(round_even(win * 60, 0) AS BIGINT), 1)) AS duration FROM raw_typed"""
-CTES["edl_events"] = """
+  GREATEST(1, COALESCE(dur, wf, 1)) AS duration FROM raw_typed"""
+_EDL_EVENTS = """
 SELECT game_id, ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY frame, seq) AS event_no, frame AS in_frame,
-  frame + CASE WHEN UPPER(name) = 'REPLAY' OR win IS NULL OR win <= 0 THEN 1 ELSE GREATEST(1, CAST(round_even(win * 60, 0) AS BIGINT)) END AS out_frame,
+  frame + CASE WHEN UPPER(name) = 'REPLAY' OR wf IS NULL THEN 1 ELSE GREATEST(1, wf) END AS out_frame,
   CASE WHEN LENGTH(label) > 120 THEN CONCAT(LEFT(label, 117), '...') ELSE label END AS label
-FROM (SELECT *, TRIM(CONCAT_WS(' ', CASE WHEN color <> '' THEN CONCAT('[', color, ']') END, NULLIF(name, ''), NULLIF(note, ''))) AS label FROM raw_typed)"""
+FROM (SELECT *, TRIM(CONCAT_WS(' ', CASE WHEN color <> '' THEN CONCAT('[', color, ']') END, NULLIF(name, ''), NULLIF(REPLACE(note, chr(10), ' '), ''))) AS label FROM {table})"""
+CTES["edl_events"] = _EDL_EVENTS.format(table="raw_typed")
 CTES["ranges"] = r"""
 SELECT game_id, seq, frame, name, note,
   CONCAT(UPPER(LEFT(word, 1)), LOWER(SUBSTRING(word, 2))) AS color, length AS duration, frame + 3600 AS start_frame, frame + length + 3600 AS end_frame,
   COALESCE(TRY_CAST(NULLIF(regexp_extract(name, '(?i)\bcam([0-9]+)\b', 1), '') AS INT), TRY_CAST(NULLIF(regexp_extract(note, '(?i)\bcam([0-9]+)\b', 1), '') AS INT), 1) - 1 AS angle
-FROM (SELECT *, GREATEST(1, CAST(round_even(win * 60, 0) AS BIGINT)) AS length,
+FROM (SELECT *, GREATEST(1, TRY_CAST(round_even(win * 60, 0) AS BIGINT)) AS length,
         COALESCE(NULLIF(regexp_extract(name, '\[([A-Za-z]+)\]', 1), ''), NULLIF(regexp_extract(note, '\[([A-Za-z]+)\]', 1), ''), 'Blue') AS word
       FROM (SELECT *, TRY_CAST(NULLIF(regexp_extract(note, '(?i)\bwin\s*=\s*([0-9]+(?:\.[0-9]+)?)s\b', 1), '') AS DOUBLE) AS win FROM fx_markers)
-      WHERE UPPER(name) <> 'REPLAY' AND win > 0)"""
+      WHERE UPPER(name) <> 'REPLAY' AND win > 0 AND TRY_CAST(round_even(win * 60, 0) AS BIGINT) IS NOT NULL)"""
 CTES["cuts"] = "SELECT DISTINCT game_id, UNNEST([start_frame, end_frame]) AS frame FROM ranges"
 CTES["fx_clips"] = """
 SELECT DISTINCT game_id, frame // 5000 AS clip_id, frame // 5000 * 5000 AS start_frame, (frame // 5000 + 1) * 5000 AS end_frame FROM fx_markers"""
@@ -236,6 +245,7 @@ def _spread(lines: list[str]) -> str:
     return "UNNEST([" + ", ".join(lines) + "])"
 
 
+# The texts of the two interchange formats.
 _EDL = f"""
 SELECT game_id, 1 + UNNEST([0, 1, 2]) AS line_no, UNNEST(['TITLE: HOCKEY_WINDOWS', 'FCM: NON-DROP FRAME', '']) AS line FROM (SELECT DISTINCT game_id FROM edl_events)
 UNION ALL
@@ -294,8 +304,7 @@ SELECTS: dict[str, str] = {
     "sample_to_grid": "SELECT * FROM fx_signals",
     "read_markers": """SELECT * FROM (SELECT game_id, ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY seq) AS pos, "Frame", "Name", "Note", "Color", "Duration"
         FROM fx_markers_raw WHERE TRY_CAST("Frame" AS DOUBLE) IS NOT NULL)""",
-    "write_events": """SELECT game_id, printf('%.3f', start_s) AS start_s, printf('%.3f', end_s) AS end_s, printf('%.4f', score) AS score,
-        primary_cam, printf('%.4f', conf) AS confidence FROM final2""",
+    "write_events": "SELECT game_id, pos, line FROM event_lines",
     "write_markers": """SELECT game_id, ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY seq) AS pos, frame AS "Frame", name AS "Name", note AS "Note",
         color AS "Color", duration AS "Duration" FROM play_replay""",
     "fcpxml_lines": _XML,
@@ -354,7 +363,7 @@ SELECTS: dict[str, str] = {
     "normalize_markers": "SELECT * FROM fx_markers",
     "to_edl_events": "SELECT * FROM edl_events",
     "marker_label": """SELECT game_id, seq, CASE WHEN LENGTH(label) > 120 THEN CONCAT(LEFT(label, 117), '...') ELSE label END AS label FROM (
-        SELECT game_id, seq, TRIM(CONCAT_WS(' ', CASE WHEN color <> '' THEN CONCAT('[', color, ']') END, NULLIF(name, ''), NULLIF(CONCAT(note, REPEAT('+', CAST(seq % 120 AS INT))), ''))) AS label FROM raw_typed)""",
+        SELECT game_id, seq, TRIM(CONCAT_WS(' ', CASE WHEN color <> '' THEN CONCAT('[', color, ']') END, NULLIF(name, ''), NULLIF(CONCAT(REPLACE(note, chr(10), ' '), REPEAT('+', CAST(seq % 120 AS INT))), ''))) AS label FROM raw_typed)""",
     "rational_time": f"SELECT game_id, seq, {_RATIONAL.format(n='frame')} AS start, {_RATIONAL.format(n='duration')} AS length FROM fx_markers",
     "xml_escape": f"SELECT game_id, seq, {_ESCAPED.format(c='note')} AS escaped FROM fx_markers",
     "tag_note": "SELECT game_id, seq, CASE WHEN note = '' THEN CONCAT('[', color, ']') ELSE CONCAT('[', color, '] ', note) END AS note FROM fx_markers",
@@ -363,8 +372,9 @@ SELECTS: dict[str, str] = {
         LEFT JOIN ranges r ON r.game_id = m.game_id AND r.seq = m.seq GROUP BY m.game_id""",
     "split_points": "SELECT * FROM cuts",
     "split_clips": "SELECT * FROM pieces",
-    "assign_angles": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, COALESCE(arg_min(r.angle, (r.start_frame, r.seq)), c.clip_id % 3 + 4) AS angle FROM fx_clips c
-        LEFT JOIN ranges r ON r.game_id = c.game_id AND r.start_frame <= (c.start_frame + c.end_frame) / 2.0 AND (c.start_frame + c.end_frame) / 2.0 < r.end_frame GROUP BY c.game_id, c.clip_id, c.start_frame, c.end_frame""",
+    "assign_angles": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, COALESCE(arg_min(r.angle, (r.start_frame, r.seq)), c.clip_id % 3 + 4) AS angle
+        FROM (SELECT *, 1 AS copy FROM fx_clips UNION ALL SELECT *, 2 FROM fx_clips WHERE clip_id % 5 = 0) c
+        LEFT JOIN ranges r ON r.game_id = c.game_id AND r.start_frame <= (c.start_frame + c.end_frame) / 2.0 AND (c.start_frame + c.end_frame) / 2.0 < r.end_frame GROUP BY c.game_id, c.clip_id, c.start_frame, c.end_frame, c.copy""",
     "merge_markers": "SELECT game_id, frame, color, name, note, duration FROM merge_dst UNION ALL SELECT * FROM merge_new",
     "merge_counts": """SELECT s.game_id, COALESCE(n.c, 0) AS copied, s.c - COALESCE(n.c, 0) AS skipped FROM (SELECT game_id, COUNT(*) AS c FROM merge_src GROUP BY 1) s
         LEFT JOIN (SELECT game_id, COUNT(*) AS c FROM merge_new GROUP BY 1) n USING (game_id)""",
@@ -376,19 +386,21 @@ SELECTS: dict[str, str] = {
     "markers_v2": "SELECT * FROM play_replay",
     "conform_timeline": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, COALESCE(arg_min(r.angle, (r.start_frame, r.seq)), c.clip_id % 3 + 4) AS angle FROM pieces c
         LEFT JOIN ranges r ON r.game_id = c.game_id AND r.start_frame <= (c.start_frame + c.end_frame) / 2.0 AND (c.start_frame + c.end_frame) / 2.0 < r.end_frame GROUP BY c.game_id, c.clip_id, c.start_frame, c.end_frame""",
-    "slice_maxima": """SELECT t.game_id, t.cam, t.idx, t.value FROM tops t JOIN attack a ON a.game_id = t.game_id AND a.cam = t.cam AND a.idx = t.idx WHERE t.value >= threshold""",
 }
 
-# The published lines of the batch run: one row per written line or table row.
-_BATCH_EVENTS = "SELECT game_id, 'events' AS kind, CONCAT_WS(',', printf('%.3f', start_s), printf('%.3f', end_s), printf('%.4f', score), primary_cam, printf('%.4f', conf)) AS line FROM final2"
-SELECTS["run_game_batch"] = f"""SELECT game_id, kind, COUNT(*) AS lines FROM (
-  {_BATCH_EVENTS}
-  UNION ALL SELECT game_id, 'markers', note FROM play_replay
-  UNION ALL SELECT game_id, 'fcpxml', name FROM play_replay
-  UNION ALL SELECT DISTINCT game_id, 'fcpxml', UNNEST(RANGE(0, 18))::VARCHAR FROM play_replay
-  UNION ALL SELECT game_id, 'edl', UNNEST([note, name, color, ''])::VARCHAR FROM play_replay
-  UNION ALL SELECT DISTINCT game_id, 'edl', UNNEST(RANGE(0, 3))::VARCHAR FROM play_replay) GROUP BY ALL"""
-del SELECTS["slice_maxima"]
+# The published lines of the batch run, from the final events and the markers as they are written.
+CTES["batch_raw"] = """
+SELECT game_id, seq, CAST(frame AS VARCHAR) AS "Frame", name AS "Name", note AS "Note", color AS "Color", CAST(duration AS VARCHAR) AS "Duration" FROM play_replay"""
+CTES["batch_typed"] = _TYPED.format(table="batch_raw")
+CTES["batch_edl"] = _EDL_EVENTS.format(table="batch_typed")
+CTES["batch_games"] = "SELECT DISTINCT game_id FROM fx_events UNION SELECT -1"
+SELECTS["run_game_batch"] = f"""
+SELECT game_id, 'events' AS kind, pos, line FROM event_lines
+UNION ALL SELECT game_id, 'events', 0, 'start_s,end_s,score,primary_cam,confidence' FROM batch_games
+UNION ALL SELECT game_id, 'markers', ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY seq), CONCAT_WS(',', frame, name, note, color, duration) FROM play_replay
+UNION ALL SELECT game_id, 'markers', 0, 'Frame,Name,Note,Color,Duration' FROM batch_games
+UNION ALL SELECT game_id, 'fcpxml', line_no, line FROM ({_XML.replace("fx_markers", "play_replay")})
+UNION ALL SELECT game_id, 'edl', line_no, line FROM ({_EDL.replace("SELECT DISTINCT game_id FROM edl_events", "SELECT game_id FROM batch_games").replace("edl_events", "batch_edl")})"""
 
 _CASTS = {"i": "CAST({c} AS BIGINT)", "f": "ROUND(CAST({c} AS DOUBLE), 6) + 0.0", "g": "ROUND(CAST({c} AS DOUBLE), 9) + 0.0", "s": "CAST({c} AS VARCHAR)", "b": "CAST({c} AS BOOLEAN)"}
 

@@ -139,7 +139,7 @@ def pair_sources(spark, sf_dir):
 
 @query("game_id:i cam:i idx:i net:f slot:f audio:f")
 def sample_to_grid(spark, sf_dir):
-    return EX.sample_to_grid(X.timed_events(spark, sf_dir), 1.0 / 600.0, values=["net", "slot", "audio"], n_samples=X.GRID)
+    return X.event_grid(spark, sf_dir)
 
 
 @query("game_id:i pos:i Frame:s Name:s Note:s Color:s Duration:s")
@@ -150,11 +150,12 @@ def read_markers(spark, sf_dir):
     return _position(TB.read_markers(spark, path))
 
 
-@query("game_id:i start_s:s end_s:s score:s primary_cam:i confidence:s")
+@query("game_id:i pos:i line:s")
 def write_events(spark, sf_dir):
+    """The lines of the written files in their order, without headers."""
     path = _scratch(spark, "events")
     TB.write_events(_detection(spark, sf_dir).scored, path)
-    return spark.read.schema("start_s string, end_s string, score string, primary_cam int, confidence string, game_id int").csv(path, header=True)
+    return _position(_written_lines(spark, path).filter(F.col("line") != ",".join(TB.EVENT_HEADER)))
 
 
 @query("game_id:i pos:i Frame:i Name:s Note:s Color:s Duration:i")
@@ -459,8 +460,10 @@ def split_clips(spark, sf_dir):
 
 @query("game_id:i clip_id:i start_frame:i end_frame:i angle:i")
 def assign_angles(spark, sf_dir):
+    """Every fifth clip is there twice."""
     markers = X.markers(spark, sf_dir)
-    return TL.assign_angles(X.clips(markers), cut(TL.expand_markers(markers, FPS60, 3600)))
+    clips = X.clips(markers)
+    return TL.assign_angles(clips.unionByName(clips.filter(F.col("clip_id") % 5 == 0)), cut(TL.expand_markers(markers, FPS60, 3600)))
 
 
 @query("game_id:i frame:i color:s name:s note:s duration:i")
@@ -500,16 +503,30 @@ def markers_v2(spark, sf_dir):
     return D.markers_v2(X.signals(spark, sf_dir), CFG)
 
 
-@query("game_id:i kind:s lines:i")
+def _written_lines(spark, path: str) -> DataFrame:
+    """(game_id, seq, line) of text files, in the order of the part numbers and of the lines in them."""
+    part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.text(path).select("game_id", (F.shiftleft(part, 36) + F.col("_metadata.file_block_start") + row).alias("seq"), F.col("value").alias("line"))
+
+
+@query("game_id:i kind:s pos:i line:s")
 def run_game_batch_query(spark, sf_dir):
-    """Everything the run writes, counted by game and kind."""
-    paths = run_game_batch(spark, X.signals(spark, sf_dir), _scratch(spark, "batch"), CFG)
+    """Every line the run writes, in order; a table's header has position 0. Game -1 has samples and no events."""
+    quiet = spark.range(200).select(F.lit(-1).alias("game_id"), (F.col("id") % 2 + 1).cast("int").alias("cam"), F.floor(F.col("id") / 2).alias("idx"),
+                                    *[F.lit(0.0).alias(c) for c in ("net", "slot", "audio")])
+    paths = run_game_batch(spark, X.signals(spark, sf_dir).unionByName(quiet), _scratch(spark, "batch"), CFG)
+    headers = {"events": ",".join(TB.EVENT_HEADER), "markers": ",".join(TB.MARKER_HEADER)}
     rows = None
     for kind, path in paths.items():
-        text = spark.read.option("header", True).csv(path) if kind in ("events", "markers") else spark.read.text(path)
-        text = text.select("game_id", F.lit(kind).alias("kind"))
-        rows = text if rows is None else rows.unionByName(text)
-    return rows.groupBy("game_id", "kind").agg(F.count(F.lit(1)).alias("lines"))
+        lines = _written_lines(spark, path)
+        header = F.col("line") == headers.get(kind)
+        body = _position(lines.filter(~header) if kind in headers else lines).select("game_id", "pos", "line")
+        if kind in headers:
+            body = body.unionByName(lines.filter(header).select("game_id", F.lit(0).cast("long").alias("pos"), "line").distinct())
+        body = body.withColumn("kind", F.lit(kind))
+        rows = body if rows is None else rows.unionByName(body)
+    return rows
 
 
 @query("game_id:i clip_id:i start_frame:i end_frame:i angle:i")

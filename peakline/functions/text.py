@@ -28,15 +28,26 @@ def parse_win_seconds(note: Column) -> Column:
     return _first_match(note, WIN_PATTERN).try_cast("double")
 
 
+#: Frame numbers and lengths beyond this are no numbers: sums of a few of them stay exact.
+MOST_FRAMES = 1 << 52
+
+
+def win_frames(note: Column, fps: float) -> Column:
+    """Frames of the first `win=..s`, half to even; null without one or beyond MOST_FRAMES."""
+    frames = F.rint(parse_win_seconds(note) * F.lit(fps))
+    return F.when(frames <= MOST_FRAMES, frames).try_cast("long")
+
+
 def parse_color(name: Column, note: Column) -> Column:
     """First bracketed word of the name, then of the note, capitalised; Blue without one."""
     return F.initcap(F.coalesce(_first_match(name, COLOR_PATTERN), _first_match(note, COLOR_PATTERN), F.lit("Blue")))
 
 
 def parse_cam_angle(name: Column, note: Column) -> Column:
-    """0-based angle of the first `camN` in the name, then in the note; 0 without one."""
-    found = F.coalesce(_first_match(name, CAM_PATTERN), _first_match(note, CAM_PATTERN))
-    return F.coalesce(found.cast("int") - 1, F.lit(0))
+    """0-based angle of the first `camN` in the name, then in the note; 0 without one. A number beyond
+    the integers counts as none."""
+    found = F.coalesce(_first_match(name, CAM_PATTERN).try_cast("int"), _first_match(note, CAM_PATTERN).try_cast("int"))
+    return F.coalesce(found - 1, F.lit(0))
 
 
 def marker_label(color: Column, name: Column, note: Column) -> Column:

@@ -162,15 +162,19 @@ def audio_or_zeros(signals: DataFrame, audio: DataFrame, value: str = "rms") ->
 
 
 def sample_to_grid(df: DataFrame, fps: float, keys: list[str] = SERIES, time_s: str = "t_s",
-                   values: list[str] = ("value",), n_samples: int | None = None) -> DataFrame:
+                   values: list[str] = ("value",), n_samples: int | None = None, origin_s: float = 0.0) -> DataFrame:
     """Time-stamped rows onto a dense 1/fps grid: summed per bin, gaps filled with 0.
 
     Rows and empty grid cells meet in one aggregate, so each row is shuffled once and already
-    combined on the map side. Without `n_samples` each series ends with its own last bin.
+    combined on the map side. Sample 0 begins at `origin_s`; a row before it is an error. Rows without a
+    time have no place and are left out. Without `n_samples` each series ends with its own last bin; with it
+    the grid is that long, and later rows are cut off.
     """
     keys = list(keys)
-    cell = F.floor(F.col(time_s) * F.lit(fps)).cast("long")
-    binned = df.withColumn("idx", cell).filter(F.col("idx") >= 0)
+    place = F.col(time_s) if origin_s == 0 else F.col(time_s) - F.lit(origin_s)
+    cell = F.floor(place * F.lit(fps)).cast("long")
+    early = F.raise_error(F.concat(F.lit("a row lies before the origin: "), F.col(time_s).cast("string"))).cast("long")
+    binned = df.withColumn("idx", F.when(cell < 0, early).otherwise(cell)).filter(F.col("idx").isNotNull())
     if n_samples is not None:
         binned = binned.filter(F.col("idx") < n_samples)
         lengths = df.select(*keys).distinct().withColumn("n", F.lit(n_samples).cast("long"))

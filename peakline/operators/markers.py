@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from peakline.config import DetectConfig
 from peakline.functions.color import color_class, color_rank
-from peakline.functions.text import fixed, marker_label, parse_win_seconds, strip, tag_note, xml_escape
+from peakline.functions.text import MOST_FRAMES, fixed, marker_label, strip, tag_note, win_frames, xml_escape
 from peakline.functions.timecode import frames_to_tc, rational_time, sec_to_frame, tc_to_frames
 from peakline.operators.chunks import floor_div, number_rows
 
@@ -66,9 +66,10 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def whole_number(col: Column) -> Column:
-    """The integer part of a numeric text, else null (also for inf and nan)."""
+    """The integer part of a numeric text, else null (also for inf, nan and beyond MOST_FRAMES)."""
     text = strip(col)
-    return F.when(text.rlike(_NUMBER), text.try_cast("double")).try_cast("long")
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.when(F.abs(number) <= MOST_FRAMES, number).try_cast("long")
 
 
 def _clean(raw: DataFrame) -> DataFrame:
@@ -80,14 +81,10 @@ def _clean(raw: DataFrame) -> DataFrame:
             .filter(F.col("_frame").isNotNull()))
 
 
-def _win_frames(note: Column, fps: int) -> Column:
-    return F.rint(parse_win_seconds(note) * F.lit(fps)).cast("long")
-
-
 def normalize_markers(raw: DataFrame, fps: int) -> DataFrame:
     """Typed markers: the Duration column counts, the note's `win=` only where it is not a number."""
     one = F.lit(1).cast("long")
-    length = F.coalesce(whole_number(F.col("_duration")), _win_frames(F.col("_note"), fps), one)
+    length = F.coalesce(whole_number(F.col("_duration")), win_frames(F.col("_note"), fps), one)
     return _clean(raw).select(
         "game_id", "seq", F.col("_frame").alias("frame"), F.col("_name").alias("name"), F.col("_note").alias("note"),
         F.when(F.col("_color") == "", F.lit("Blue")).otherwise(F.col("_color")).alias("color"),
@@ -96,16 +93,17 @@ def normalize_markers(raw: DataFrame, fps: int) -> DataFrame:
 
 def number_by_frame(df: DataFrame, frame: str, name: str) -> DataFrame:
     """Position within a game by (frame, seq)."""
-    place = F.struct(F.col(frame).alias("f"), floor_div(F.col("seq"), 65536).alias("s"))
-    levels = [("_block", floor_div(F.col(frame), 256)), ("_place", place)]
+    # Frames are below 2^52: every level has at most 4,096 buckets inside one of the level above.
+    levels = [(f"_f{bits}", floor_div(F.col(frame), 1 << bits)) for bits in (44, 32, 20, 8)] + [("_f", F.col(frame))]
+    levels += [(f"_s{bits}", floor_div(F.col("seq"), 1 << bits)) for bits in (40, 28, 16)]
     return number_rows(df, ["game_id"], levels, [frame, "seq"], name)
 
 
 def to_edl_events(raw: DataFrame, fps: int) -> DataFrame:
     """Cut-list events: length from the note's `win=` alone, one frame for replays and rows without it."""
-    win = parse_win_seconds(F.col("_note"))
-    point = (F.upper(F.col("_name")) == "REPLAY") | win.isNull() | (win <= 0)
-    length = F.when(point, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), _win_frames(F.col("_note"), fps)))
+    frames = win_frames(F.col("_note"), fps)
+    point = (F.upper(F.col("_name")) == "REPLAY") | frames.isNull()
+    length = F.when(point, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), frames))
     events = _clean(raw).select(
         "game_id", "seq", F.col("_frame").alias("in_frame"), (F.col("_frame") + length).alias("out_frame"),
         marker_label(F.col("_color"), F.col("_name"), F.col("_note")).alias("label"))

@@ -135,6 +135,8 @@ def _counted(df: DataFrame, measures: Mapping[str, Sequence[float]], keys: list[
             lo = F.col(f"_v{targets.index((m, float(p), 'lo'))}")
             hi = F.col(f"_v{targets.index((m, float(p), 'hi'))}")
             position = F.lit(float(p) / 100.0) * (F.col(f"{m}_n") - F.lit(1))
-            out.append((lo + (hi - lo) * (position - F.floor(position))).alias(percentile_name(m, p)))
+            # The built-in's own expression, so that both plans give the same bits.
+            between = (F.ceil(position) - position) * lo + (position - F.floor(position)) * hi
+            out.append(F.when(lo == hi, lo).otherwise(between).alias(percentile_name(m, p)))
     counts = [F.coalesce(F.col(f"{m}_n"), F.lit(0).cast("long")).alias(f"{m}_n") for m in names]
     return joined.select(*keys, "last_chunk", *counts, *out)

@@ -5,36 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakline.functions.text import parse_cam_angle, parse_color, parse_win_seconds, strip
+from peakline.functions.text import parse_cam_angle, parse_color, parse_win_seconds, strip, win_frames
 from peakline.operators import limits
 from peakline.operators.chunks import bucket_prefix, explode_range, floor_div
 from peakline.operators.cut import cut
 
 FRAMES_PER_BIN = 4096
-_LEVELS = 16  # 4^16 frames, over two years at 60 frames a second
 
 MARKER_SIGNATURE = ["game_id", "frame", "color", "name", "note", "duration"]
 
 
-def _expandable(markers: DataFrame) -> Column:
+def _expandable(markers: DataFrame, fps: float) -> Column:
+    """A length that is no number of frames (see `win_frames`) is no length."""
     win = parse_win_seconds(F.col("note"))
-    return F.coalesce((F.upper(strip(F.coalesce("name", F.lit("")))) != "REPLAY") & (win > 0), F.lit(False))
+    return F.coalesce((F.upper(strip(F.coalesce("name", F.lit("")))) != "REPLAY") & (win > 0) & win_frames(F.col("note"), fps).isNotNull(), F.lit(False))
 
 
 def expand_markers(markers: DataFrame, fps: float, start_frame: int = 0) -> DataFrame:
     """Point markers to ranges on the absolute frame axis, with colour and 0-based angle."""
     name, note = strip(F.coalesce("name", F.lit(""))), F.coalesce("note", F.lit(""))
-    length = F.greatest(F.lit(1).cast("long"), F.rint(parse_win_seconds(F.col("note")) * F.lit(fps)).cast("long"))
+    length = F.greatest(F.lit(1).cast("long"), win_frames(F.col("note"), fps))
     offset = F.lit(start_frame).cast("long")
-    return (markers.filter(_expandable(markers))
+    return (markers.filter(_expandable(markers, fps))
             .select("game_id", "seq", "frame", parse_color(name, note).alias("color"), name.alias("name"), note.alias("note"),
                     length.alias("duration"), (F.col("frame") + offset).alias("start_frame"),
                     (F.col("frame") + length + offset).alias("end_frame"), parse_cam_angle(name, note).alias("angle")))
 
 
-def expansion_counts(markers: DataFrame) -> DataFrame:
+def expansion_counts(markers: DataFrame, fps: float = 60) -> DataFrame:
     """Markers expanded and skipped per game."""
-    yes = _expandable(markers).cast("long")
+    yes = _expandable(markers, fps).cast("long")
     return markers.groupBy("game_id").agg(F.sum(yes).alias("expanded"), F.sum(1 - yes).alias("skipped"))
 
 
@@ -78,7 +78,7 @@ def _with_cover(ranges: DataFrame) -> DataFrame:
     """Fewest aligned blocks of 4^_level frames (numbered _node) that make up [start_frame, end_frame)."""
     level = F.col("_level")
     size = F.call_function("shiftleft", F.lit(1).cast("long"), (level * 2).cast("int"))
-    deepest = F.least(F.lit(_LEVELS - 1), F.floor(F.log(4.0, F.col("end_frame") - F.col("start_frame"))).cast("int") + 1)
+    deepest = F.floor(F.log(4.0, F.col("end_frame") - F.col("start_frame"))).cast("int") + 1
     levels = (ranges.withColumn("_level", F.explode(F.sequence(F.lit(0), deepest)))
               .withColumn("_a", _shift(F.col("start_frame") + size - 1, level)).withColumn("_b", _shift(F.col("end_frame"), level))
               .withColumn("_up", F.floor((F.col("_a") + 3) / 4) * 4).withColumn("_down", F.floor(F.col("_b") / 4) * 4)
@@ -96,25 +96,25 @@ def assign_angles(clips: DataFrame, ranges: DataFrame) -> DataFrame:
     Ranges are written as aligned blocks, and only the first range of each block is kept; a midpoint
     then looks up the one block per level it lies in. The cost is a few rows per range and per clip
     however many ranges overlap, and no pair of clip and range is ever formed beyond those. Clips
-    without a match keep the angle they have (null without an `angle` column).
+    without a match keep the angle they have (null without an `angle` column); repeated clips stay.
     """
     if "angle" not in clips.columns:
         clips = clips.withColumn("angle", F.lit(None).cast("int"))
     # The longest range decides how many levels exist at all.
     longest = ranges.agg(F.max(F.col("end_frame") - F.col("start_frame"))).first()[0] or 1
-    deepest = next(k for k in range(_LEVELS) if 4 ** (k + 1) > longest or k == _LEVELS - 1)
-    middle = F.floor((F.col("start_frame") + F.col("end_frame")) / F.lit(2)).cast("long")
-    probes = (clips.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
-              .withColumn("_node", _shift(middle, F.col("_level"))))
+    deepest = (int(longest).bit_length() - 1) // 2
+    clips = cut(clips.withColumn("_middle", F.floor((F.col("start_frame") + F.col("end_frame")) / F.lit(2)).cast("long")))
+    probes = (clips.select("game_id", "_middle").distinct().withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
+              .withColumn("_node", _shift(F.col("_middle"), F.col("_level"))))
     place = ["game_id", "_level", "_node"]
     cover = _with_cover(ranges).select(*place, "start_frame", "seq", "angle")
     if clips.count() * (deepest + 1) <= limits.FEW_PROBES:
         # Counted and few: blocks that no clip asks for are dropped where the ranges are read.
         cover = cover.join(F.broadcast(probes.select(*place).distinct()), place, "left_semi")
     blocks = cover.groupBy(*place).agg(F.min(F.struct("start_frame", "seq", "angle")).alias("_range"))
-    return (probes.join(blocks, place, "left")
-            .groupBy(*clips.columns).agg(F.min("_range").alias("_range"))
-            .withColumn("angle", F.coalesce(F.col("_range.angle"), F.col("angle"))).drop("_range"))
+    first = probes.join(blocks, place).groupBy("game_id", "_middle").agg(F.min("_range").alias("_range"))
+    return (clips.join(first, ["game_id", "_middle"], "left")
+            .withColumn("angle", F.coalesce(F.col("_range.angle"), F.col("angle"))).drop("_range", "_middle"))
 
 
 def marker_signature(markers: DataFrame) -> DataFrame:

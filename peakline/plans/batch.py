@@ -8,7 +8,7 @@ from peakline.config import DetectConfig
 from peakline.operators import markers as M
 from peakline.operators.cut import cut
 from peakline.plans.detect import markers_of, run_detection
-from peakline.sources.tables import read_markers, write_events, write_fcpxml, write_lines, write_markers
+from peakline.sources.tables import EVENT_HEADER, MARKER_HEADER, read_markers, write_events, write_fcpxml, write_headers, write_lines, write_markers
 
 
 def run_game_batch(spark: SparkSession, signals: DataFrame, out: str, cfg: DetectConfig | None = None,
@@ -16,14 +16,22 @@ def run_game_batch(spark: SparkSession, signals: DataFrame, out: str, cfg: Detec
     """Writes events, markers, FCPXML and cut lists below `out`; returns the folder of each.
 
     The interchange files are made from the written marker table, as a user would make them later.
+    A game without events gets tables and a cut list that hold their header only, and no FCPXML.
     """
     cfg = cfg or DetectConfig.live()
     paths = {name: f"{out}/{name}" for name in ("events", "markers", "fcpxml", "edl")}
+    games = cut(signals.select("game_id").distinct())
     run = run_detection(signals, cfg, 2)
     write_events(run.scored, paths["events"])
     write_markers(markers_of(run.scored, cfg), paths["markers"])
+    quiet = games.join(run.scored.select("game_id").distinct(), "game_id", "left_anti")
+    write_headers(quiet, ",".join(EVENT_HEADER), paths["events"])
+    write_headers(quiet, ",".join(MARKER_HEADER), paths["markers"])
+    if games.isEmpty():
+        return paths
     raw = cut(read_markers(spark, paths["markers"]))
     fps = cfg.timeline_fps
-    write_fcpxml(cut(M.fcpxml_lines(M.normalize_markers(raw, fps), fps, project)), paths["fcpxml"])
-    write_lines(cut(M.edl_lines(cut(M.to_edl_events(raw, fps)), fps)), paths["edl"])
+    if not raw.isEmpty():
+        write_fcpxml(cut(M.fcpxml_lines(M.normalize_markers(raw, fps), fps, project)), paths["fcpxml"])
+    write_lines(cut(M.edl_lines(cut(M.to_edl_events(raw, fps)), fps, games=games)), paths["edl"])
     return paths

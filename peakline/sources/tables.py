@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakline.functions.text import fixed, strip
 
 MARKER_HEADER = ["Frame", "Name", "Note", "Color", "Duration"]
+EVENT_HEADER = ["start_s", "end_s", "score", "primary_cam", "confidence"]
 
 
 def read_markers(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Raw marker rows (game_id, seq, Frame, Name, Note, Color, Duration), all text, trimmed.
 
-    Games are `game_id=...` folders. `seq` follows the row order of a game: the part number of the
-    file, then the byte offset of the split plus the row's place in it (a row is longer than a
-    byte, so later splits of a file always count higher).
+    Games are `game_id=...` folders. `seq` follows the row order of a game: its files by path, then the
+    rows of each. Quoted fields may hold line breaks, so a file is read by one task; the writer
+    splits a large game into several.
     """
-    table = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', enforceSchema=False)
+    table = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, enforceSchema=False)
     names = {c.strip(): c for c in table.columns}
     missing = [c for c in MARKER_HEADER if c not in names]
     if missing:
         raise ValueError(f"marker table lacks columns {missing}; found {sorted(names)}")
-    part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    seq = F.shiftleft(part, 44) + F.col("_metadata.file_block_start") + row
     game = F.col("game_id") if "game_id" in table.columns else F.lit(0)
     texts = [strip(F.coalesce(F.col(f"`{names[c]}`"), F.lit(""))).alias(c) for c in MARKER_HEADER]
-    return (table.select(game.alias("game_id"), seq.alias("seq"), *texts)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = table.select(game.alias("game_id"), F.col("_metadata.file_path").alias("_file"), row.alias("_row"), *texts)
+    # One row per file; the window numbers the files of a game.
+    number = F.row_number().over(Window.partitionBy("game_id").orderBy("_file")).cast("long")
+    files = rows.select("game_id", "_file").distinct().withColumn("_no", number)
+    return (rows.join(files.drop("game_id"), "_file")
+            .select("game_id", (F.shiftleft(F.col("_no") - 1, 33) + F.col("_row")).alias("seq"), *MARKER_HEADER)
             .filter(F.col("Frame").rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")))
 
 
@@ -55,6 +59,11 @@ def write_events(scored: DataFrame, path: str) -> None:
     _write_ordered(rows, ["_best", "_start"], ["_best", "_start"], "csv", path, header=True)
 
 
+def write_headers(games: DataFrame, header: str, path: str) -> None:
+    """Adds a file of one header line for each of `games`, which have no rows of their own."""
+    (games.select("game_id", F.lit(header).alias("value")).write.mode("append").partitionBy("game_id").text(path))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Text documents, one folder per game."""
     _write_ordered(lines, ["line_no"], ["line_no"], "text", path)
