@@ -204,7 +204,7 @@ def audio_rms(spark, sf_dir):
 
 def _interp(spark, sf_dir):
     audio = X.audio(spark, sf_dir)
-    lengths = audio.groupBy(*SERIES).agg(F.floor(F.count(F.lit(1)) / F.lit(X.RATE) * 12).cast("long").alias("n"))
+    lengths = cut(audio.groupBy(*SERIES).agg(F.floor(F.count(F.lit(1)) / F.lit(X.RATE) * 12).cast("long").alias("n")))
     return EX.interp_to_grid(EX.audio_rms(audio, X.RATE), EX.series_grid(lengths), fps=12)
 
 

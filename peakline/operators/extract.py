@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from peakline.operators import limits
 from peakline.operators.chunks import CHUNK, HOME, SERIES, explode_range, floor_div, with_halo
+from peakline.operators.cut import cut
 from peakline.operators.kernels import frame_diff_energy
 
 FRAMES_PER_CHUNK = 64
@@ -96,9 +98,8 @@ def framediff_energy(frames: DataFrame, rois: DataFrame, frames_per_chunk: int =
 def roi_mean_motion(motion: DataFrame, rois: DataFrame) -> DataFrame:
     """Mean motion magnitude in the net and slot rectangles; 0 for an empty patch.
 
-    Each grid is cut where it lies: no pixel becomes a row and no grid is grouped. The rectangle
-    table is joined without a hint: Spark broadcasts it while its size is under the session's
-    threshold and otherwise sort-merges, splitting a hot camera at run time.
+    Each grid is cut where it lies: no pixel becomes a row and no grid is grouped. Counted and few, the
+    rectangles are broadcast; otherwise they are repeated per run of frames, and no camera's grids meet in one task.
     """
     def mean(rect: Column) -> Column:
         rows = _rect_rows(F.col("mag"), F.col("width"), rect)
@@ -107,8 +108,14 @@ def roi_mean_motion(motion: DataFrame, rois: DataFrame) -> DataFrame:
         count = F.aggregate(rows, F.lit(0), lambda acc, row: acc + F.size(row))
         return F.when(count > 0, total / count).otherwise(F.lit(0.0))
 
-    return (_with_rects(motion, _rects_per_camera(rois), SERIES)
-            .select(*SERIES, F.col("frame_idx").alias("idx"),
+    rects = cut(_rects_per_camera(rois))
+    if rects.count() <= limits.FEW_SERIES:
+        placed = _with_rects(motion, F.broadcast(rects), SERIES)
+    else:
+        run = floor_div(F.col("frame_idx"), FRAMES_PER_CHUNK).alias(CHUNK)
+        runs = motion.select(*SERIES, run).distinct().join(rects, SERIES)
+        placed = _with_rects(motion.select("*", run), runs, [*SERIES, CHUNK])
+    return (placed.select(*SERIES, F.col("frame_idx").alias("idx"),
                     mean(F.col("net_rect")).alias("net"), mean(F.col("slot_rect")).alias("slot")))
 
 
@@ -134,8 +141,10 @@ def interp_to_grid(points: DataFrame, grid: DataFrame, fps: int, win_s: float =
     """Linear interpolation of window-centre points at idx / fps, clamped outside the points.
 
     The spacing is uniform, so a grid sample finds its two neighbours by number: an equi-join on
-    (keys, k), never an ordered merge over a whole series. `grid` holds (keys, idx).
+    (keys, k), never an ordered merge over a whole series. `grid` holds (keys, idx). The points, one row per
+    window, are computed once.
     """
+    points = cut(points)
     left = points.select(*SERIES, "k", F.col(value).alias("v0"), F.lit(None).cast("double").alias("v1"))
     right = points.select(*SERIES, (F.col("k") - 1).alias("k"), F.lit(None).cast("double").alias("v0"), F.col(value).alias("v1"))
     spans = left.unionByName(right).groupBy(*SERIES, "k").agg(F.max("v0").alias("v0"), F.max("v1").alias("v1"))

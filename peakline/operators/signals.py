@@ -132,9 +132,10 @@ def attack_profile(signals: DataFrame, cfg: DetectConfig, fused: bool, longest:
     whole = (F.col("idx") >= first - 1) & (F.col("idx") < first + size + ahead)
     smoothed = spread.select(*SERIES, CHUNK, HOME, "idx", raw.alias("raw")).withColumn("smooth", smooth).filter(whole)
     forward = chunk_window().rowsBetween(0, max(1, cfg.drop_samples) - 1)
-    segment = F.percentile(F.when(F.col(HOME), F.col("smooth")), cfg.thresh_pct / 100.0)
+    segment = F.percentile(F.when(F.col(HOME), F.col("smooth")), cfg.thresh_pct / 100.0).over(Window.partitionBy(*SERIES, CHUNK))
+    # The first detector has one threshold per series.
     return (mark_tops(smoothed.withColumn("fwd_min", F.min("smooth").over(forward)), "smooth")
-            .withColumn("segment_level", segment.over(Window.partitionBy(*SERIES, CHUNK)))
+            .withColumn("segment_level", segment if fused else F.lit(None).cast("double"))
             .filter(HOME).select(*SERIES, CHUNK, "idx", "smooth", "fwd_min", "segment_level", "rise", "left", "top"))
 
 

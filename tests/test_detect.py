@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from peakline import DetectConfig
 from peakline.operators import limits
@@ -57,3 +58,15 @@ def test_large_plans_give_the_same(spark, version, monkeypatch):
 def test_no_signals(spark):
     df = spark.createDataFrame([], "game_id int, cam int, idx long, net double, slot double, audio double")
     assert D.detect_v2(df, DetectConfig.live()).count() == 0
+
+
+def test_batch_of_quiet_games(spark, tmp_path):
+    """Games without events get headers; a batch of only such games, and an empty one, end well."""
+    from peakline.plans.batch import run_game_batch
+
+    cfg = DetectConfig.live(fps=4)
+    quiet = spark.range(200).select((F.col("id") % 2).cast("int").alias("game_id"), F.lit(1).alias("cam"), F.floor(F.col("id") / 2).alias("idx"), *[F.lit(0.0).alias(c) for c in ("net", "slot", "audio")])
+    paths = run_game_batch(spark, quiet, str(tmp_path / "quiet"), cfg)
+    assert sorted(map(tuple, spark.read.text(paths["events"]).collect())) == [("start_s,end_s,score,primary_cam,confidence", g) for g in (0, 1)]
+    assert {r[1] for r in spark.read.text(paths["markers"]).collect()} == {r[1] for r in spark.read.text(paths["edl"]).collect()} == {0, 1}
+    run_game_batch(spark, quiet.limit(0), str(tmp_path / "none"), cfg)

@@ -68,10 +68,14 @@ def test_audio_to_grid(spark, n):
 
 
 def test_grid(spark):
-    rows = [(0, 1, 0.0, 1.0), (0, 1, 0.24, 2.0), (0, 1, 1.3, 4.0), (1, 1, 0.6, 5.0), (1, 1, -1.0, 9.0)]
+    rows = [(0, 1, 0.0, 1.0), (0, 1, 0.24, 2.0), (0, 1, 1.3, 4.0), (1, 1, 0.6, 5.0)]
     df = spark.createDataFrame(rows, "game_id int, cam int, t_s double, value double")
     got = [tuple(r) for r in EX.sample_to_grid(df, 4).orderBy("game_id", "idx").collect()]
     assert got == [(0, 1, 0, 3.0), (0, 1, 1, 0.0), (0, 1, 2, 0.0), (0, 1, 3, 0.0), (0, 1, 4, 0.0), (0, 1, 5, 4.0), (1, 1, 0, 0.0), (1, 1, 1, 0.0), (1, 1, 2, 5.0)]
+    early = df.unionByName(df.limit(1).withColumn("t_s", F.lit(-1.0)))
+    with pytest.raises(Exception, match="before the origin"):
+        EX.sample_to_grid(early, 4).collect()
+    assert EX.sample_to_grid(early, 4, origin_s=-1.0).agg(F.max("idx")).first()[0] == 9
 
 
 def test_read_rois(spark, tmp_path):

@@ -153,3 +153,36 @@ def test_edl_of_a_game_without_events(spark):
     got = {g: [r.line for r in M.edl_lines(events, 60, games=games).orderBy("line_no").collect() if r.game_id == g] for g in (0, 1)}
     assert got[1] == ["TITLE: HOCKEY_WINDOWS", "FCM: NON-DROP FRAME", ""]
     assert got[0][3:] == ["001  AX       V     C        01:00:01:00 01:00:02:00 01:00:01:00 01:00:02:00", "* LOC: 01:00:01:00  NAME: x", "* COMMENT: x", ""]
+
+
+def test_line_breaks_and_free_file_names(spark, tmp_path):
+    rows = [(1, i, 10 * i, "PLAY", f'line "one"\nline, {i} win=3.0s', "Red", i + 1) for i in range(20)] + [(2, 1, 3, "PLAY", "plain", "Blue", 1)]
+    TB.write_markers(spark.createDataFrame(rows, "game_id int, seq long, frame long, name string, note string, color string, duration long"), str(tmp_path / "out"))
+    got = sorted((r.game_id, r.seq, int(r.Frame), r.Note, r.Color, int(r.Duration)) for r in TB.read_markers(spark, str(tmp_path / "out")).collect())
+    assert [(g, f, n, c, d) for g, _, f, n, c, d in got] == [(g, f, n, c, d) for g, _, f, _, n, c, d in rows]
+    folder = tmp_path / "free" / "game_id=1"
+    folder.mkdir(parents=True)
+    for name, start in (("b.csv", 50), ("a.csv", 90)):
+        (folder / name).write_text("Frame,Name,Note,Color,Duration\n" + "".join(f"{start + i},x,,,1\n" for i in range(3)))
+    seqs = {int(r.Frame): r.seq for r in TB.read_markers(spark, str(tmp_path / "free")).collect()}
+    assert len(set(seqs.values())) == 6 and sorted(seqs, key=seqs.get) == [90, 91, 92, 50, 51, 52]
+
+
+def test_bad_rows_stop_nothing(spark):
+    raw = spark.createDataFrame([(0, 1, "1", "PLAY cam3000000000", "win=99999999999999999999s", "", "9e99"), (0, 2, "99999999999999999999", "x", "", "", "1"), (0, 3, "inf", "x", "", "", "1")],
+                                "game_id int, seq long, Frame string, Name string, Note string, Color string, Duration string")
+    assert [tuple(r)[2:] for r in M.normalize_markers(raw, 60).collect()] == [(1, "PLAY cam3000000000", "win=99999999999999999999s", "Blue", 1)]
+    assert [(r.in_frame, r.out_frame) for r in M.to_edl_events(raw, 60).collect()] == [(1, 2)]
+    assert raw.select(TX.parse_cam_angle(F.col("Name"), F.col("Note")).alias("a")).first().a == 0
+
+
+def test_no_level_of_the_numbering_is_large(spark, monkeypatch):
+    """Sparse markers: no window spans more than 4,096 buckets, at any level, nor as many rows."""
+    df = spark.range(20_000).select(F.lit(0).alias("game_id"), F.col("id").alias("seq"), (F.col("id") * 720 + (F.col("id") % 7) * 2 ** 34).alias("frame"))
+    levels = [F.floor(F.col("frame") / 2 ** bits) for bits in (44, 32, 20, 8)] + [F.col("frame")]
+    for depth in range(len(levels)):
+        above = df.select(*[c.alias(f"l{i}") for i, c in enumerate(levels[:depth + 1])]).distinct()
+        assert above.groupBy(*[f"l{i}" for i in range(depth)]).count().agg(F.max("count")).first()[0] <= 4096
+    monkeypatch.setattr(limits, "SMALL_GROUP", 0)
+    got = [r.seq for r in M.number_by_frame(df, "frame", "no").orderBy("no").select("seq").collect()]
+    assert got == [r.seq for r in df.orderBy("frame", "seq").collect()]

@@ -81,3 +81,22 @@ def test_merge_is_idempotent(spark):
     assert TL.merge_markers(src, dst, dedupe=False).count() == 7
     replaced = sorted(map(tuple, TL.replace_markers(src, dst).collect()))
     assert replaced == [(0, 5, "Red", "a", "n", 1), (0, 6, "Blue", "", "", 1), (1, 5, "Red", "a", "n", 2), (2, 1, "Blue", "k", "", 1)]
+
+
+def test_long_ranges_and_repeated_clips(spark):
+    """A range of decades still reaches its clips, and equal clips stay apart."""
+    markers = spark.createDataFrame([(0, 1, 5, "PLAY cam2", "win=900000000s", "Blue", 1), (0, 2, 6, "PLAY cam3000000000", "win=1s", "Blue", 1), (0, 3, 7, "PLAY", "win=99999999999999999999s", "Blue", 1)], MARKER)
+    ranges = TL.expand_markers(markers, 60)
+    assert sorted((r.seq, r.duration, r.angle) for r in ranges.collect()) == [(1, 54_000_000_000, 1), (2, 60, 0)]
+    clips = spark.createDataFrame([(0, i, 10 ** i, 10 ** i + 10) for i in range(1, 11)] * 2, "game_id int, clip_id long, start_frame long, end_frame long")
+    got = sorted((r.clip_id, r.angle) for r in TL.assign_angles(clips, ranges).collect())
+    assert got == sorted([(i, 1) for i in range(1, 11)] * 2)
+
+
+def test_few_probes_switch_changes_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    ranges = spark.createDataFrame([(0, s, a, a + rng.randint(1, 400), rng.randint(0, 3)) for s in range(80) for a in [rng.randint(0, 3000)]], "game_id int, seq long, start_frame long, end_frame long, angle int")
+    clips = spark.createDataFrame([(0, i, 40 * i, 40 * i + 33) for i in range(80)], "game_id int, clip_id long, start_frame long, end_frame long")
+    want = sorted(map(repr, TL.assign_angles(clips, ranges).collect()))
+    monkeypatch.setattr(limits, "FEW_PROBES", 0)
+    assert sorted(map(repr, TL.assign_angles(clips, ranges).collect())) == want
