@@ -13,14 +13,13 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words remembered by one worker process.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 900_000
 #: ASCII characters that the pattern puts into tokens of their own after a letter. Fixed by the pattern; the apostrophe is not among them.
 MARKS = "#*$%&|<>!.,;:?()[]{}\"-+=/\\@^_~`"
 _PLAIN = re.compile(rf"(\n?[^\W\d_]+)([{re.escape(MARKS)}]*)")
 #: White space of the tokenizer's pattern.
 SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-_DOUBLE = re.compile(r"\s\s|^\s|\0")
 _ANY_SPACE = re.compile(r"\s")
 #: Marks a remembered piece that is not opened by one space or line break.
 AS_IS = "\0"
@@ -31,8 +30,9 @@ def pieces(text: str) -> list[str]:
     The first key is always of the last kind."""
     if not text:
         return []
-    if not _DOUBLE.search(text):
-        words = text.replace("\n", " \n").split(" ")
+    words = text.replace("\n", " \n").split(" ")
+    # Neither white space in a row nor at an end, and no other white space or control character than these two.
+    if "" not in words and "\n" not in words and words[0][0] != "\n" and text.replace("\n", "").isprintable():
         words[0] = AS_IS + words[0]
         return words
     out = []
@@ -47,12 +47,21 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+class Known(dict):
+    """Ids by key; a key that is not there gives None and is noted."""
+
+    missed: list[str] = []
+
+    def __missing__(self, key: str) -> None:
+        self.missed.append(key)
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
         self.tails: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.opens = {" ": np.zeros(size, dtype=bool), "\n": np.zeros(size, dtype=bool)}
@@ -109,13 +118,25 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, equal to what the library gives for the whole text."""
-        get = self.known.get
-        cut = [None if any(s in text for s in self.special) else pieces(text) for text in texts]
-        got = [keys and list(map(get, keys)) for keys in cut]
-        new = dict.fromkeys(key for keys, ids in zip(cut, got, strict=True) if keys and None in ids for key, x in zip(keys, ids, strict=True) if x is None)
-        found = self._learn(list(new)) if new else {}
-        return [self.whole(text) if keys is None else b"".join([found[k] if x is None else x for k, x in zip(keys, ids, strict=True)] if keys and None in ids else ids)
-                for text, keys, ids in zip(texts, cut, got, strict=True)]
+        known = self.known
+        known.missed = missed = []
+        look, out, waiting = known.__getitem__, [], []
+        for text in texts:
+            if any(s in text for s in self.special):
+                out.append([self.whole(text)])
+                continue
+            keys, before = pieces(text), len(missed)
+            ids = list(map(look, keys))
+            if len(missed) > before:
+                waiting.append((ids, keys, len(missed) - before))
+            out.append(ids)
+        found = self._learn(list(dict.fromkeys(missed))) if missed else {}
+        for ids, keys, n in waiting:
+            at = -1
+            for _ in range(n):
+                at = ids.index(None, at + 1)
+                ids[at] = found[keys[at]]
+        return [b"".join(ids) for ids in out]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import peakline
 from peakline.operators.cut import checkpoint_folder
 
 #: A word is a run of anything but ASCII white space.
@@ -23,6 +28,29 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Hands this package to the session's workers, once, as `--py-files` would. Tasks import it by name, and so keep
+    what they remember between tasks."""
+    context, folder = spark.sparkContext, Path(peakline.__file__).parent
+    if context.applicationId in _SHIPPED or not folder.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="peakline-")) / "peakline.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for path in sorted(folder.rglob("*.py")):
+            file.write(path, path.relative_to(folder.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """`mapInArrow` by workers that can import this package."""
+    shipped(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -10,31 +10,36 @@ from peakline.llm.common import stored
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of links (a, b): the label is the smallest node of its component.
 
-    Every round takes the smallest label among a node's neighbours and then the label of that label, so labels spread
-    in doubling steps. Links within one label are dropped between rounds. Minima are combined before the shuffle,
-    which keeps a node with very many links from gathering them in one task.
+    In every round each node points to the smallest of its neighbours and itself, pointers are followed to their roots in
+    doubling steps, and the links are redrawn between roots; what remains has at most half as many nodes that are still linked.
+    A star, the usual shape, takes one round. Minima are combined before the shuffle, which keeps a node with very many links from
+    gathering them in one task.
     """
-    both = stored(links.select("a", "b").filter("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a <> b")).distinct())
-    labels = stored(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    open_ = both
-    while not open_.isEmpty():
-        of = lambda node, label: labels.select(F.col("node").alias(node), F.col("label").alias(label))  # noqa: B023, E731
-        least = open_.join(of("b", "next"), "b").groupBy(F.col("a").alias("node")).agg(F.min("next").alias("next"))
-        # A root hooks onto the smallest label that any of its members sees.
-        seen = labels.join(least, "node").filter("next < label").groupBy(F.col("label").alias("root")).agg(F.min("next").alias("hook"))
-        hooked = labels.join(seen, F.col("label") == F.col("root"), "left").select("node", F.coalesce("hook", "label").alias("label"))
-        hooked = stored(hooked)
-        up = hooked.filter("node <> label").select(F.col("node").alias("at"), F.col("label").alias("above"))
-        labels = stored(hooked.join(up, F.col("label") == F.col("at"), "left").select("node", F.coalesce("above", "label").alias("label")))
-        ends = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))  # noqa: B023, E731
-        open_ = stored(open_.join(ends("a", "la"), "a").join(ends("b", "lb"), "b").filter("la <> lb").select("a", "b"))
-    return flattened(labels)
-
-
-def flattened(labels: DataFrame) -> DataFrame:
-    """Labels followed up to the root."""
+    open_ = stored(_both(links))
+    labels = None
+    while labels is None or not open_.isEmpty():
+        least = open_.groupBy("a").agg(F.min("b").alias("least"))
+        roots = _followed(stored(least.select(F.col("a").alias("node"), F.least("a", "least").alias("label"))))
+        at = lambda node, label: roots.select(F.col("node").alias(node), F.col("label").alias(label))  # noqa: B023, E731
+        if labels is None:
+            labels = roots
+        else:
+            labels = stored(labels.join(at("was", "now"), F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label")))
+        redrawn = open_.join(at("a", "la"), "a").join(at("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
+        open_ = stored(redrawn.distinct())
+    return labels
+
+
+def _both(links: DataFrame) -> DataFrame:
+    """Distinct links in both directions."""
+    one = links.select("a", "b").filter("a <> b")
+    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def _followed(pointers: DataFrame) -> DataFrame:
+    """(node, label) with every label followed to a node that points to itself."""
     while True:
-        up = labels.filter("node <> label").select(F.col("node").alias("at"), F.col("label").alias("above"))
-        if labels.join(up, F.col("label") == F.col("at"), "left_semi").isEmpty():
-            return labels
-        labels = stored(labels.join(up, F.col("label") == F.col("at"), "left").select("node", F.coalesce("above", "label").alias("label")))
+        up = pointers.filter("node <> label").select(F.col("node").alias("at"), F.col("label").alias("above"))
+        if pointers.filter("node <> label").join(up, F.col("label") == F.col("at"), "left_semi").isEmpty():
+            return pointers
+        pointers = stored(pointers.join(up, F.col("label") == F.col("at"), "left").select("node", F.coalesce("above", "label").alias("label")))

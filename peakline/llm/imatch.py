@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from peakline.llm.common import TASK_BYTES, stored, whole_text
+from peakline.llm.common import TASK_BYTES, in_arrow, shipped, stored, whole_text
 
 #: Rates 1/2, 1/4, ... of the lexicon subsets, and subsets per rate.
 LEVELS, PER_LEVEL = 10, 6
@@ -67,7 +67,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if counts:
             yield flush()
 
-    return docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "term binary, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    return docs.select(whole_text(text_col).alias("text")).transform(in_arrow, run, "term binary, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
 def lexicon(docs: DataFrame, band: Band = Band(), text_col: str = "text") -> list[bytes]:
@@ -147,6 +147,8 @@ def with_next(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     starts = [] if not n else sorted({first, *docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}, reverse=True) if parts > 1 else [first]
     ups = np.array(sorted(int(s) for s in starts), np.int64)
 
+    shipped(docs.sparkSession)
+
     @F.pandas_udf("array<int>")
     def places(ids: pd.Series) -> pd.Series:
         """2 * part of a row, and 2 * part + 1 of the part that it also ends."""
@@ -188,7 +190,7 @@ def fingerprints(docs: DataFrame, band: Band = Band(), *, id_col: str = "doc_id"
             if rows:
                 yield _answer(rows)
 
-    return with_next(narrow).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(narrow).transform(in_arrow, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 _MADE: dict[str, object] = {}

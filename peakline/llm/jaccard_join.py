@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from peakline.llm.common import WORD, stored, whole_text
+from peakline.llm.common import WORD, in_arrow, stored, whole_text
 from peakline.llm.components import components
 from peakline.llm.hashing import mixed, shingles, sorted_groups
 
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
                 types = [pa.int64()] * 2 + [pa.int32(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "node", "size", "signature", "prefixes"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, size int, signature binary, prefixes array<long>")
+    return docs.transform(in_arrow, run, "doc_id long, node long, size int, signature binary, prefixes array<long>")
 
 
 def _alike(batches: Iterator[pa.RecordBatch], doubt: float) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def candidates(classes: DataFrame, forest: Forest) -> DataFrame:
     met = stored(places.join(shared, "key"))
     small = met.filter(F.col("n") <= forest.group).select("key", "node").join(known.select("node", "signature"), "node")
     doubt = forest.doubt()
-    near = small.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _alike(batches, doubt), "a long, b long")
+    near = small.repartition("key").sortWithinPartitions("key").transform(in_arrow, lambda batches: _alike(batches, doubt), "a long, b long")
     star = met.filter((F.col("n") > forest.group) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b"))
     return stored(components(near.unionByName(star)))
 
@@ -212,13 +212,13 @@ def verified(docs: DataFrame, found: DataFrame, classes: DataFrame, forest: Fore
     blocks = sized.groupBy("label").agg(F.ceil(F.sum("size") / forest.block).cast("int").alias("blocks"))
     listed = stored(sized.join(blocks, "label").select("node", "doc", "label", "copies", "blocks"))
     texts = docs.join(listed, docs["doc_id"] == listed["doc"]).select("node", "label", "copies", "blocks", "text")
-    with_sets = texts.mapInArrow(sets, "node long, label long, copies long, blocks int, shingles array<long>")
+    with_sets = texts.transform(in_arrow, sets, "node long, label long, copies long, blocks int, shingles array<long>")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, F.col("block")).alias("one"), F.greatest(other, F.col("block")).alias("two")))
     dealt = with_sets.withColumn("block", own).withColumn("pair", F.explode(pairs)).select("label", "pair.one", "pair.two", "node", "block", "copies", "shingles")
     spread = dealt.repartition("label", "one", "two").sortWithinPartitions("label", "one", "two")
     threshold = forest.threshold
-    return spread.mapInArrow(lambda batches: _verified(batches, threshold), "node long, link long, texts long, docs long")
+    return spread.transform(in_arrow, lambda batches: _verified(batches, threshold), "node long, link long, texts long, docs long")
 
 
 def keep_one(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:

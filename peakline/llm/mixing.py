@@ -18,7 +18,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from peakline.llm.common import WORD, key_of, stored, whole_text
+from peakline.llm.common import WORD, key_of, shipped, stored, whole_text
 from peakline.operators.cut import cut
 
 #: Documents of one (source, size) that are ranked in one window; larger cells are split by hash.
@@ -135,6 +135,7 @@ def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...], share: float =
     cells = stored(sized.groupBy("key", "size").agg(F.count("*").alias("n")))
     state = tilt(cells, targets, float(max_copies))
     rated = cells.join(state.select("key", "mean", "lam", "state"), "key").select("key", "size", "n", _rate(float(max_copies)).alias("rate"), F.lit(max_copies).alias("most"))
+    shipped(docs.sparkSession)
     # One group holds one row per distinct size of a source, however many documents there are.
     whole = stored(rated.groupBy("key").applyInPandas(_whole_copies, "key string, size long, n long, rate double, copies long"))
     slot = F.xxhash64("doc_id")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from peakline.llm.common import stored, whole_text
+from peakline.llm.common import in_arrow, stored, whole_text
 
 FEATURES = ("log_words", "short", "word_length", "symbols", "shouts", "upper", "digits", "bars", "distinct", "distinct_triples", "repeated_lines", "open_lines", "line_words", "commonest", "sentence_ends")
 _SYMBOLS, _ENDS = re.compile(rb"[#*$%&|<>]"), re.compile(rb"[.!?:;][\"')\]]*\s*$")
@@ -66,7 +66,7 @@ def text_features(docs: DataFrame) -> DataFrame:
             rows = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("carried"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "carried", "features"])
 
-    return docs.select("doc_id", "carried", "text").mapInArrow(run, "doc_id long, carried int, features array<double>")
+    return docs.select("doc_id", "carried", "text").transform(in_arrow, run, "doc_id long, carried int, features array<double>")
 
 
 def preference_pairs(good: int, bad: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def score(docs: DataFrame, ranking: Ranking, decide_at: float = 0.3) -> DataFram
             value = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ weights + shift, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value), pa.array((value >= decide_at).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).transform(in_arrow, run, "doc_id long, score double, predicted int")
 
 
 def held_out(column: str = "doc_id"):

@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from peakline.llm.bpe import encoder
-from peakline.llm.common import TASK_BYTES, whole_text
+from peakline.llm.common import TASK_BYTES, in_arrow, whole_text
 
 #: Rounds of replacement, the count a pair needs in the last round, and how many rules a round may add.
 ROUNDS, LEAST_COUNT, RULES_PER_ROUND = 6, 16, 4096
 #: Pairs are counted in 2 ** CELL_BITS cells.
 CELL_BITS = 20
+#: Shards whose offsets (two numbers each) may be broadcast; with more, the join shuffles.
+BROADCAST_SHARDS = 500_000
 SHARD_SCHEMA = "shard long, base long, n_ids long, doc_ids array<long>, starts binary, rules binary, lengths binary, sequence binary"
 
 
@@ -163,15 +165,17 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0,
         if ids:
             yield close()
 
-    placed.mapInArrow(run, SHARD_SCHEMA).write.mode("overwrite").parquet(path)
+    placed.transform(in_arrow, run, SHARD_SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a file: doc_id, start (ids of all documents before it), n_tokens, and their ids as little-endian uint32 in `ids`."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    # One number per shard; the window sees shards, not documents.
+    # One number per shard; the window sees shards, not documents. The shards themselves stay where they are while that table is small.
     before = shards.select("shard", F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return shards.join(before, "shard").mapInArrow(_decoded, "doc_id long, start long, n_tokens long, ids binary")
+    if before.count() <= BROADCAST_SHARDS:
+        before = F.broadcast(before)
+    return shards.join(before, "shard").transform(in_arrow, _decoded, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from peakline.llm.common import whole_text
+from peakline.llm.common import in_arrow, whole_text
 
 #: How SentencePiece writes a space. Fixed by the format.
 MARK = "▁"
@@ -148,7 +148,7 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return narrow.transform(in_arrow, run, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -160,4 +160,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             texts = [coder.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+    return encoded.select("doc_id", "n_tokens", "ids").transform(in_arrow, run, "doc_id long, n_tokens long, ids binary, text string")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from peakline.llm.common import stored, whole_text
+from peakline.llm.common import in_arrow, stored, whole_text
 from peakline.llm.deep_shallow import common_prefix, deep_shallow
 from peakline.llm.hashing import BYTE_VALUES, mixed, prefix_hashes, sorted_groups, window_hashes
 
@@ -73,7 +73,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(at, pa.int32()), pa.array(right.astype(np.int16)), signed(key), signed(around),
                                                   pa.array(before.view(np.int64), mask=~left_ok), pa.array(after.view(np.int64), mask=~right_ok)], names=names)
 
-    return docs.mapInArrow(run, "row long, at int, right short, key long, around long, before long, after long")
+    return docs.transform(in_arrow, run, "row long, at int, right short, key long, around long, before long, after long")
 
 
 def matching_starts(lefts: list[bytes], rights: list[bytes], length: int) -> list[tuple[int, int, int]]:
@@ -155,10 +155,10 @@ def repeated_stretches(docs: DataFrame, length: int, gram: int, group: int) -> D
                 types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([*values, left, contexts], types, strict=True)], names=["part", "large", "key", "around", "left", "context"])
 
-    contexts = stored(docs.join(asked, "row").select("text", "ms").mapInArrow(cut, narrow))
+    contexts = stored(docs.join(asked, "row").select("text", "ms").transform(in_arrow, cut, narrow))
     spread = contexts.filter("NOT large").select("part", "key", "around", "left", "context").repartition("part").sortWithinPartitions("part")
-    resolved = spread.mapInArrow(lambda batches: _resolved(batches, length), "key long, around long, low int, high int")
-    starts = contexts.filter("large").select("key", "around", "left", "context").mapInArrow(lambda batches: _every_start(batches, length), "hash long, key long, around long, start int").distinct()
+    resolved = spread.transform(in_arrow, lambda batches: _resolved(batches, length), "key long, around long, low int, high int")
+    starts = contexts.filter("large").select("key", "around", "left", "context").transform(in_arrow, lambda batches: _every_start(batches, length), "hash long, key long, around long, start int").distinct()
     twice = starts.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     counted = starts.join(twice, "hash").select("key", "around", F.col("start").alias("low"), F.col("start").alias("high"))
     # Whole surroundings that occur twice need no more.
@@ -199,5 +199,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     # A row is known by its id and text: rows equal in both have the same result.
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     cuts = repeated_stretches(rows.select("row", "text"), length, gram, group).groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("cuts"))
-    return rows.join(cuts, "row", "left").select("doc_id", "text", "cuts").mapInArrow(
+    return rows.join(cuts, "row", "left").select("doc_id", "text", "cuts").transform(in_arrow, 
         _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:int,end:int>>")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from peakline.llm.bpe import encoder
-from peakline.llm.common import stored, whole_text
+from peakline.llm.common import in_arrow, stored, whole_text
 
 #: Lengths whose suffix sums are taken in one window.
 BLOCK = 4096
@@ -30,7 +30,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64())], names=["doc_id", "n_tokens"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long")
+    return narrow.transform(in_arrow, run, "doc_id long, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
