@@ -118,6 +118,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame_keys(spark, sf_dir).select("game_id", "cam", "frame_idx", "width", "height", F.transform("embedding", pixel).alias("pixels"))
 
 
+def byte_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames with one byte per pixel, as decoders give them."""
+    return frames(spark, sf_dir).withColumn("pixels", F.unhex(F.array_join(F.transform("pixels", lambda p: F.lpad(F.hex(p), 2, "0")), "")))
+
+
 def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame_keys(spark, sf_dir).select("game_id", "cam", "frame_idx", "width", "height",
                                              F.transform("embedding", lambda e: F.abs(e)).alias("mag"))
@@ -130,10 +135,10 @@ def _frame_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(8).alias("width"), F.lit(8).alias("height"), "embedding")
 
 
-def frame_rois(frames: DataFrame) -> DataFrame:
-    """A net and a slot per camera; the slot reaches over the picture's edge."""
+def frame_rois(frames: DataFrame, zoom: int = 1) -> DataFrame:
+    """A net and a slot per camera, on a picture `zoom` times as large; the slot reaches over the picture's edge."""
     def rect(roi, *numbers):
-        return F.struct(F.lit(roi).alias("roi"), *[F.lit(n).alias(c) for c, n in zip("xywh", numbers)])
+        return F.struct(F.lit(roi).alias("roi"), *[F.lit(n * zoom).alias(c) for c, n in zip("xywh", numbers)])
 
     both = F.explode(F.array(rect("net", 2, 2, 3, 3), rect("slot", 5, 5, 9, 9)))
     return frames.select("game_id", "cam").distinct().select("game_id", "cam", both.alias("_r")).select("game_id", "cam", "_r.*")

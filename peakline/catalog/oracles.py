@@ -110,39 +110,40 @@ CTES["runs"] = _RUNS.format(keys="game_id, cam", table="smoothed")
 CTES["tops"] = _TOPS.format(keys="game_id, cam", table="runs")
 
 
-def _detector(v: str, threshold: str, source: str) -> None:
-    """Peaks to events for one detector version; `source` has (game_id, cam, idx, smooth)."""
-    series = "series" if v == "2" else "series1"
-    tops = "tops" if v == "2" else "tops1"
+def _detector(v: str, threshold: str, source: str, fps: int = 4, distance: int = 48, gap: float = 0.0, drop: int = 8, near: int = 2,
+              longest: float = 20.0, cooldown: float = 12.0) -> None:
+    """Peaks to events for one detector run; `source` has (game_id, cam, idx, smooth)."""
+    series = "series" if v == "2" else f"series{v}"
+    tops = "tops" if v == "2" else f"tops{v}"
     CTES[f"cand{v}"] = f"""
 SELECT t.game_id, t.cam, t.idx, t.idx AS pos, t.value, ROW_NUMBER() OVER (PARTITION BY t.game_id, t.cam ORDER BY t.value DESC, t.idx DESC) AS rn
 FROM {tops} t JOIN {threshold} WHERE n >= 10 AND t.value >= threshold"""
-    _greedy(f"spaced{v}", f"cand{v}", ("game_id", "cam"), 48)
+    _greedy(f"spaced{v}", f"cand{v}", ("game_id", "cam"), distance)
     CTES[f"peaks{v}"] = f"""
-SELECT k.game_id, k.cam, k.pos AS idx, k.pos / 4.0 AS peak_s, c.value AS peak_val, k.pos / 4.0 - 7.0 AS start_s, k.pos / 4.0 + 6.0 AS end_s
+SELECT k.game_id, k.cam, k.pos AS idx, k.pos / {fps}.0 AS peak_s, c.value AS peak_val, k.pos / {fps}.0 - 7.0 AS start_s, k.pos / {fps}.0 + 6.0 AS end_s
 FROM spaced{v}_kept k JOIN cand{v} c ON c.game_id = k.game_id AND c.cam = k.cam AND c.pos = k.pos"""
     CTES[f"merged{v}"] = f"""
 SELECT game_id, ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY MIN(start_s)) AS window_id, MIN(start_s) AS start_s, MAX(end_s) AS end_s FROM (
   SELECT *, SUM(o) OVER (PARTITION BY game_id ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS island FROM (
-    SELECT *, CASE WHEN start_s <= MAX(end_s) OVER (PARTITION BY game_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o
+    SELECT *, CASE WHEN start_s <= MAX(end_s) OVER (PARTITION BY game_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS o
     FROM peaks{v}))
 GROUP BY game_id, island"""
     CTES[f"clean{v}"] = f"""
 SELECT game_id, window_id, GREATEST(0.0, start_s) AS start_s, GREATEST(GREATEST(0.0, start_s) + 0.5, end_s) AS end_s FROM merged{v}"""
     CTES[f"slices{v}"] = f"""
 SELECT w.game_id, w.window_id, s.cam, s.idx, s.smooth FROM clean{v} w JOIN {source} s
-ON s.game_id = w.game_id AND s.idx >= GREATEST(0, FLOOR(w.start_s * 4)) AND s.idx < CEIL(w.end_s * 4)"""
+ON s.game_id = w.game_id AND s.idx >= GREATEST(0, FLOOR(w.start_s * {fps})) AND s.idx < CEIL(w.end_s * {fps})"""
     CTES[f"maxima{v}"] = f"""
 SELECT game_id, window_id, cam, COUNT(*) AS n, MAX(smooth) AS m, arg_min(idx, (-smooth, idx)) AS argmax FROM slices{v} GROUP BY ALL"""
     CTES[f"drops{v}"] = f"""
 SELECT x.game_id, x.window_id, x.cam, x.m - MIN(s.smooth) AS drop_v FROM maxima{v} x JOIN {source} s
-ON s.game_id = x.game_id AND s.cam = x.cam AND s.idx >= x.argmax AND s.idx < x.argmax + 8 GROUP BY x.game_id, x.window_id, x.cam, x.m"""
+ON s.game_id = x.game_id AND s.cam = x.cam AND s.idx >= x.argmax AND s.idx < x.argmax + {drop} GROUP BY x.game_id, x.window_id, x.cam, x.m"""
     CTES[f"wruns{v}"] = _RUNS.format(keys="game_id, window_id, cam", table=f"slices{v}")
     CTES[f"wtops{v}"] = _TOPS.format(keys="game_id, window_id, cam", table=f"wruns{v}")
     CTES[f"wcand{v}"] = f"""
 SELECT t.game_id, t.window_id, t.cam, t.idx AS pos, ROW_NUMBER() OVER (PARTITION BY t.game_id, t.window_id, t.cam ORDER BY t.value DESC, t.idx DESC) AS rn
 FROM wtops{v} t JOIN maxima{v} x USING (game_id, window_id, cam) WHERE x.n > 5 AND t.value >= x.m * 0.80::DOUBLE"""
-    _greedy(f"wspaced{v}", f"wcand{v}", ("game_id", "window_id", "cam"), 2)
+    _greedy(f"wspaced{v}", f"wcand{v}", ("game_id", "window_id", "cam"), near)
     CTES[f"rebounds{v}"] = f"""
 SELECT x.game_id, x.window_id, x.cam, LEAST(3, COALESCE(c, 0)) / 3.0::DOUBLE AS rebound FROM maxima{v} x LEFT JOIN
   (SELECT game_id, window_id, cam, COUNT(*) AS c FROM wspaced{v}_kept GROUP BY ALL) USING (game_id, window_id, cam)"""
@@ -162,11 +163,14 @@ SELECT *, CASE WHEN score > 1.60 THEN 'Red' WHEN score > 1.30 THEN 'Orange' WHEN
       SELECT *, CASE WHEN primary_cam = 1 THEN m1 ELSE m2 END AS m, COALESCE(CASE WHEN primary_cam = 1 THEN r1 ELSE r2 END, 0.0) AS r,
         COALESCE(CASE WHEN primary_cam = 1 THEN d1 ELSE d2 END, 0.0) AS d, COALESCE(CASE WHEN primary_cam = 1 THEN p1 ELSE p2 END, 1.0) AS p FROM chosen{v})))"""
     CTES[f"capped{v}"] = f"""
-SELECT game_id, window_id, start_s, LEAST(end_s, start_s + CASE WHEN color IN ('Orange', 'Red') THEN 32.0 ELSE 20.0 END) AS end_s,
+SELECT game_id, window_id, start_s, LEAST(end_s, start_s + CASE WHEN color IN ('Orange', 'Red') THEN 32.0 ELSE {longest} END) AS end_s,
   score, primary_cam, conf, color FROM scored{v}"""
     CTES[f"ranked{v}"] = f"SELECT *, start_s AS pos, ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY score DESC, start_s) AS rn FROM capped{v}"
-    _greedy(f"cooled{v}", f"ranked{v}", ("game_id",), 12.0)
-    CTES[f"final{v}"] = f"SELECT c.* FROM capped{v} c JOIN cooled{v}_kept k ON k.game_id = c.game_id AND k.pos = c.start_s"
+    if cooldown:
+        _greedy(f"cooled{v}", f"ranked{v}", ("game_id",), cooldown)
+        CTES[f"final{v}"] = f"SELECT c.* FROM capped{v} c JOIN cooled{v}_kept k ON k.game_id = c.game_id AND k.pos = c.start_s"
+    else:
+        CTES[f"final{v}"] = f"SELECT * FROM capped{v}"
 
 
 _detector("2", "attack a ON a.game_id = t.game_id AND a.cam = t.cam AND a.idx = t.idx JOIN series s ON s.game_id = t.game_id AND s.cam = t.cam", "smoothed")
@@ -289,6 +293,49 @@ SELECT g.game_id, g.cam, g.idx, CASE WHEN a.t IS NULL THEN b.rms WHEN b.t IS NUL
 FROM audio_grid g LEFT JOIN rms a ON a.game_id = g.game_id AND a.cam = g.cam AND a.k = LEAST(CAST(FLOOR(g.idx / 12.0 / 0.5 - 0.5) AS BIGINT), (SELECT MAX(k) FROM rms))
 LEFT JOIN rms b ON b.game_id = g.game_id AND b.cam = g.cam AND b.k = CAST(FLOOR(g.idx / 12.0 / 0.5 - 0.5) AS BIGINT) + 1"""
 
+
+
+def _fused_run(v: str, signals: str, frame: str, win: int, segment: int, pct: float, **detector) -> None:
+    """All steps of the second detector over another table of signals; `frame` is the smoothing window's extent."""
+    CTES[f"flow{v}"] = f"SELECT *, 0.7::DOUBLE * net + 0.3::DOUBLE * slot AS flow FROM {signals}"
+    CTES[f"flow_scale{v}"] = f"SELECT game_id, cam, quantile_cont(flow, 0.99) AS pf, quantile_cont(audio, 0.99) AS pa FROM flow{v} GROUP BY ALL"
+    CTES[f"smoothed{v}"] = f"""
+SELECT game_id, cam, idx, round_even((SUM(raw) OVER (PARTITION BY game_id, cam ORDER BY idx ROWS BETWEEN {frame}) / {win}.0) * 1e9, 0) / 1e9 AS smooth FROM (
+  SELECT f.*, 0.8::DOUBLE * (flow / (pf + 1e-6)) + 0.2::DOUBLE * (audio / (pa + 1e-6)) AS raw FROM flow{v} f JOIN flow_scale{v} USING (game_id, cam))"""
+    CTES[f"series{v}"] = f"""
+SELECT game_id, cam, COUNT(*) AS n, quantile_cont(smooth, 0.70) AS floor70, quantile_cont(smooth, 0.99) AS p99 FROM smoothed{v} GROUP BY ALL"""
+    CTES[f"attack{v}"] = f"""
+SELECT s.*, GREATEST(q, floor70) AS threshold FROM smoothed{v} s JOIN series{v} USING (game_id, cam)
+JOIN (SELECT game_id, cam, idx // {segment} AS seg, quantile_cont(smooth, {pct}) AS q FROM smoothed{v} GROUP BY ALL) g ON g.game_id = s.game_id AND g.cam = s.cam AND g.seg = s.idx // {segment}"""
+    CTES[f"runs{v}"] = _RUNS.format(keys="game_id, cam", table=f"smoothed{v}")
+    CTES[f"tops{v}"] = _TOPS.format(keys="game_id, cam", table=f"runs{v}")
+    _detector(v, f"attack{v} a ON a.game_id = t.game_id AND a.cam = t.cam AND a.idx = t.idx JOIN series{v} s ON s.game_id = t.game_id AND s.cam = t.cam", f"smoothed{v}", **detector)
+
+
+CTES["motion_rois"] = """
+SELECT game_id, cam, idx, AVG(m) FILTER (x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4) AS net,
+  AVG(m) FILTER (x BETWEEN 5 AND 7 AND y BETWEEN 5 AND 7) AS slot FROM grid_pixels GROUP BY ALL"""
+CTES["energy_rois"] = """
+SELECT p.game_id, p.cam, p.idx, SUM(CASE WHEN x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4 THEN d ELSE 0 END) AS net,
+  SUM(CASE WHEN x BETWEEN 5 AND 7 AND y BETWEEN 5 AND 7 THEN d ELSE 0 END) AS slot, SUM(d) AS "full" FROM pixels p GROUP BY ALL"""
+CTES["extracted"] = """
+SELECT m.game_id, m.cam, m.idx, m.net, m.slot, COALESCE(CASE WHEN b.t IS NULL THEN a.rms WHEN a.t IS NULL THEN b.rms
+  ELSE a.rms + (b.rms - a.rms) * ((m.idx / 4.0 - a.t) / (b.t - a.t)) END, 0.0) AS audio
+FROM motion_rois m LEFT JOIN rms a ON a.game_id = m.game_id AND a.cam = m.cam AND a.k = LEAST(CAST(FLOOR(m.idx / 4.0 / 0.5 - 0.5) AS BIGINT), (SELECT MAX(k) FROM rms))
+LEFT JOIN rms b ON b.game_id = m.game_id AND b.cam = m.cam AND b.k = CAST(FLOOR(m.idx / 4.0 / 0.5 - 0.5) AS BIGINT) + 1"""
+_fused_run("3", "extracted", "1 PRECEDING AND CURRENT ROW", 2, 1200, 0.95)
+_fused_run("5", "fx_signals", "3 PRECEDING AND 2 FOLLOWING", 6, 3600, 0.92, fps=12, distance=72, gap=2.0, drop=24, near=8, longest=25.0, cooldown=0.0)
+CTES["one_camera"] = "SELECT * FROM fx_signals WHERE cam = 1 OR game_id % 2 = 0"
+_fused_run("6", "one_camera", "1 PRECEDING AND CURRENT ROW", 2, 1200, 0.95)
+CTES["smoothed4"] = """
+SELECT game_id, cam, idx, round_even((SUM(0.7::DOUBLE * net + 0.3::DOUBLE * slot) OVER (PARTITION BY game_id, cam ORDER BY idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) / 2.0) * 1e9, 0) / 1e9 AS smooth
+FROM energy_rois"""
+CTES["series4"] = """
+SELECT game_id, cam, COUNT(*) AS n, quantile_cont(smooth, 0.95) AS threshold, quantile_cont(smooth, 0.99) AS p99 FROM smoothed4 GROUP BY ALL"""
+CTES["runs4"] = _RUNS.format(keys="game_id, cam", table="smoothed4")
+CTES["tops4"] = _TOPS.format(keys="game_id, cam", table="runs4")
+_detector("4", "series4 s ON s.game_id = t.game_id AND s.cam = t.cam", "smoothed4")
+
 SELECTS: dict[str, str] = {
     # Sources and sinks
     "read_rois": "SELECT * FROM fx_rois WHERE game_id IN (SELECT game_id FROM fx_rois GROUP BY 1 HAVING COUNT(*) = 4)",
@@ -311,10 +358,9 @@ SELECTS: dict[str, str] = {
     "edl_lines": _EDL,
     # Extraction and conditioning
     "prev_frame_pairs": "SELECT game_id, cam, idx, list_sum(cur) AS cur_sum, list_sum(prev) AS prev_sum, cur[1] AS cur_first, prev[64] AS prev_last FROM pixel_pairs",
-    "framediff_energy": """SELECT p.game_id, p.cam, p.idx, SUM(CASE WHEN x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4 THEN d ELSE 0 END) AS net,
-        SUM(CASE WHEN x BETWEEN 5 AND 7 AND y BETWEEN 5 AND 7 THEN d ELSE 0 END) AS slot, SUM(d) AS "full" FROM pixels p GROUP BY ALL""",
-    "roi_mean_motion": """SELECT game_id, cam, idx, AVG(m) FILTER (x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4) AS net,
-        AVG(m) FILTER (x BETWEEN 5 AND 7 AND y BETWEEN 5 AND 7) AS slot FROM grid_pixels GROUP BY ALL""",
+    "framediff_energy": "SELECT * FROM energy_rois",
+    "framediff_energy_bytes": "SELECT * FROM energy_rois",
+    "roi_mean_motion": "SELECT * FROM motion_rois",
     "audio_rms": "SELECT * FROM rms",
     "interp_to_grid": "SELECT * FROM audio_interp",
     "audio_or_zeros": """SELECT s.game_id, s.cam, s.idx, s.net, s.slot, COALESCE(a.rms, 0) AS audio FROM fx_signals s
@@ -383,6 +429,12 @@ SELECTS: dict[str, str] = {
     # Composites
     "detect_v1": "SELECT * FROM final1",
     "detect_v2": "SELECT * FROM final2",
+    "detect_v2_defaults": "SELECT * FROM final5",
+    "detect_v2_one_camera": "SELECT * FROM final6",
+    "extract_signals": "SELECT * FROM extracted",
+    "detect_from_motion": "SELECT * FROM final3",
+    "detect_from_frames": "SELECT * FROM final4",
+    "merge_markers_all": "SELECT game_id, frame, color, name, note, duration FROM merge_dst UNION ALL SELECT game_id, frame, color, name, note, duration FROM merge_src",
     "markers_v2": "SELECT * FROM play_replay",
     "conform_timeline": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, COALESCE(arg_min(r.angle, (r.start_frame, r.seq)), c.clip_id % 3 + 4) AS angle FROM pieces c
         LEFT JOIN ranges r ON r.game_id = c.game_id AND r.start_frame <= (c.start_frame + c.end_frame) / 2.0 AND (c.start_frame + c.end_frame) / 2.0 < r.end_frame GROUP BY c.game_id, c.clip_id, c.start_frame, c.end_frame""",

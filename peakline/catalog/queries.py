@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakline.catalog import fixtures as X
+from peakline.config import DetectConfig
 from peakline.functions import text as TX
 from peakline.functions import timecode as TC
 from peakline.functions.color import color_class, color_rank
@@ -28,6 +29,8 @@ from peakline.operators.cut import checkpoint_folder, cut
 from peakline.operators.peaks import local_maxima, peaks_above, suppress_by_distance
 from peakline.plans import detect as D
 from peakline.plans.batch import run_game_batch
+from peakline.plans.extract import extract_frame_signals
+from peakline.plans.extract import extract_signals as extract
 from peakline.sources import rois as R
 from peakline.sources import tables as TB
 
@@ -498,6 +501,54 @@ def detect_v2(spark, sf_dir):
     return D.detect_v2(X.signals(spark, sf_dir), CFG)
 
 
+@query(_EVENTS)
+def detect_v2_defaults(spark, sf_dir):
+    """The plain defaults at 12 samples a second: wide smoothing, a gap in merging, no cooldown."""
+    return D.detect_v2(X.signals(spark, sf_dir), DetectConfig())
+
+
+def _extracted(spark, sf_dir):
+    """Rectangles are given for a picture of twice the size; the second camera has no audio."""
+    motion = X.motion(spark, sf_dir)
+    return extract(motion, X.frame_rois(motion, 2), CFG, X.audio(spark, sf_dir), X.RATE, 0.5)
+
+
+@query("game_id:i cam:i idx:i net:f slot:f audio:f")
+def extract_signals(spark, sf_dir):
+    return _extracted(spark, sf_dir)
+
+
+@query(_EVENTS)
+def detect_from_motion(spark, sf_dir):
+    return D.detect_v2(cut(_extracted(spark, sf_dir)), CFG)
+
+
+@query(_EVENTS)
+def detect_from_frames(spark, sf_dir):
+    """Frames of one byte per pixel, through the first detector."""
+    frames = X.byte_frames(spark, sf_dir)
+    return D.detect_v1(cut(extract_frame_signals(frames, X.frame_rois(frames))), CFG)
+
+
+@query("game_id:i cam:i idx:i net:f slot:f full:f")
+def framediff_energy_bytes(spark, sf_dir):
+    frames = X.byte_frames(spark, sf_dir)
+    return EX.framediff_energy(frames, X.frame_rois(frames))
+
+
+@query("game_id:i frame:i color:s name:s note:s duration:i")
+def merge_markers_all(spark, sf_dir):
+    """Merging without removing repeats."""
+    return TL.merge_markers(*X.merge_sides(X.markers(spark, sf_dir)), dedupe=False)
+
+
+@query(_EVENTS)
+def detect_v2_one_camera(spark, sf_dir):
+    """Odd games lack the second camera."""
+    signals = X.signals(spark, sf_dir)
+    return D.detect_v2(signals.filter((F.col("cam") == 1) | (F.col("game_id") % 2 == 0)), CFG)
+
+
 @query("game_id:i seq:i frame:i name:s note:s color:s duration:i")
 def markers_v2(spark, sf_dir):
     return D.markers_v2(X.signals(spark, sf_dir), CFG)
