@@ -13,38 +13,85 @@ KEPT, DROPPED, WAITING = 1, 2, 3
 
 
 def resolve(pos, group, order, distance, low, high, known):
-    """Greedy choice among candidates sorted by (group, pos), visited in `order` (best first).
+    """Greedy choice among candidates sorted by (group, pos); `order` lists them best first.
 
     Rows `known` to be kept come first in the order and only push out their neighbours.
     `low` and `high` are the edges of what is visible around each candidate. Closer than `distance`
     to an edge it may have rivals that are not visible: such candidates, and whatever depends on
-    them, stay waiting.
+    them, stay waiting. In every step all candidates that are best among what is left within the
+    distance are settled at once, each for itself: they are further apart than the distance.
     """
     import numpy as np
 
     n = len(pos)
-    state = np.zeros(n, dtype=np.int8)
+    state, rank = np.zeros(n, dtype=np.int8), np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
     blocked = np.zeros(n, dtype=bool)
     near_edge = ~((pos - low >= distance) & (high - pos >= distance))
-    for i in order:
-        if state[i] == DROPPED:
-            continue
-        p, g = pos[i], group[i]
-        left = i
-        while left > 0 and group[left - 1] == g and p - pos[left - 1] < distance:
-            left -= 1
-        right = i + 1
-        while right < n and group[right] == g and pos[right] - p < distance:
-            right += 1
-        if not known[i] and (blocked[i] or near_edge[i]):
-            state[i] = WAITING
-            blocked[left:right] = True
-        else:
-            state[left:right] = DROPPED
-            state[i] = KEPT
+    # First and last row within the distance; groups are kept apart by their own search ranges.
+    ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) + 1 if n else np.zeros(0, dtype=np.int64)
+    first, last = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    for a, b in zip(np.r_[0, ends[:-1]] if n else [], ends):
+        here = pos[a:b]
+        first[a:b] = a + _first_within(here, distance)
+        last[a:b] = b - _first_within(-here[::-1], distance)[::-1]
+    open_ = np.arange(n)
+    while len(open_):
+        left = np.full(n, n, dtype=np.int64)
+        left[open_] = rank[open_]
+        best = open_[_least(left, first[open_], last[open_]) == rank[open_]]
+        waits = best[~known[best] & (blocked[best] | near_edge[best])]
+        keeps = np.setdiff1d(best, waits, assume_unique=True)
+        state[waits] = WAITING
+        _mark(blocked, first[waits], last[waits])
+        gone = np.zeros(n, dtype=bool)
+        _mark(gone, first[keeps], last[keeps])
+        state[gone] = DROPPED
+        state[keeps] = KEPT
+        open_ = open_[state[open_] == 0]
     return state
 
 
+def _first_within(at, distance):
+    """For every value of a sorted array, the first index whose value is less than `distance` below it."""
+    import numpy as np
+
+    guess = np.searchsorted(at, at - distance, side="right")
+    # The rule is on the difference itself; rounding of at - distance may be off by one row.
+    while True:
+        more = (guess > 0) & (at - at[np.maximum(guess - 1, 0)] < distance)
+        less = at - at[guess] >= distance
+        if not (more.any() or less.any()):
+            return guess
+        guess = guess - more + less
+
+
+def _least(values, first, last):
+    """Minimum of values[first:last] for every pair, by doubling windows."""
+    import numpy as np
+
+    level = np.floor(np.log2(np.maximum(last - first, 1))).astype(np.int64)
+    out = np.empty(len(first), dtype=values.dtype)
+    table, width = values, 1
+    for k in range(int(level.max(initial=0)) + 1):
+        here = level == k
+        out[here] = np.minimum(table[first[here]], table[last[here] - width])
+        if len(table) > width:
+            table = np.minimum(table[:-width], table[width:])
+        width *= 2
+    return out
+
+
+def _mark(flags, first, last):
+    """Sets flags[first:last] for every pair."""
+    import numpy as np
+
+    edge = np.zeros(len(flags) + 1, dtype=np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last, -1)
+    flags |= np.cumsum(edge[:-1]) > 0
+
+
 def whole_groups(batches, keys):
     """Regroup sorted batches so that no group of equal `keys` is split between two of them."""
     held = []
