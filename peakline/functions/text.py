@@ -79,10 +79,14 @@ def fixed(col: Column, decimals: int) -> Column:
 
     `format_string` rounds the shortest decimal form half up, so 0.15 would print as 0.2. The scaled
     value is split into a rounded product and its exact error (Veltkamp's splitting), which decides
-    on which side of a half the true value lies; a true half goes to the even digit.
+    on which side of a half the true value lies; a true half goes to the even digit. NaN and infinite
+    values print as nan, inf and -inf; values of 2^52 and more once scaled are
+    printed by `format_string`, whose digits are the shortest that name the double.
     """
     scale = float(10 ** decimals)
-    x = F.abs(col)
+    odd = F.isnan(col) | (F.abs(col) == float("inf"))
+    large = ~odd & (F.abs(col) * F.lit(scale) >= float(1 << 52))
+    x = F.when(odd | large, F.lit(0.0)).otherwise(F.abs(col))
     c = x * F.lit(134217729.0)
     high = c - (c - x)
     low = x - high
@@ -94,7 +98,8 @@ def fixed(col: Column, decimals: int) -> Column:
     digits = (floor + F.when((off > 0) | ((off == 0) & ~even), F.lit(1.0)).otherwise(F.lit(0.0))).cast("long")
     whole = F.floor(digits / F.lit(10 ** decimals)).cast("long")
     sign = F.when(col < 0, F.lit("-")).otherwise(F.lit(""))
-    if decimals == 0:
-        return F.concat(sign, whole.cast("string"))
-    return F.concat(sign, whole.cast("string"), F.lit("."),
-                    F.lpad((digits % F.lit(10 ** decimals)).cast("string"), decimals, "0"))
+    text = F.concat(sign, whole.cast("string"))
+    if decimals:
+        text = F.concat(text, F.lit("."), F.lpad((digits % F.lit(10 ** decimals)).cast("string"), decimals, "0"))
+    named = F.when(F.isnan(col), "nan").when(col > 0, "inf").otherwise("-inf")
+    return F.when(odd, named).when(large, F.format_string(f"%.{decimals}f", col)).otherwise(text)

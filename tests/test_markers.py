@@ -186,3 +186,9 @@ def test_no_level_of_the_numbering_is_large(spark, monkeypatch):
     monkeypatch.setattr(limits, "SMALL_GROUP", 0)
     got = [r.seq for r in M.number_by_frame(df, "frame", "no").orderBy("no").select("seq").collect()]
     assert got == [r.seq for r in df.orderBy("frame", "seq").collect()]
+
+
+def test_fixed_has_a_rule_for_every_double(spark):
+    xs = [float("nan"), float("inf"), float("-inf"), 2.0 ** 53, -(2.0 ** 55), 2.0 ** 51, None]
+    got = [r.x for r in spark.createDataFrame([(x,) for x in xs], "v double").select(TX.fixed(F.col("v"), 2).alias("x")).collect()]
+    assert got == ["nan", "inf", "-inf", f"{2 ** 53}.00", f"-{2 ** 55}.00", f"{2 ** 51}.00", None]
