@@ -63,13 +63,13 @@ def chunk_window(keys: Sequence[str] = SERIES, idx: str = "idx"):
     return Window.partitionBy(*keys, CHUNK).orderBy(idx)
 
 
-def attach_by_chunk(df: DataFrame, scalars: DataFrame, keys: Sequence[str], last_chunk: str) -> DataFrame:
+def attach_by_chunk(df: DataFrame, scalars: DataFrame, keys: Sequence[str], last_chunk: str, series: int | None = None) -> DataFrame:
     """Join one row of scalars per series onto its samples without shuffling by series.
 
-    Counted and few, the scalars are broadcast. Otherwise they are repeated once per chunk and
+    Counted (`series`, if the caller has) and few, the scalars are broadcast. Otherwise they are repeated once per chunk and
     joined on (keys, chunk), so a series holding most of the rows still spreads over all tasks.
     """
-    if scalars.count() <= limits.FEW_SERIES:
+    if (scalars.count() if series is None else series) <= limits.FEW_SERIES:
         return df.join(F.broadcast(scalars.drop(last_chunk)), list(keys), "left")
     per_chunk = explode_range(scalars, F.lit(0), F.col(last_chunk), CHUNK).drop(last_chunk)
     return df.join(per_chunk, [*keys, CHUNK], "left")
@@ -124,6 +124,12 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group, and the number of groups."""
+    largest, groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count("n")).first()
+    return largest or 0, groups
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str, Column]],
                 order: Sequence[str], name: str) -> DataFrame:
     """1-based position of each row within `keys` by `order`.

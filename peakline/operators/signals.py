@@ -109,7 +109,7 @@ def global_threshold(df: DataFrame, pct: float, col: str = "smooth", chunk: int
             .drop(CHUNK))
 
 
-def attack_profile(signals: DataFrame, cfg: DetectConfig, fused: bool, longest: int | None = None) -> DataFrame:
+def attack_profile(signals: DataFrame, cfg: DetectConfig, fused: bool, longest: int | None = None, series: int | None = None) -> DataFrame:
     """Everything the detectors need per sample, from one shuffle and one sort of the signals.
 
     Columns: smooth, fwd_min (minimum of smooth over the next `drop_samples` samples), segment_level
@@ -124,7 +124,7 @@ def attack_profile(signals: DataFrame, cfg: DetectConfig, fused: bool, longest:
     raw = F.col("flow")
     if fused:
         scalars = _fuse_scalars(with_chunk(blended, size), cfg.audio_weight, longest)
-        spread = attach_by_chunk(spread, scalars, SERIES, "last_chunk")
+        spread = attach_by_chunk(spread, scalars, SERIES, "last_chunk", series)
         raw = _fused(cfg.flow_weight, cfg.audio_weight)
     smooth = _moving_average("raw", cfg.smooth_win) if cfg.smooth_win > 1 else round9(F.col("raw"))
     # Smooth values are right where the whole frame is visible: one row before the chunk, `ahead` after it.

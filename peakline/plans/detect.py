@@ -16,7 +16,7 @@ from peakline.operators import markers as M
 from peakline.operators import scoring as S
 from peakline.operators import timeline as TL
 from peakline.operators import windows as WN
-from peakline.operators.chunks import CHUNK, SERIES, attach_by_chunk, largest_group
+from peakline.operators.chunks import CHUNK, SERIES, attach_by_chunk, group_sizes
 from peakline.operators.cut import cut
 from peakline.operators.peaks import tops_of
 from peakline.operators.percentiles import exact_percentiles, percentile_name
@@ -35,6 +35,7 @@ class Attack:
     samples: DataFrame
     tops: DataFrame
     scalars: DataFrame
+    series: int
 
 
 @dataclass(frozen=True)
@@ -51,15 +52,15 @@ class Detection:
 
 
 def prepare(signals: DataFrame, cfg: DetectConfig, version: int) -> Attack:
-    longest = largest_group(signals, SERIES)
-    samples = cut(attack_profile(signals, cfg, fused=version == 2, longest=longest))
+    longest, series = group_sizes(signals, SERIES)
+    samples = cut(attack_profile(signals, cfg, fused=version == 2, longest=longest, series=series))
     pct = cfg.floor_pct if version == 2 else cfg.thresh_pct
     scalars = exact_percentiles(samples.select(*SERIES, CHUNK, "smooth"), {"smooth": [pct, 99.0]}, longest=longest)
     scalars = scalars.select(*SERIES, "last_chunk", F.col("smooth_n").alias("series_n"),
                              F.col(percentile_name("smooth", pct)).alias("level"),
                              F.col(percentile_name("smooth", 99.0)).alias("p99"))
     tops = cut(tops_of(samples, "smooth", ("segment_level",), longest // cfg.segment_samples + 1))
-    return Attack(samples, tops, scalars)
+    return Attack(samples, tops, scalars, series)
 
 
 def peak_candidates(attack: Attack, cfg: DetectConfig, version: int) -> DataFrame:
@@ -79,7 +80,7 @@ def peak_candidates(attack: Attack, cfg: DetectConfig, version: int) -> DataFram
                    .filter(F.col("value") >= F.col("segment_level")).drop("segment_level"))
             own = own.unionByName(far)
         tops = own
-    return (attach_by_chunk(tops, attack.scalars, SERIES, "last_chunk")
+    return (attach_by_chunk(tops, attack.scalars, SERIES, "last_chunk", attack.series)
             .filter((F.col("series_n") >= MIN_SAMPLES) & (F.col("value") >= F.col("level")))
             .select(*SERIES, "idx", "value"))
 
@@ -87,7 +88,7 @@ def peak_candidates(attack: Attack, cfg: DetectConfig, version: int) -> DataFram
 def score(windows: DataFrame, attack: Attack, cfg: DetectConfig) -> DataFrame:
     """Statistics per camera, camera choice, score, colour and duration cap."""
     p99 = attack.scalars.select(*SERIES, "last_chunk", "p99")
-    pieces = cut(attach_by_chunk(S.window_pieces(windows, cfg), p99, SERIES, "last_chunk"))
+    pieces = cut(attach_by_chunk(S.window_pieces(windows, cfg), p99, SERIES, "last_chunk", attack.series))
     samples = attack.samples.select(*SERIES, CHUNK, "idx", "smooth", "fwd_min")
     stats = cut(S.window_stats(S.window_samples(pieces, samples, cfg), extra=("p99",)))
     stats = S.window_rebound(pieces, attack.tops, stats, cfg)
