@@ -11,6 +11,7 @@ of the best-scoring segmentation, not those of the merge order. Decoding does no
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from peakline.llm.bpe import Known
 from peakline.llm.common import in_arrow, whole_text
 
 #: How SentencePiece writes a space. Fixed by the format.
@@ -27,7 +29,7 @@ MARK = "▁"
 #: What an uncovered character costs below the worst piece. Fixed by the library's unigram rule.
 UNKNOWN_PENALTY = 10.0
 #: Words remembered by one worker process.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 700_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -55,29 +57,31 @@ class Pieces:
         self.automaton.make_automaton()
         self.worst = worst - UNKNOWN_PENALTY
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
 
     def best(self, word: str) -> list[int]:
         """The best-scoring pieces of a string in which spaces are marks: one pass, a table of the best score and last
         piece for every position. Of equal scores the longest last piece stays, which the automaton reports first."""
-        size = len(word)
-        score: list[float | None] = [0.0, *[None] * size]
-        back: list[tuple[int, int]] = [(0, -1)] * (size + 1)
+        size, worst = len(word), self.worst
+        score = [0.0, *[-math.inf] * size]
+        start_of, piece_of = [0] * (size + 1), [-1] * (size + 1)
         done = 0  # positions up to here have all their pieces
-        for last, (length, gain, at) in self.automaton.iter(word):
-            while done < last:  # positions that no piece has reached are spelled
-                done += 1
-                self._spell(score, back, done)
-            start = last + 1 - length
-            total = score[start] + gain
-            if score[last + 1] is None or total > score[last + 1]:
-                score[last + 1], back[last + 1] = total, (start, at)
+        for last, (length, gain, piece) in self.automaton.iter(word):
+            while done < last:
+                done += 1  # the character before may also be spelled
+                if score[done - 1] + worst > score[done]:
+                    score[done], start_of[done], piece_of[done] = score[done - 1] + worst, done - 1, -1
+            end = last + 1
+            total = score[end - length] + gain
+            if total > score[end]:
+                score[end], start_of[end], piece_of[end] = total, end - length, piece
         while done < size:
             done += 1
-            self._spell(score, back, done)
+            if score[done - 1] + worst > score[done]:
+                score[done], start_of[done], piece_of[done] = score[done - 1] + worst, done - 1, -1
         ids, at = [], size
         while at:
-            start, piece = back[at]
+            start, piece = start_of[at], piece_of[at]
             if piece < 0:
                 ids += [self.bytes[b] for b in reversed(word[start:at].encode())] if self.bytes else [self.unknown]
             else:
@@ -85,25 +89,27 @@ class Pieces:
             at = start
         return ids[::-1]
 
-    def _spell(self, score: list, back: list, at: int) -> None:
-        """Lets the character before `at` be spelled if that scores more than the pieces that end there."""
-        total = score[at - 1] + self.worst
-        if score[at] is None or total > score[at]:
-            score[at], back[at] = total, (at - 1, -1)
-
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids. A mark is put in front of a text that is not empty, as the model's rules say."""
         if not text:
             return b""
-        known, out = self.known, []
-        for word in _WORDS.findall(MARK + text.replace(" ", MARK)):
-            ids = known.get(word)
-            if ids is None:
-                ids = np.array(self.best(word), "<u4").tobytes()
-                if len(known) < WORDS_KEPT:
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        known, words = self.known, text.split(" ")
+        if MARK in text or "" in words:  # marks in a row: cut where another character goes before
+            words = [word if word[0] != MARK or word[1:2] == MARK or len(word) == 1 else word[1:] for word in _WORDS.findall(MARK + text.replace(" ", MARK))]
+        known.missed = missed = []
+        ids = list(map(known.__getitem__, words))
+        if missed:
+            found: dict[str, bytes] = {}
+            at = -1
+            for _ in missed:
+                at = ids.index(None, at + 1)
+                word = words[at]
+                if word not in found:
+                    found[word] = np.array(self.best(word if word[0] == MARK else MARK + word), "<u4").tobytes()
+                ids[at] = found[word]
+            if len(known) < WORDS_KEPT:
+                known.update(found)
+        return b"".join(ids)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control ids are dropped, runs of byte ids are UTF-8 (undecodable bytes become U+FFFD), the mark put in front is removed."""
