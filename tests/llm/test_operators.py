@@ -197,6 +197,19 @@ def test_suffix_dedup(make, texts, group):
     assert suffix_dedup.remove_repeats(make([])).count() == 0
 
 
+def test_matching_starts_both_ways(monkeypatch):
+    rng = random.Random(14)
+    for _ in range(60):
+        n = rng.randint(3, 30)
+        some = lambda size: bytes(rng.choice(b"ab") if rng.random() < 0.15 else 97 for _ in range(size))
+        lefts, rights = [some(rng.choice([30, 30, 7, 0])) for _ in range(n)], [some(rng.choice([40, 40, 33])) for _ in range(n)]
+        want = {(m, k) for m in range(n) for k in range(31) if any(o != m and lefts[o][:k] == lefts[m][:k] and rights[o][:40 - k] == rights[m][:40 - k]
+                                                                  and min(len(lefts[m]), len(lefts[o])) >= k and min(len(rights[m]), len(rights[o])) >= 40 - k for o in range(n))}
+        for paired in (64, 2):
+            monkeypatch.setattr(suffix_dedup, "PAIRED", paired)
+            assert {(m, k) for m, low, high in suffix_dedup.matching_starts(lefts, rights, 40) for k in range(low, high + 1)} == want
+
+
 def test_deep_shallow():
     rng = random.Random(9)
     for _ in range(300):
@@ -308,7 +321,7 @@ def test_ranking(spark, make):
     held = [r for r in got if r["held_out"] and r["doc_id"] < 300]
     assert {r["doc_id"] for r in held} == {i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0}
     assert sum(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held) >= 0.95 * len(held)
-    assert {r["score"] for r in ranking.classify(make(pairs[:4]), labels.limit(0)).collect()} == {pytest.approx(0.3)}
+    assert [r["score"] for r in ranking.classify(make(pairs[:4]), labels.limit(0)).collect()] == pytest.approx([0.3] * 4)
     assert ranking.classify(make([]), labels).count() == 0
 
 
