@@ -27,6 +27,8 @@ from peakline.llm.hashing import BYTE_VALUES, mixed, prefix_hashes, sorted_group
 LENGTH, GRAM = 400, 100
 #: Largest group whose surroundings are sorted in one task; larger ones are settled by counting.
 GROUP = 4000
+#: Largest group in which the stretches of all pairs are laid over each other; in larger ones the members are classed start by start.
+PAIRED = 64
 _LOW = np.uint64((1 << 30) - 1)  # positions; texts are below 1 GB
 _TOP = np.iinfo(np.uint64).max
 
@@ -76,6 +78,16 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.transform(in_arrow, run, "row long, at int, right short, key long, around long, before long, after long")
 
 
+def _between(order: list[int], lcp: np.ndarray) -> np.ndarray:
+    """Common prefix of every two strings, from the neighbours' in sorted order; -1 with itself."""
+    n = len(order)
+    out = np.full((n, n), -1, np.int64)
+    place = np.array(order)
+    for i in range(n - 1):
+        out[place[i], place[i + 1:]] = out[place[i + 1:], place[i]] = np.minimum.accumulate(lcp[i + 1:])
+    return out
+
+
 def matching_starts(lefts: list[bytes], rights: list[bytes], length: int) -> list[tuple[int, int, int]]:
     """(member, low, high): the string of `length` bytes that begins k bytes left of the anchor, low <= k <= high, is also another member's.
 
@@ -88,13 +100,21 @@ def matching_starts(lefts: list[bytes], rights: list[bytes], length: int) -> lis
     (order_r, lcp_r), (order_l, lcp_l) = deep_shallow(rights), deep_shallow(lefts)
     lcp_r, lcp_l = np.array(lcp_r), np.array(lcp_l)
     most = max(map(len, lefts))
-    hit = np.zeros((n, most + 2), bool)
-    right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
-    for k in range(max(0, length - int(lcp_r.max())), min(most, int(lcp_l.max()) if len(lcp_l) else 0, length) + 1):
-        right_class[order_r] = np.cumsum(lcp_r < length - k)
-        left_class[order_l] = np.cumsum(lcp_l < k)
-        _, which, count = np.unique(right_class * (n + 1) + left_class, return_inverse=True, return_counts=True)
-        hit[:, k] = count[which] > 1
+    if n <= PAIRED:
+        low, high = np.maximum(length - _between(order_r, lcp_r), 0), _between(order_l, lcp_l)
+        one, other = np.nonzero(low <= high)
+        turns = np.zeros((n, most + 2), np.int32)
+        np.add.at(turns, (one, low[one, other]), 1)
+        np.add.at(turns, (one, high[one, other] + 1), -1)
+        hit = np.cumsum(turns, axis=1) > 0
+    else:
+        hit = np.zeros((n, most + 2), bool)
+        right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
+        for k in range(max(0, length - int(lcp_r.max())), min(most, int(lcp_l.max()), length) + 1):
+            right_class[order_r] = np.cumsum(lcp_r < length - k)
+            left_class[order_l] = np.cumsum(lcp_l < k)
+            _, which, count = np.unique(right_class * (n + 1) + left_class, return_inverse=True, return_counts=True)
+            hit[:, k] = count[which] > 1
     edges = np.diff(np.concatenate([np.zeros((n, 1), np.int8), hit.astype(np.int8)], axis=1), axis=1)
     return list(zip(*np.nonzero(edges == 1), np.nonzero(edges == -1)[1] - 1, strict=True))
 
@@ -129,7 +149,7 @@ def _every_start(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
 
 def repeated_stretches(docs: DataFrame, length: int, gram: int, group: int) -> DataFrame:
-    """(row, first, end): stretches of bytes that strings occurring more than once cover, overlapping and in no order."""
+    """(row, cuts): stretches (first, end) of bytes that strings occurring more than once cover, one row per anchor, overlapping and in no order."""
     reach = length - gram
     found = stored(anchors(docs, length, gram))
     side = lambda c: F.first(c).alias(c)  # noqa: E731  equal for all anchors of a class
@@ -159,15 +179,25 @@ def repeated_stretches(docs: DataFrame, length: int, gram: int, group: int) -> D
     spread = contexts.filter("NOT large").select("part", "key", "around", "left", "context").repartition("part").sortWithinPartitions("part")
     resolved = spread.transform(in_arrow, lambda batches: _resolved(batches, length), "key long, around long, low int, high int")
     starts = contexts.filter("large").select("key", "around", "left", "context").transform(in_arrow, lambda batches: _every_start(batches, length), "hash long, key long, around long, start int").distinct()
-    twice = starts.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    counted = starts.join(twice, "hash").select("key", "around", F.col("start").alias("low"), F.col("start").alias("high"))
+    # Equal strings have their anchor at the same offset; the same string around two anchors of one text is no second one.
+    twice = starts.groupBy("hash", "key", "start").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    counted = starts.join(twice, ["hash", "key", "start"]).groupBy("key", "around").agg(F.sort_array(F.collect_set("start")).alias("s"))
+    first = F.filter("s", lambda x, i: (i == 0) | (x - F.get("s", i - 1) > 1))
+    last = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + 1) - x > 1, F.lit(True)))
+    counted = counted.select("key", "around", F.explode(F.arrays_zip(first.alias("low"), last.alias("high"))).alias("x")).select("key", "around", "x.low", "x.high")
     # Whole surroundings that occur twice need no more.
     whole = shared.filter("n > 1").select("key", "around", F.lit(-1).alias("low"), F.lit(-1).alias("high"))
-    answers = stored(whole.unionByName(resolved).unionByName(counted))
-    left = F.least("at", F.lit(reach))
-    high = F.when(F.col("high") < 0, left).otherwise(F.col("high"))
-    low = F.when(F.col("low") < 0, F.greatest(F.lit(length) - F.col("right"), F.lit(0))).otherwise(F.col("low"))
-    return found.select("row", "at", "right", "key", "around").join(answers, ["key", "around"]).select("row", (F.col("at") - high).alias("first"), (F.col("at") - low + length).alias("end"))
+    # One row per class: at most one stretch for every start in its surroundings.
+    answers = stored(whole.unionByName(resolved).unionByName(counted).groupBy("key", "around").agg(F.collect_set(F.struct("low", "high")).alias("found")))
+    left = F.least("at", F.lit(reach)).cast("int")
+
+    def bytes_of(x):
+        """The bytes that the strings from the highest to the lowest start cover."""
+        high = F.when(x["high"] < 0, left).otherwise(x["high"])
+        low = F.when(x["low"] < 0, F.greatest(F.lit(length) - F.col("right"), F.lit(0))).otherwise(x["low"])
+        return F.struct((F.col("at") - high).cast("int").alias("first"), (F.col("at") - low + length).cast("int").alias("end"))
+
+    return found.select("row", "at", "right", "key", "around").join(answers, ["key", "around"]).select("row", F.transform("found", bytes_of).alias("cuts"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +228,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     """
     # A row is known by its id and text: rows equal in both have the same result.
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    cuts = repeated_stretches(rows.select("row", "text"), length, gram, group).groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("cuts"))
+    cuts = repeated_stretches(rows.select("row", "text"), length, gram, group).groupBy("row").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
     return rows.join(cuts, "row", "left").select("doc_id", "text", "cuts").transform(in_arrow, 
         _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:int,end:int>>")
