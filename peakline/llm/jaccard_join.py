@@ -211,7 +211,8 @@ def verified(docs: DataFrame, found: DataFrame, classes: DataFrame, forest: Fore
     sized = found.join(classes.select("node", "doc", "size", "copies"), "node")
     blocks = sized.groupBy("label").agg(F.ceil(F.sum("size") / forest.block).cast("int").alias("blocks"))
     listed = stored(sized.join(blocks, "label").select("node", "doc", "label", "copies", "blocks"))
-    texts = docs.join(listed, docs["doc_id"] == listed["doc"]).select("node", "label", "copies", "blocks", "text")
+    # The list grows with the corpus, so texts and list always meet by a shuffle, in the same way at every size.
+    texts = docs.join(listed.hint("merge"), docs["doc_id"] == listed["doc"]).select("node", "label", "copies", "blocks", "text")
     with_sets = texts.transform(in_arrow, sets, "node long, label long, copies long, blocks int, shingles array<long>")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, F.col("block")).alias("one"), F.greatest(other, F.col("block")).alias("two")))
@@ -225,7 +226,7 @@ def keep_one(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """One document of every class, the one with the smallest id; documents of no class stay. Columns as in `docs`. Of repeated
     rows of one id one stays."""
     firsts = join(docs, forest).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    return docs.join(firsts.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def sql(forest: Forest = Forest(), source: str = "documents") -> str:
