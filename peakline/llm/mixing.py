@@ -157,7 +157,8 @@ def take(docs: DataFrame, weights: DataFrame | tuple[float, ...], share: float =
     mixed = mixed.select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "copies")
     row = docs.select(F.struct("*").alias("row"), n_words(whole_text()).alias("row_size"))
     same = F.col("row.doc_id").eqNullSafe(F.col("of_id")) & F.col("row.source").cast("string").eqNullSafe(F.col("of_source")) & (F.col("row_size") == F.col("of_size"))
-    met = row.join(mixed, same)
+    # One row per document on both sides: always a shuffle, in the same way at every size.
+    met = row.join(mixed.hint("merge"), same)
     once = met.filter(F.size("copies") == 1).withColumn("n", F.col("copies")[0])
     turn = F.row_number().over(W.partitionBy("of_id", "of_source", "of_size").orderBy("row.text"))
     often = met.filter(F.size("copies") > 1).withColumn("n", F.get("copies", turn - 1))
