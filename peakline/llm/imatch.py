@@ -5,6 +5,10 @@ say nothing about which text this is. A fingerprint is the hash of a text's sort
 restricted to randomised subsets of the lexicon. Subsets come at halving rates, so that a few terms of a text of any length fall
 into some of them; the share of equal hashes at each rate then tells how many terms two texts differ in.
 
+Copies count as documents, so the words of a large group of near copies leave the lexicon, and a short text may have no word in it. Membership
+of a subset is a hash of the term alone, so every fingerprint also has the hashes over all distinct terms, and pairs in which a
+text has too few lexicon terms are compared by those.
+
 The lexicon is broadcast. Its size is bounded by a parameter: terms of at least Sum(distinct terms per document) / limit documents
 cannot be more than the limit, and the band's lower edge is never below that.
 """
@@ -29,8 +33,10 @@ LEVELS, PER_LEVEL = 10, 6
 SUBSETS = LEVELS * PER_LEVEL
 _RATES = 0.5 ** np.arange(1, LEVELS + 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct terms that a task counts before it passes the counts on.
+#: Distinct terms that a task counts before it passes the counts on, and terms outside the lexicon that a fingerprinter remembers.
 COUNTED = 200_000
+#: A text with a smaller share of lexicon terms among its distinct terms is compared by all of them.
+LEAST_BAND_SHARE = 0.5
 
 
 @dataclass(frozen=True)
@@ -78,38 +84,58 @@ def lexicon(docs: DataFrame, band: Band = Band(), text_col: str = "text") -> lis
     return sorted(bytes(r[0]) for r in counts.filter(F.col("docs").between(math.ceil(least), max(1, math.floor(n * band.most_share)))).select("term").collect())
 
 
+_SALTS = _mixed(np.array([(j + 1) * int(_ODD) % 2**64 for j in range(SUBSETS)], np.uint64))
+_BELOW = np.array([2 ** (63 - j // PER_LEVEL) for j in range(SUBSETS)], np.uint64)
+
+
 class Fingerprinter:
     """Fingerprints of texts by one lexicon; made once per task."""
 
     def __init__(self, terms: list[bytes]):
         self.place = {term: i for i, term in enumerate(terms)}
-        self.hash = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in terms], np.uint64)
-        self.member = np.zeros((len(terms), SUBSETS), bool)
-        for j in range(SUBSETS):
-            draw = _mixed(self.hash ^ _mixed(np.array([(j + 1) * int(_ODD) % 2**64], np.uint64)))
-            self.member[:, j] = draw < np.uint64(2 ** (64 - 1 - j // PER_LEVEL))
-        self.power = np.ones(256, np.uint64)
-        self._grow(256)
-
-    def _grow(self, size: int) -> None:
-        self.power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _ODD, np.uint64))])
+        self.known = len(terms)
+        self.hash, self.member = np.zeros((2, self.known + COUNTED), np.uint64)
+        self._note(terms, 0)
+
+    def _note(self, terms: list[bytes], at: int) -> None:
+        """Hashes of terms, and their subsets as bits, from row `at` on."""
+        end = at + len(terms)
+        if end > len(self.hash):  # a text of more terms than are remembered
+            self.hash, self.member = (np.concatenate([x, np.zeros(end - len(x), np.uint64)]) for x in (self.hash, self.member))
+        fresh = np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=8).digest() for t in terms]), "<u8").astype(np.uint64)
+        self.hash[at:end] = fresh
+        for low in range(0, len(fresh), 4096):
+            draws = _mixed(fresh[low:low + 4096, None] ^ _SALTS) < _BELOW
+            self.member[at + low:at + low + len(draws)] = np.packbits(np.pad(draws, ((0, 0), (0, 64 - SUBSETS))), axis=1, bitorder="little").view("<u8")[:, 0]
+
+    def _places(self, words: set[bytes]) -> np.ndarray:
+        """Rows of the words; those outside the lexicon follow it, and are forgotten when they are many."""
+        new = words.difference(self.place)
+        if new and len(self.place) - self.known + len(new) > COUNTED:
+            self.place = {t: i for t, i in self.place.items() if i < self.known}
+            new = words.difference(self.place)
+        if new:
+            at = len(self.place)
+            self.place.update(zip(new, range(at, at + len(new)), strict=True))
+            self._note(list(new), at)
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def of(self, text: str) -> tuple[int, np.ndarray]:
-        """(hash of all lexicon terms, hashes by subset, 0 where it holds none of the text's terms). A text without lexicon
-        terms is told apart by the hash of all its terms."""
-        words = set(text.encode().split())
-        at = np.array(sorted(map(self.place.__getitem__, words & self.place.keys())), np.int64)
-        if not len(at):
-            whole = int.from_bytes(hashlib.blake2b(b" ".join(sorted(words)), digest_size=8, key=b"rare").digest(), "little")
-            return whole, np.zeros(SUBSETS, np.uint16)
-        if len(at) >= len(self.power):
-            self._grow(2 * len(at))
-        value, member = self.hash[at], self.member[at]
-        order = np.cumsum(member, axis=0) - 1
-        sums = np.where(member, value[:, None] * self.power[np.maximum(order, 0)], np.uint64(0)).sum(axis=0, dtype=np.uint64)
-        short = (_mixed(sums) % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
-        whole = _mixed((value * self.power[:len(at)]).sum(dtype=np.uint64) + np.zeros(1, np.uint64))[0]
-        return int(whole), np.where(member.any(axis=0), short, np.uint16(0))
+        """(hash of all lexicon terms, hashes by subset of the lexicon terms and then of all terms, 0 where it holds none of the text's terms,
+        and 1 if the lexicon terms are enough). A text with too few of them is told apart by the hash of all its terms."""
+        at = self._places(set(text.encode().split()))
+        band = at < self.known
+        enough = int(band.sum()) >= max(1, LEAST_BAND_SHARE * len(at))
+        value = np.empty((2, len(at)))
+        value[1] = (self.hash[at] >> np.uint64(33)) + np.uint64(1)  # sums of 31 bits are exact in doubles
+        value[0] = value[1] * band
+        sums = np.zeros((2, SUBSETS), np.uint64)
+        for low in range(0, len(at), 8192):
+            bits = np.unpackbits(self.member[at[low:low + 8192]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums += (value[:, low:low + 8192] @ bits[:, :SUBSETS].astype(np.float64)).astype(np.uint64)
+        short = np.where(sums > 0, (_mixed(sums) % np.uint64(65535)).astype(np.uint16) + np.uint16(1), np.uint16(0))
+        whole = _mixed(self.hash[at[band] if enough else at].sum(dtype=np.uint64, keepdims=True) ^ (np.uint64(0) if enough else _ODD))[0]
+        return int(whole), np.append(short.ravel(), np.uint16(enough))
 
 
 def printed(whole: int, subsets: np.ndarray) -> str:
@@ -128,8 +154,10 @@ def _fitted(hits: np.ndarray) -> np.ndarray:
 
 
 def likeness(whole_a: np.ndarray, a: np.ndarray, whole_b: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of common lexicon terms of fingerprint pairs, 0 to 1: one minus terms in one text only by
-    terms in either. Equal full hashes give 1; two fingerprints without lexicon terms are alike only if those are equal."""
+    """Estimated share of common terms of fingerprint pairs, 0 to 1: one minus terms in one text only by
+    terms in either. Lexicon terms count if both texts have enough of them, else all terms. Equal full hashes give 1."""
+    enough = ((a[:, -1] == 1) & (b[:, -1] == 1))[:, None]
+    a, b = (np.where(enough, x[:, :SUBSETS], x[:, SUBSETS:2 * SUBSETS]) for x in (a, b))
     per = lambda x: x.reshape(len(x), LEVELS, PER_LEVEL).sum(axis=2)
     apart, either = _fitted(per(a == b)), _fitted(per((a == 0) & (b == 0)))
     share = np.where(either > 0, 1 - apart / np.maximum(either, 1e-9), 0.0)

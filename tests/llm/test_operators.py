@@ -177,6 +177,20 @@ def test_likeness_estimates_overlap():
     assert 0.1 < imatch.likeness(*stack(a), *stack(b))[0] < 0.6 and imatch.likeness(*stack(a), *stack(a))[0] == 1.0
 
 
+def test_imatch_near_copies_of_a_large_group(make):
+    rng = random.Random(4)
+    word = lambda k: f"{k}{rng.randint(0, 10**6)}"
+    shared, others = [f"g{i}" for i in range(120)], [f"o{i}" for i in range(400)]
+    # Ids 201 to 300 hold the group; every copy has a few edits, some of them band words. The others are strangers.
+    copy = lambda: " ".join(rng.choice(others) if rng.random() < 0.03 else word("e") if rng.random() < 0.02 else w for w in shared)
+    pairs = [(i, " ".join(rng.sample(others, 60))) for i in range(1, 201)] + [(i, copy()) for i in range(201, 301)]
+    short = [(401, "rare1 rare2 rare3 rare4 rare5 rare6 rare7 rare8 rare9"), (400, "rare1 rare2 rare3 rare4 rare5 rare6 rare7 rare8 other9")]
+    got = {r["doc_id"]: r for r in imatch.fingerprints(make(pairs + short)).collect()}
+    assert not set(w.encode() for w in shared) & set(imatch.lexicon(make(pairs)))
+    assert min(got[i]["near_next"] for i in range(202, 301)) > 0.5 and got[401]["near_next"] > 0.4
+    assert max(got[i]["near_next"] for i in range(2, 201)) < 0.5 and got[201]["near_next"] < 0.3
+
+
 def test_lexicon_is_bounded(make, texts):
     assert len(imatch.lexicon(make(texts), imatch.Band(0.0, 1.0, 50))) <= 50
 
