@@ -1,9 +1,9 @@
 """Personal data by weak supervision, in column expressions only.
 
 Exact patterns find addresses, IP numbers, cards and phones; those spans always stand. Looser candidates (long digit groups,
-spelled-out addresses) are voted on by labelers: patterns, gazetteers and the words around. Expectation-maximisation over the
+spelled-out addresses) are sought in the text between those and voted on by labelers: patterns, gazetteers and the words around. Expectation-maximisation over the
 counts of vote patterns estimates how reliable each labeler is, and a logistic span classifier is trained on the resulting
-posteriors. Candidates it accepts are added where they touch no exact span. The votes are a handful of values from a fixed set, so what reaches the driver
+posteriors. Candidates it accepts are added. The votes are a handful of values from a fixed set, so what reaches the driver
 is one count per vote pattern, at most 3 ** (number of labelers) rows whatever the corpus.
 """
 
@@ -28,8 +28,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_VALID = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 
-#: Candidates: groups of digits with the separators people write, and addresses spelled with (at).
-NUMBER = r"(?:(?<![0-9])|\G)\+?[0-9][0-9\x20()./-]{5,60}+(?<=[0-9])|(?:(?<![0-9])|\G)\+?[0-9][0-9\x20()./-]{4,60}[0-9]"
+#: Candidates: runs of digit groups with the separators people write, and addresses spelled with (at). A run ends where another character stands.
+RUN = r"(?:(?<![0-9])|\G)\+?[0-9][0-9\x20()./-]{6,}+"
+#: Digits that a candidate may have, and its longest extent with separators.
+LEAST_DIGITS, MOST_DIGITS, MOST_CHARS = 7, 19, 62
 SPELLED = r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}){1,4}"
 
 #: Gazetteers. Words that announce personal data in the corpus' languages, words that announce other numbers, mail hosts, dialling codes.
@@ -121,12 +123,44 @@ def _votes(text: Column, start: Column, end: Column, hit: Column) -> Column:
         vote(F.lit(False), around.rlike(r"[\p{L}_0-9]")))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (start, end, votes) of everything the labelers vote on."""
-    voted = lambda found: F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _votes(text, x["start"], x["end"], x["hit"]).alias("votes")))
-    none = F.array().cast("array<struct<start:int,end:int,votes:array<int>>>")
-    numbers = F.filter(located(text, NUMBER), lambda x: F.length(digits(x["hit"])).between(7, 19))
-    return F.concat(F.when(text.rlike("[0-9]{2}"), voted(numbers)).otherwise(none), F.when(F.instr(F.lower(text), "at") > 0, voted(located(text, SPELLED))).otherwise(none))
+def _without(text: Column, spans: Column) -> Column:
+    """The text with line breaks in place of every span, so that all positions stay."""
+    blank = lambda t, s: F.overlay(t, F.repeat(F.lit("\n"), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"])
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, text, blank))
+
+
+def _stretches(run: Column) -> Column:
+    """Array of (start, end, hit): from every digit group of a run on, the stretches of whole groups with a candidate's digits."""
+    def ahead(start: Column, piece: Column) -> Column:
+        of = F.array(*(F.regexp_extract(piece, rf"^\+?(?:[0-9][\x20()./-]*+){{{n - 1}}}[0-9](?![0-9])", 0) for n in range(LEAST_DIGITS, MOST_DIGITS + 1)))
+        return F.transform(F.filter(of, lambda hit: F.length(hit).between(1, MOST_CHARS)), lambda hit: F.struct((run["start"] + start).alias("start"), (run["start"] + start + F.length(hit)).alias("end"), hit.alias("hit")))
+
+    # One character more than a candidate may have tells whether its last group is whole.
+    return F.flatten(F.transform(located(run["hit"], r"\+?[0-9]++"), lambda group: F.transform(
+        F.array(F.substring(run["hit"], group["start"] + 1, F.lit(MOST_CHARS + 1))), lambda piece: ahead(group["start"], piece))[0]))
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """Array of (start, end, votes, part) of everything outside the exact spans that the labelers vote on. A run of digit groups is one candidate;
+    one with more digits or characters than a candidate may have is voted on by groups and stretches of consecutive groups (part)."""
+    voted = lambda found, part: F.transform(found, lambda x: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), _votes(text, x["start"], x["end"], x["hit"]).alias("votes"), F.lit(part).alias("part")))
+    none = F.array().cast("array<struct<start:int,end:int,votes:array<int>,part:boolean>>")
+
+    def of(left: Column) -> Column:
+        trimmed = lambda hit: F.regexp_replace(hit, r"(?<=[0-9])[\x20()./-]++$", "")
+        runs = F.transform(F.filter(located(left, RUN), lambda x: F.length(digits(x["hit"])) >= LEAST_DIGITS), lambda x: F.transform(
+            F.array(trimmed(x["hit"])), lambda hit: F.struct(x["start"].alias("start"), (x["start"] + F.length(hit)).alias("end"), hit.alias("hit")))[0])
+        whole = lambda x: (F.length(digits(x["hit"])) <= MOST_DIGITS) & (F.length(x["hit"]) <= MOST_CHARS)
+        numbers = F.transform(F.array(runs), lambda r: F.concat(voted(F.filter(r, whole), False), voted(F.flatten(F.transform(F.filter(r, lambda x: ~whole(x)), _stretches)), True)))[0]
+        return F.concat(F.when(left.rlike("[0-9]{2}|[0-9][\x20()./-]"), numbers).otherwise(none), F.when(F.instr(F.lower(left), "at") > 0, voted(located(left, SPELLED), False)).otherwise(none))
+
+    return F.transform(F.array(_without(text, base)), of)[0]
+
+
+def anchors(text: Column, base: Column) -> Column:
+    """The labelers' votes on the exact spans of numbers: examples whose class is known."""
+    return F.transform(F.filter(base, lambda s: s["kind"] > 0), lambda s: _votes(text, s["start"], s["end"], F.substring(text, s["start"] + 1, s["end"] - s["start"])))
 
 
 def _sigmoid(x: float) -> float:
@@ -183,14 +217,19 @@ def find(docs: DataFrame, threshold: float = 0.9, *, id_col: str = "doc_id", tex
     in code points, ends exclusive, sorted by kind and start; and `rows`, the number of candidates. A null text is empty and has no spans. Repeated rows are
     treated alike, other columns ignored whatever their names, and an empty table gives an empty result.
     """
-    text = F.col("text")
-    found = stored(docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).select(
-        "doc_id", exact_spans(text).alias("base"), candidates(text).alias("candidates")))
-    votes = found.select(F.explode("candidates.votes").alias("votes")).groupBy("votes").count()
+    text, base = F.col("text"), F.col("base")
+    exact = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).select("doc_id", "text", exact_spans(text).alias("base"))
+    found = stored(exact.select("doc_id", "base", candidates(text, base).alias("candidates"), anchors(text, base).alias("anchors")))
+    # Stretches of a long run overlap, so of those only what a pattern finds is an example.
+    examples = F.concat("anchors", F.transform(F.filter("candidates", lambda c: ~c["part"] | (c["votes"][0] == 1)), lambda c: c["votes"]))
+    votes = found.select(F.explode(examples).alias("votes")).groupBy("votes").count()
     model = fit(sorted((tuple(r["votes"]), r["count"]) for r in votes.collect()))
-    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    added = F.transform(F.filter("candidates", lambda c: accepted(c["votes"], model, threshold) & free(c)),
-                        lambda c: F.struct(F.lit(KINDS.index("id")).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    found = found.withColumn("taken", F.filter("candidates", lambda c: accepted(c["votes"], model, threshold)))
+    # What a pattern finds in a long run stands; other stretches must not touch it nor lie in a longer one.
+    touch = lambda c, o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & ((o["start"] != c["start"]) | (o["end"] != c["end"]))
+    within = lambda c, o: (o["start"] <= c["start"]) & (c["end"] <= o["end"])
+    stands = lambda c: ~c["part"] | (c["votes"][0] == 1) | ~F.exists("taken", lambda o: o["part"] & touch(c, o) & ((o["votes"][0] == 1) | within(c, o)))
+    added = F.transform(F.filter("taken", stands), lambda c: F.struct(F.lit(KINDS.index("id")).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"), F.size("candidates").alias("rows"))
 
 

@@ -369,6 +369,17 @@ def test_pii_adds_spans_near_context(make):
     assert all("id:" in got[i][0][0] for i in range(60)) and all(got[100 + i] == [("",)] for i in range(60))
 
 
+NEIGHBOURS = ["pay 7536784127813050 4845168114407329 now", "ring +1 (826) 555-4081 190.137.223.204 today", "7536 7841 2781 3050 4845 1681 1440 7329"]
+
+
+def test_pii_finds_numbers_side_by_side(make):
+    row = " ".join(f"{i:05d}" for i in range(70001, 70013)) + " 7536784127813050 4845168114407329"
+    got = by_id(pii.find(make([*enumerate(NEIGHBOURS), (5, row)])).withColumn("all", pii.listed(pii.F.col("spans"))), "all")
+    spans = {i: v[0][0].split(",") for i, v in got.items()}
+    assert spans[0] == ["id:4:20", "id:21:37"] and spans[1] == ["ip:23:38", "id:5:22"] and {"id:0:19", "id:20:39"} <= set(spans[2])
+    assert {f"id:{row.index(n)}:{row.index(n) + 16}" for n in ("7536784127813050", "4845168114407329")} <= set(spans[5])
+
+
 def test_pii_mask(make):
     docs = make([(1, "to a@b.cd or 1.2.3.4, end"), (2, None), (3, "plain"), (4, "+1 (555) 123-4567"), (5, "")])
     got = pii.mask(docs)
