@@ -386,6 +386,11 @@ def test_pii_mask(make):
     assert got.columns == docs.columns and by_id(got, "text", "n_chars") == {1: [("to <EMAIL> or <IP>, end", 23)], 2: [(None, None)], 3: [("plain", 5)], 4: [("<PHONE>", 7)], 5: [("", 0)]}
 
 
+def test_pii_mask_side_by_side(make):
+    got = by_id(pii.mask(make([*enumerate(NEIGHBOURS[:2])])), "text", "n_chars")
+    assert got == {0: [("pay <ID> <ID> now", 17)], 1: [("ring <ID> <IP> today", 20)]}
+
+
 # pipeline ----------------------------------------------------------------------------------------------------------
 
 def test_pipeline(spark):
