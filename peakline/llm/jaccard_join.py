@@ -1,8 +1,9 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash banding.
 
-Documents with equal sets of word shingles form one class. Every class has a label of `depth` MinHash values in each of `trees` trees. Sorted by
-label, classes that share a prefix are neighbours: the nodes of a trie. Matching starts at whole labels and shortens the prefix
-until pairs at the threshold meet in some tree with at least the target recall. Classes that meet are compared by their whole signatures;
+Documents with equal sets of word shingles form one class. Every class has `depth` MinHash values in each of `trees` trees. Fixed banding
+replaces an LSH forest: classes meet if they share the first values of some tree, as many as the target recall for pairs at the threshold
+allows. Matching from whole labels down would end at the same length and meet the same pairs, since a longer shared
+prefix includes the shorter one; the other values serve the signature check. Classes that meet are compared by their whole signatures;
 those that may reach the threshold are linked to candidate components, and inside these all pairs are verified on the exact shingle sets, in blocks.
 Only counts and the links of a spanning forest leave a task, never all pairs of a group.
 """
