@@ -145,11 +145,13 @@ def frame_rois(frames: DataFrame, zoom: int = 1) -> DataFrame:
 
 
 def clips(markers: DataFrame) -> DataFrame:
-    """One clip per block of frames that has a marker, each with an angle of its own."""
+    """One clip per block of frames that has a marker, each with an angle of its own, and for every game one of 2^50 frames and one of a single frame."""
     block = F.floor(F.col("frame") / CLIP_FRAMES).cast("long")
-    return (markers.select("game_id", block.alias("clip_id")).distinct()
-            .select("game_id", "clip_id", (F.col("clip_id") * CLIP_FRAMES).alias("start_frame"), ((F.col("clip_id") + 1) * CLIP_FRAMES).alias("end_frame"),
-                    (F.col("clip_id") % 3 + 4).cast("int").alias("angle")))
+    blocks = (markers.select("game_id", block.alias("clip_id")).distinct()
+              .select("game_id", "clip_id", (F.col("clip_id") * CLIP_FRAMES).alias("start_frame"), ((F.col("clip_id") + 1) * CLIP_FRAMES).alias("end_frame")))
+    edge = lambda *values: F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(values, ("clip_id", "start_frame", "end_frame"))])
+    odd = markers.select("game_id").distinct().withColumn("_c", F.explode(F.array(edge(-1, 0, 2 ** 50), edge(-2, 40000, 40001)))).select("game_id", "_c.*")
+    return blocks.unionByName(odd).withColumn("angle", (F.pmod("clip_id", F.lit(3)) + 4).cast("int"))
 
 
 def merge_sides(markers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -225,7 +225,8 @@ FROM (SELECT *, GREATEST(1, TRY_CAST(round_even(win * 60, 0) AS BIGINT)) AS leng
       WHERE UPPER(name) <> 'REPLAY' AND win > 0 AND TRY_CAST(round_even(win * 60, 0) AS BIGINT) IS NOT NULL)"""
 CTES["cuts"] = "SELECT DISTINCT game_id, UNNEST([start_frame, end_frame]) AS frame FROM ranges"
 CTES["fx_clips"] = """
-SELECT DISTINCT game_id, frame // 5000 AS clip_id, frame // 5000 * 5000 AS start_frame, (frame // 5000 + 1) * 5000 AS end_frame FROM fx_markers"""
+SELECT DISTINCT game_id, frame // 5000 AS clip_id, frame // 5000 * 5000 AS start_frame, (frame // 5000 + 1) * 5000 AS end_frame FROM fx_markers
+UNION ALL SELECT DISTINCT m.game_id, w.clip_id, w.start_frame, w.end_frame FROM fx_markers m, (VALUES (-1, 0, 1125899906842624), (-2, 40000, 40001)) AS w(clip_id, start_frame, end_frame)"""
 CTES["pieces"] = """
 SELECT game_id, clip_id, edge AS start_frame, LEAD(edge) OVER (PARTITION BY game_id, clip_id ORDER BY edge) AS end_frame FROM (
   SELECT game_id, clip_id, start_frame AS edge FROM fx_clips
@@ -418,7 +419,7 @@ SELECTS: dict[str, str] = {
         LEFT JOIN ranges r ON r.game_id = m.game_id AND r.seq = m.seq GROUP BY m.game_id""",
     "split_points": "SELECT * FROM cuts",
     "split_clips": "SELECT * FROM pieces",
-    "assign_angles": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, COALESCE(arg_min(r.angle, (r.start_frame, r.seq)), c.clip_id % 3 + 4) AS angle
+    "assign_angles": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, COALESCE(arg_min(r.angle, (r.start_frame, r.seq)), (c.clip_id % 3 + 3) % 3 + 4) AS angle
         FROM (SELECT *, 1 AS copy FROM fx_clips UNION ALL SELECT *, 2 FROM fx_clips WHERE clip_id % 5 = 0) c
         LEFT JOIN ranges r ON r.game_id = c.game_id AND r.start_frame <= (c.start_frame + c.end_frame) / 2.0 AND (c.start_frame + c.end_frame) / 2.0 < r.end_frame GROUP BY c.game_id, c.clip_id, c.start_frame, c.end_frame, c.copy""",
     "merge_markers": "SELECT game_id, frame, color, name, note, duration FROM merge_dst UNION ALL SELECT * FROM merge_new",
@@ -436,7 +437,7 @@ SELECTS: dict[str, str] = {
     "detect_from_frames": "SELECT * FROM final4",
     "merge_markers_all": "SELECT game_id, frame, color, name, note, duration FROM merge_dst UNION ALL SELECT game_id, frame, color, name, note, duration FROM merge_src",
     "markers_v2": "SELECT * FROM play_replay",
-    "conform_timeline": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, COALESCE(arg_min(r.angle, (r.start_frame, r.seq)), c.clip_id % 3 + 4) AS angle FROM pieces c
+    "conform_timeline": """SELECT c.game_id, c.clip_id, c.start_frame, c.end_frame, COALESCE(arg_min(r.angle, (r.start_frame, r.seq)), (c.clip_id % 3 + 3) % 3 + 4) AS angle FROM pieces c
         LEFT JOIN ranges r ON r.game_id = c.game_id AND r.start_frame <= (c.start_frame + c.end_frame) / 2.0 AND (c.start_frame + c.end_frame) / 2.0 < r.end_frame GROUP BY c.game_id, c.clip_id, c.start_frame, c.end_frame""",
 }
 

@@ -77,46 +77,47 @@ def attach_by_chunk(df: DataFrame, scalars: DataFrame, keys: Sequence[str], last
 
 _PREFIX = {
     "max": lambda c, w=None: F.max(c) if w is None else F.max(c).over(w),
+    "min": lambda c, w=None: F.min(c) if w is None else F.min(c).over(w),
     "sum": lambda c, w=None: F.sum(c) if w is None else F.sum(c).over(w),
     "last": lambda c, w=None: F.last(c, ignorenulls=True) if w is None else F.last(c, ignorenulls=True).over(w),
 }
 
 
 def bucket_prefix(summary: DataFrame, keys: Sequence[str], bucket: str, value: str, how: str,
-                  out: str, backwards: bool = False, buckets: int | None = None) -> DataFrame:
+                  out: str, backwards: bool = False, buckets: int | None = None, depth: int = 1) -> DataFrame:
     """For each (keys, bucket) row, fold `value` over all earlier buckets of the same keys.
 
-    `how` is max, sum or last (nearest non-null). `backwards` folds over later buckets instead.
-    Two levels keep every window small: buckets inside a block of FAN_OUT, then blocks. Where the
+    `how` is max, min, sum or last (nearest non-null). `backwards` folds over later buckets instead.
+    Levels keep every window small: buckets inside a block of FAN_OUT, `depth` times over, then the blocks left, so a
+    sparse axis takes a depth at which few blocks are left of its whole length. Where the
     caller has counted that no key has more than a few `buckets`, one window does.
     """
     step = F.col(bucket).desc() if backwards else F.col(bucket).asc()
-    block_step = F.col("_block").desc() if backwards else F.col("_block").asc()
     fold = _PREFIX[how]
-    if buckets is not None and buckets <= limits.FEW_BUCKETS:
+    if depth == 0 or buckets is not None and buckets <= limits.FEW_BUCKETS:
         seen = fold(F.col(value), Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
         return summary.withColumn(out, F.coalesce(seen, F.lit(0).cast("long")) if how == "sum" else seen)
-    blocks = summary.withColumn("_block", floor_div(F.col(bucket), FAN_OUT))
-    inside = Window.partitionBy(*keys, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy(block_step).rowsBetween(Window.unboundedPreceding, -1)
+    block, total_, outer_, inner_ = (f"_{name}{depth}" for name in ("block", "total", "outer", "inner"))
+    blocks = summary.withColumn(block, floor_div(F.col(bucket), FAN_OUT))
+    inside = Window.partitionBy(*keys, block).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     if how == "last":
         nearest = F.min_by if backwards else F.max_by
         seen = F.when(F.col(value).isNotNull(), F.col(bucket))
         total = nearest(F.col(value), seen)
     else:
         total = fold(F.col(value))
-    outer = (blocks.groupBy(*keys, "_block").agg(total.alias("_total"))
-             .withColumn("_outer", fold(F.col("_total"), across)).drop("_total"))
-    inner = blocks.withColumn("_inner", fold(F.col(value), inside))
-    if how == "max":
-        merged = F.greatest("_inner", "_outer")
+    totals = blocks.groupBy(*keys, block).agg(total.alias(total_))
+    outer = bucket_prefix(totals, keys, block, total_, how, outer_, backwards, depth=depth - 1).drop(total_)
+    inner = blocks.withColumn(inner_, fold(F.col(value), inside))
+    if how in ("max", "min"):
+        merged = (F.greatest if how == "max" else F.least)(inner_, outer_)
     elif how == "sum":
         zero = F.lit(0).cast("long")
-        merged = F.coalesce("_inner", zero) + F.coalesce("_outer", zero)
+        merged = F.coalesce(inner_, zero) + F.coalesce(outer_, zero)
     else:
-        merged = F.coalesce("_inner", "_outer")
-    return (inner.join(outer, [*keys, "_block"], "left")
-            .withColumn(out, merged).drop("_block", "_inner", "_outer"))
+        merged = F.coalesce(inner_, outer_)
+    return (inner.join(outer, [*keys, block], "left")
+            .withColumn(out, merged).drop(block, inner_, outer_))
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakline.functions.text import parse_cam_angle, parse_color, parse_win_seconds, strip, win_frames
-from peakline.operators import limits
 from peakline.operators.chunks import bucket_prefix, explode_range, floor_div
 from peakline.operators.cut import cut
 
 FRAMES_PER_BIN = 4096
+#: What stands at a frame, in the order in which it counts.
+CLIP_END, CUT, CLIP_START = 0, 1, 2
+RANGE_END, MIDDLE = 0, 1
 
 MARKER_SIGNATURE = ["game_id", "frame", "color", "name", "note", "duration"]
 
@@ -43,77 +45,78 @@ def split_points(ranges: DataFrame) -> DataFrame:
     return (ranges.select("game_id", F.explode(F.array("start_frame", "end_frame")).alias("frame")).distinct())
 
 
-def split_clips(clips: DataFrame, points: DataFrame) -> DataFrame:
-    """Cut each clip at every point strictly inside it; the pieces keep the clip's other columns.
+def _in_bin(backwards: bool = False):
+    """The rows of a bin before the current one, or behind it, in the order of frames and kinds."""
+    frame, kind = (F.desc("frame"), F.desc("_kind")) if backwards else (F.asc("frame"), F.asc("_kind"))
+    return Window.partitionBy("game_id", "_bin").orderBy(frame, kind).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _over_bins(bins: DataFrame, value: str, how: str, out: str, backwards: bool, most: int) -> DataFrame:
+    """Folds over the bins that have rows. An axis of 2^52 frames has 2^40 bins: three levels of FAN_OUT leave sixteen blocks."""
+    return bucket_prefix(bins, ["game_id"], "_bin", value, how, out, backwards=backwards, buckets=most, depth=3)
 
-    The next point is a property of the point, so it is looked up once per game (per bin of frames,
-    then across bins); a clip with many cuts is never gathered to order them.
+
+def _ranked(clips: DataFrame, points: DataFrame) -> DataFrame:
+    """(game_id, frame, _kind, _rank, _next) for every distinct cut and end of a clip.
+
+    `_rank` counts the cuts before the row, `_next` is the first cut behind it. At one frame the end of a clip comes before a cut
+    and a start behind it, so a cut at an edge of a clip is not inside. Rows are folded inside bins, then over
+    the bins that have rows; a bin holds each frame three times at most, however many clips begin there.
     """
-    cuts = cut(points.select("game_id", "frame").distinct().withColumn("_bin", floor_div(F.col("frame"), FRAMES_PER_BIN)))
-    low, high = cuts.agg(F.min("_bin"), F.max("_bin")).first()
-    firsts = cuts.groupBy("game_id", "_bin").agg(F.min("frame").alias("_first"))
-    later = bucket_prefix(firsts, ["game_id"], "_bin", "_first", "last", "_later", backwards=True,
-                          buckets=0 if low is None else high - low + 1).drop("_first")
-    in_bin = Window.partitionBy("game_id", "_bin").orderBy("frame")
-    cuts = (cuts.join(later, ["game_id", "_bin"], "left")
-            .withColumn("_next", F.coalesce(F.lead("frame").over(in_bin), F.col("_later"))).drop("_later"))
-    spread = explode_range(clips, floor_div(F.col("start_frame"), FRAMES_PER_BIN),
-                           floor_div(F.col("end_frame") - 1, FRAMES_PER_BIN), "_bin")
-    inside = (spread.join(cuts, ["game_id", "_bin"])
-              .filter((F.col("frame") > F.col("start_frame")) & (F.col("frame") < F.col("end_frame"))))
-    rest = [c for c in clips.columns if c not in ("game_id", "clip_id", "start_frame", "end_frame")]
-    tails = inside.select("game_id", "clip_id", F.col("frame").alias("start_frame"),
-                          F.least(F.col("_next"), F.col("end_frame")).alias("end_frame"), *rest)
-    first_cut = inside.groupBy("game_id", "clip_id", "start_frame", "end_frame").agg(F.min("frame").alias("_cut"))
-    heads = (clips.join(first_cut, ["game_id", "clip_id", "start_frame", "end_frame"], "left")
-             .select("game_id", "clip_id", "start_frame", F.coalesce("_cut", "end_frame").alias("end_frame"), *rest))
-    return heads.unionByName(tails)
+    def of(df: DataFrame, frame: str, kind: int) -> DataFrame:
+        return df.select("game_id", F.col(frame).alias("frame"), F.lit(kind).alias("_kind"))
 
+    rows = of(clips, "end_frame", CLIP_END).unionByName(of(points, "frame", CUT)).unionByName(of(clips, "start_frame", CLIP_START)).distinct()
+    rows = rows.withColumn("_bin", floor_div(F.col("frame"), FRAMES_PER_BIN)).withColumn("_cut", F.when(F.col("_kind") == CUT, F.col("frame")))
+    bins = cut(rows.groupBy("game_id", "_bin").agg(F.count("_cut").alias("_cuts"), F.min("_cut").alias("_first")))
+    most = bins.count()
+    folded = _over_bins(_over_bins(bins, "_cuts", "sum", "_before", False, most), "_first", "last", "_behind", True, most)
+    rank = F.col("_before") + F.count("_cut").over(_in_bin())
+    ahead = F.last("_cut", ignorenulls=True).over(_in_bin(backwards=True))
+    return (rows.join(folded.drop("_cuts", "_first"), ["game_id", "_bin"])
+            .select("game_id", "frame", "_kind", rank.alias("_rank"), F.coalesce(ahead, F.col("_behind")).alias("_next")))
 
-def _shift(value: Column, level: Column) -> Column:
-    return F.call_function("shiftright", value, (level * 2).cast("int"))
 
+def split_clips(clips: DataFrame, points: DataFrame) -> DataFrame:
+    """Cut each clip at every point strictly inside it; the pieces keep the clip's other columns.
 
-def _with_cover(ranges: DataFrame) -> DataFrame:
-    """Fewest aligned blocks of 4^_level frames (numbered _node) that make up [start_frame, end_frame)."""
-    level = F.col("_level")
-    size = F.call_function("shiftleft", F.lit(1).cast("long"), (level * 2).cast("int"))
-    deepest = F.floor(F.log(4.0, F.col("end_frame") - F.col("start_frame"))).cast("int") + 1
-    levels = (ranges.withColumn("_level", F.explode(F.sequence(F.lit(0), deepest)))
-              .withColumn("_a", _shift(F.col("start_frame") + size - 1, level)).withColumn("_b", _shift(F.col("end_frame"), level))
-              .withColumn("_up", F.floor((F.col("_a") + 3) / 4) * 4).withColumn("_down", F.floor(F.col("_b") / 4) * 4)
-              .filter(F.col("_a") < F.col("_b")))
-    a, b, up, down = (F.col(c) for c in ("_a", "_b", "_up", "_down"))
-    left = [F.when(a + k < F.least(up, b), a + k) for k in range(3)]
-    right = [F.when((up <= down) & (b - k >= down), b - k) for k in (1, 2, 3)]
-    return (levels.withColumn("_node", F.explode(F.array(*left, *right))).filter(F.col("_node").isNotNull())
-            .drop("_a", "_b", "_up", "_down"))
+    Cuts are numbered in their game, and a clip looks up how many lie before its start and before its end. The
+    numbers between are its cuts: one row each, joined by number, so the rows made are the pieces returned, whether a clip is one frame or
+    2^50 long. The next cut is a property of the cut; a clip with many of them is never gathered. Clips that are empty or lack an edge stay.
+    """
+    ranked = cut(_ranked(clips, points))
+    of = lambda kind, *columns: ranked.filter(F.col("_kind") == kind).select("game_id", *columns)
+    rest = [c for c in clips.columns if c not in ("game_id", "clip_id", "start_frame", "end_frame")]
+    known = clips.join(of(CLIP_START, F.col("frame").alias("start_frame"), F.col("_rank").alias("_low"), "_next"), ["game_id", "start_frame"], "left")
+    heads = known.select("game_id", "clip_id", "start_frame", F.when(F.col("_next") < F.col("end_frame"), F.col("_next")).otherwise(F.col("end_frame")).alias("end_frame"), *rest)
+    inside = known.filter(F.col("_next") < F.col("end_frame")).drop("_next").join(of(CLIP_END, F.col("frame").alias("end_frame"), F.col("_rank").alias("_high")), ["game_id", "end_frame"])
+    numbered = explode_range(inside, F.col("_low"), F.col("_high") - 1, "_rank")
+    tails = (numbered.join(of(CUT, "frame", "_rank", "_next"), ["game_id", "_rank"])
+             .select("game_id", "clip_id", F.col("frame").alias("start_frame"), F.least("_next", "end_frame").alias("end_frame"), *rest))
+    return heads.unionByName(tails)
 
 
 def assign_angles(clips: DataFrame, ranges: DataFrame) -> DataFrame:
     """Give each clip the angle of the first range, in frame order, that holds its midpoint.
 
-    Ranges are written as aligned blocks, and only the first range of each block is kept; a midpoint
-    then looks up the one block per level it lies in. The cost is a few rows per range and per clip
-    however many ranges overlap, and no pair of clip and range is ever formed beyond those. Clips
-    without a match keep the angle they have (null without an `angle` column); repeated clips stay.
+    Of the ranges that end behind a midpoint the one that begins first either holds it or begins behind it, as all others then do. So each
+    midpoint needs the least start among the range ends behind it: one fold over the frames, one row per distinct end and
+    midpoint, however long the ranges are and however many overlap. Clips without a match keep the angle they have (null without an `angle`
+    column); repeated clips stay. Of ranges that begin together the first by `seq`, then angle, counts.
     """
     if "angle" not in clips.columns:
         clips = clips.withColumn("angle", F.lit(None).cast("int"))
-    # The longest range decides how many levels exist at all.
-    longest = ranges.agg(F.max(F.col("end_frame") - F.col("start_frame"))).first()[0] or 1
-    deepest = (int(longest).bit_length() - 1) // 2
     clips = cut(clips.withColumn("_middle", F.floor((F.col("start_frame") + F.col("end_frame")) / F.lit(2)).cast("long")))
-    probes = (clips.select("game_id", "_middle").distinct().withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
-              .withColumn("_node", _shift(F.col("_middle"), F.col("_level"))))
-    place = ["game_id", "_level", "_node"]
-    cover = _with_cover(ranges).select(*place, "start_frame", "seq", "angle")
-    if clips.count() * (deepest + 1) <= limits.FEW_PROBES:
-        # Counted and few: blocks that no clip asks for are dropped where the ranges are read.
-        cover = cover.join(F.broadcast(probes.select(*place).distinct()), place, "left_semi")
-    blocks = cover.groupBy(*place).agg(F.min(F.struct("start_frame", "seq", "angle")).alias("_range"))
-    first = probes.join(blocks, place).groupBy("game_id", "_middle").agg(F.min("_range").alias("_range"))
-    return (clips.join(first, ["game_id", "_middle"], "left")
+    least = F.min(F.struct("start_frame", "seq", "angle"))
+    ends = ranges.groupBy("game_id", F.col("end_frame").alias("frame")).agg(least.alias("_range")).withColumn("_kind", F.lit(RANGE_END))
+    middles = clips.select("game_id", F.col("_middle").alias("frame")).distinct().withColumn("_kind", F.lit(MIDDLE))
+    rows = ends.unionByName(middles, allowMissingColumns=True).withColumn("_bin", floor_div(F.col("frame"), FRAMES_PER_BIN))
+    bins = cut(rows.groupBy("game_id", "_bin").agg(F.min("_range").alias("_least")))
+    behind = _over_bins(bins, "_least", "min", "_behind", True, bins.count()).drop("_least")
+    first = F.least(F.min("_range").over(_in_bin(backwards=True)), F.col("_behind"))
+    found = (rows.join(behind, ["game_id", "_bin"]).select("game_id", "frame", "_kind", first.alias("_range"))
+             .filter((F.col("_kind") == MIDDLE) & (F.col("_range.start_frame") <= F.col("frame"))).select("game_id", F.col("frame").alias("_middle"), "_range"))
+    return (clips.join(found, ["game_id", "_middle"], "left")
             .withColumn("angle", F.coalesce(F.col("_range.angle"), F.col("angle"))).drop("_range", "_middle"))
 
 

@@ -50,7 +50,7 @@ def test_detection_equals_plain_code(spark, name, version):
 @pytest.mark.parametrize("version", [1, 2])
 def test_large_plans_give_the_same(spark, version, monkeypatch):
     """Every counted bound set to nothing: the plans for large data on small data."""
-    for name in ("SHORT_SERIES", "SMALL_GROUP", "FEW_BUCKETS", "FEW_SERIES", "FEW_PROBES"):
+    for name in ("SHORT_SERIES", "SMALL_GROUP", "FEW_BUCKETS", "FEW_SERIES"):
         monkeypatch.setattr(limits, name, 0)
     test_detection_equals_plain_code(spark, "short_segments", version)
 

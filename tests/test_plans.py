@@ -16,7 +16,7 @@ from peakline.operators.scoring import window_pieces, window_samples
 
 SF = "/root/testdata/sf0.001"
 CFG = DetectConfig.live(fps=4)
-LARGE = ("SHORT_SERIES", "SMALL_GROUP", "FEW_BUCKETS", "FEW_SERIES", "FEW_PROBES")
+LARGE = ("SHORT_SERIES", "SMALL_GROUP", "FEW_BUCKETS", "FEW_SERIES")
 
 
 def plan(df):

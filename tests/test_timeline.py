@@ -35,7 +35,6 @@ def brute_angles(pieces, ranges):
 @pytest.mark.parametrize("few", [10 ** 6, 0])
 def test_cut_and_angles(spark, few, monkeypatch):
     """Ranges from one frame to a whole recording, clips that overlap, and cuts far apart."""
-    monkeypatch.setattr(limits, "FEW_PROBES", few)
     monkeypatch.setattr(limits, "FEW_BUCKETS", few)
     rnd = random.Random(4)
     ranges = []
@@ -93,10 +92,40 @@ def test_long_ranges_and_repeated_clips(spark):
     assert got == sorted([(i, 1) for i in range(1, 11)] * 2)
 
 
-def test_few_probes_switch_changes_nothing(spark, monkeypatch):
+def test_bins_are_folded_alike_at_every_size(spark, monkeypatch):
+    """One window over all bins, or levels of blocks."""
     rng = random.Random(3)
-    ranges = spark.createDataFrame([(0, s, a, a + rng.randint(1, 400), rng.randint(0, 3)) for s in range(80) for a in [rng.randint(0, 3000)]], "game_id int, seq long, start_frame long, end_frame long, angle int")
-    clips = spark.createDataFrame([(0, i, 40 * i, 40 * i + 33) for i in range(80)], "game_id int, clip_id long, start_frame long, end_frame long")
-    want = sorted(map(repr, TL.assign_angles(clips, ranges).collect()))
-    monkeypatch.setattr(limits, "FEW_PROBES", 0)
-    assert sorted(map(repr, TL.assign_angles(clips, ranges).collect())) == want
+    ranges = spark.createDataFrame([(0, s, a, a + rng.choice([5, 400, 10 ** 9, 2 ** 50]), rng.randint(0, 3)) for s in range(80) for a in [rng.choice([1, 10 ** 4, 10 ** 8, 10 ** 12]) * rng.randint(0, 300)]],
+                                   "game_id int, seq long, start_frame long, end_frame long, angle int")
+    clips = spark.createDataFrame([(0, i, 40 ** (i % 9) + i, 40 ** (i % 9) + i + 33 ** (i % 7)) for i in range(80)], "game_id int, clip_id long, start_frame long, end_frame long")
+    build = lambda: sorted(map(repr, TL.assign_angles(TL.split_clips(clips, TL.split_points(ranges)), ranges).collect()))
+    want = build()
+    monkeypatch.setattr(limits, "FEW_BUCKETS", 0)
+    assert build() == want and len(want) > 200
+
+
+def test_wide_clips_make_no_more_rows_than_pieces(spark, monkeypatch):
+    """A clip of 2^50 frames is never spread over its length."""
+    spread = []
+    real = TL.explode_range
+
+    def counted(*args):
+        out = real(*args)
+        spread.append(out.count())
+        return out
+
+    monkeypatch.setattr(TL, "explode_range", counted)
+    points = [(0, 7), (0, 10 ** 6), (0, 2 ** 49), (0, 2 ** 50 - 1), (0, 2 ** 50), (1, 5)]
+    clips = [(0, 1, 0, 2 ** 50, 1), (0, 2, 7, 8, 2), (0, 3, 6, 8, 3), (1, 1, 0, 2 ** 51, 4), (2, 1, 0, 2 ** 50, 5), (0, 4, 9, 9, 6), (0, 5, None, 9, 7)]
+    got = TL.split_clips(spark.createDataFrame(clips, "game_id int, clip_id long, start_frame long, end_frame long, angle int"), spark.createDataFrame(points, "game_id int, frame long"))
+    want = brute_pieces([c for c in clips if c[2] is not None], points) + [clips[-1]]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert spread == [6]
+
+
+def test_ranges_that_begin_together(spark):
+    """The first by seq, then angle; a range without an angle leaves the clip's."""
+    ranges = spark.createDataFrame([(0, 2, 10, 90, 1), (0, 1, 10, 40, 2), (0, 1, 10, 50, 3), (0, 0, 60, 95, 4), (1, 1, 0, 9, None)], "game_id int, seq long, start_frame long, end_frame long, angle int")
+    clips = spark.createDataFrame([(0, m, m, m, 9) for m in (9, 10, 39, 40, 49, 50, 60, 89, 90, 94, 95)] + [(1, 3, 3, 3, 9)], "game_id int, clip_id long, start_frame long, end_frame long, angle int")
+    got = {(r.game_id, r.clip_id): r.angle for r in TL.assign_angles(clips, ranges).collect()}
+    assert got == {(0, 9): 9, (0, 10): 2, (0, 39): 2, (0, 40): 3, (0, 49): 3, (0, 50): 1, (0, 60): 1, (0, 89): 1, (0, 90): 4, (0, 94): 4, (0, 95): 9, (1, 3): 9}
