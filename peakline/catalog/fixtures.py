@@ -74,8 +74,7 @@ def markers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed markers, as a stored table would hold them; several steps of a query read it."""
-    typed = normalize_markers(markers_raw(spark, sf_dir), CFG.timeline_fps)
-    return cut(typed.repartition("game_id", "frame", "seq"))
+    return cut(normalize_markers(markers_raw(spark, sf_dir).repartition("game_id", "seq"), CFG.timeline_fps))
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def _first_match(col: Column, pattern: str) -> Column:
 
 def parse_win_seconds(note: Column) -> Column:
     """Seconds of the first `win=..s`, else null."""
-    return _first_match(note, WIN_PATTERN).try_cast("double")
+    return F.regexp_extract(note, WIN_PATTERN, 1).try_cast("double")  # no match is an empty text, which is no number
 
 
 #: Frame numbers and lengths beyond this are no numbers: sums of a few of them stay exact.
@@ -34,7 +34,12 @@ MOST_FRAMES = 1 << 52
 
 def win_frames(note: Column, fps: float) -> Column:
     """Frames of the first `win=..s`, half to even; null without one or beyond MOST_FRAMES."""
-    frames = F.rint(parse_win_seconds(note) * F.lit(fps))
+    return seconds_to_frames(parse_win_seconds(note), fps)
+
+
+def seconds_to_frames(seconds: Column, fps: float) -> Column:
+    """Frames, half to even; null beyond MOST_FRAMES."""
+    frames = F.rint(seconds * F.lit(fps))
     return F.when(frames <= MOST_FRAMES, frames).try_cast("long")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -32,3 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def measured(df: DataFrame, **totals: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """`cut(df)`, and aggregates over its rows taken by the job that writes them.
+
+    A step that is computed again after a loss may be counted twice, so counts are right or too large: fit for choosing a plan
+    and for asking whether there is anything, not as results.
+    """
+    seen = Observation()
+    rows = cut(df.observe(seen, *[total.alias(name) for name, total in totals.items()]))
+    return rows, seen.get

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from peakline.config import DetectConfig
 from peakline.functions.color import color_class, color_rank
-from peakline.functions.text import MOST_FRAMES, fixed, marker_label, strip, tag_note, win_frames, xml_escape
+from peakline.functions.text import MOST_FRAMES, fixed, marker_label, parse_win_seconds, seconds_to_frames, strip, tag_note, xml_escape
 from peakline.functions.timecode import frames_to_tc, rational_time, sec_to_frame, tc_to_frames
 from peakline.operators.chunks import floor_div, number_rows
 
@@ -65,27 +65,37 @@ def replay_markers(scored: DataFrame, cfg: DetectConfig) -> DataFrame:
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def numeric(col: Column) -> Column:
+    """The value of a numeric text, else null (also for inf and nan)."""
+    return F.regexp_extract(strip(col), _NUMBER, 0).try_cast("double")
+
+
+def whole(number: Column) -> Column:
+    """The integer part; null beyond MOST_FRAMES."""
+    return F.when(F.abs(number) <= MOST_FRAMES, number).try_cast("long")
+
+
 def whole_number(col: Column) -> Column:
     """The integer part of a numeric text, else null (also for inf, nan and beyond MOST_FRAMES)."""
-    text = strip(col)
-    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    return F.when(F.abs(number) <= MOST_FRAMES, number).try_cast("long")
+    return whole(numeric(col))
 
 
-def _clean(raw: DataFrame) -> DataFrame:
+def _clean(raw: DataFrame, *more: Column) -> DataFrame:
+    """Rows with a frame number. Texts are parsed in a projection of their own: what is made of them names them several times, and
+    each name would parse them anew."""
     def text(name: str) -> Column:
         return strip(F.coalesce(F.col(name), F.lit("")))
 
-    return (raw.select("game_id", "seq", whole_number(F.col("Frame")).alias("_frame"), text("Name").alias("_name"),
-                       text("Note").alias("_note"), text("Color").alias("_color"), F.col("Duration").alias("_duration"))
-            .filter(F.col("_frame").isNotNull()))
+    parsed = raw.select("game_id", "seq", numeric(F.col("Frame")).alias("_frame"), text("Name").alias("_name"), text("Note").alias("_note"), text("Color").alias("_color"),
+                        parse_win_seconds(strip(F.coalesce(F.col("Note"), F.lit("")))).alias("_win"), *more)
+    return parsed.withColumn("_frame", whole(F.col("_frame"))).filter(F.col("_frame").isNotNull())
 
 
 def normalize_markers(raw: DataFrame, fps: int) -> DataFrame:
     """Typed markers: the Duration column counts, the note's `win=` only where it is not a number."""
     one = F.lit(1).cast("long")
-    length = F.coalesce(whole_number(F.col("_duration")), win_frames(F.col("_note"), fps), one)
-    return _clean(raw).select(
+    length = F.coalesce(whole(F.col("_duration")), seconds_to_frames(F.col("_win"), fps), one)
+    return _clean(raw, numeric(F.col("Duration")).alias("_duration")).select(
         "game_id", "seq", F.col("_frame").alias("frame"), F.col("_name").alias("name"), F.col("_note").alias("note"),
         F.when(F.col("_color") == "", F.lit("Blue")).otherwise(F.col("_color")).alias("color"),
         F.greatest(one, length).alias("duration"))
@@ -101,7 +111,7 @@ def number_by_frame(df: DataFrame, frame: str, name: str) -> DataFrame:
 
 def to_edl_events(raw: DataFrame, fps: int) -> DataFrame:
     """Cut-list events: length from the note's `win=` alone, one frame for replays and rows without it."""
-    frames = win_frames(F.col("_note"), fps)
+    frames = seconds_to_frames(F.col("_win"), fps)
     point = (F.upper(F.col("_name")) == "REPLAY") | frames.isNull()
     length = F.when(point, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), frames))
     events = _clean(raw).select(

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakline.operators.chunks import (
     CHUNK, DEFAULT_CHUNK, HOME, SERIES, bucket_prefix, chunk_window, floor_div, with_halo)
-from peakline.operators.cut import cut
+from peakline.operators.cut import measured
 from peakline.operators.kernels import DROPPED, KEPT, WAITING, group_numbers, resolve, whole_groups
 
 
@@ -36,20 +36,25 @@ def mark_tops(spread: DataFrame, col: str) -> DataFrame:
     return marked.withColumn("top", top).withColumn("left", F.col("_run.idx")).drop("_run", "_falls")
 
 
-def tops_of(marked: DataFrame, col: str, carry: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+def open_tops() -> Column:
+    """How many tops wait for their start; a total for `measured`."""
+    return F.count_if(F.col("top") == _OPEN_TOP)
+
+
+def tops_of(marked: DataFrame, waiting_tops: int, col: str, carry: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     """(keys, _chunk, idx, left, right, value) of the local maxima in marked rows.
 
     Tops that began in an earlier chunk, one per chunk at most, look their start up in a summary of
-    the last change of each chunk. `chunks` is the number of chunks of the longest series, if known.
+    the last change of each chunk. `waiting_tops` tells whether there are any, `chunks` is the number of chunks of the longest series, if known.
     """
     def table(rows: DataFrame, left) -> DataFrame:
         return rows.select(*SERIES, CHUNK, floor_div(left + F.col("idx"), 2).alias("idx"), left.alias("left"),
                            F.col("idx").alias("right"), F.col(col).alias("value"), *carry)
 
     done = table(marked.filter(F.col("top") == _TOP), F.col("left"))
-    waiting = marked.filter(F.col("top") == _OPEN_TOP)
-    if waiting.isEmpty():
+    if not waiting_tops:
         return done
+    waiting = marked.filter(F.col("top") == _OPEN_TOP)
     turn = F.struct("idx", "rise")
     turns = (marked.filter(F.col("rise").isNotNull()).select(*SERIES, CHUNK, turn.alias("_turn"))
              .unionByName(waiting.select(*SERIES, CHUNK, F.when(F.lit(False), turn).alias("_turn")))
@@ -67,7 +72,8 @@ def local_maxima(df: DataFrame, col: str = "smooth", carry: Sequence[str] = (),
     """
     spread = with_halo(df.select(*SERIES, "idx", col, *[c for c in carry if c != col]), chunk, before=1, after=1)
     marked = mark_tops(spread, col).filter(F.col(HOME) & (F.col("rise").isNotNull() | (F.col("top") > 0)))
-    return tops_of(cut(marked), col, carry).drop(CHUNK)
+    marked, seen = measured(marked, open_tops=open_tops())
+    return tops_of(marked, seen["open_tops"], col, carry).drop(CHUNK)
 
 
 def peaks_above(df: DataFrame, height, col: str = "value") -> DataFrame:
@@ -119,8 +125,9 @@ def suppress(candidates: DataFrame, keys: Sequence[str], pos: str, best_first: S
     """
     rows = candidates.withColumn("_state", F.lit(WAITING).cast("byte"))
     while True:
-        rows = cut(_suppression_pass(rows, keys, pos, group, best_first, distance, float(span) * distance, float(reach) * distance))
-        if rows.filter(F.col("_state") == WAITING).isEmpty():
+        rows, seen = measured(_suppression_pass(rows, keys, pos, group, best_first, distance, float(span) * distance, float(reach) * distance),
+                              waiting=F.count_if(F.col("_state") == WAITING))
+        if not seen["waiting"]:
             return rows.drop("_state")
         if span * 16 <= widest:
             span, reach = span * 16, reach * 16

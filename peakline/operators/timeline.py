@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakline.functions.text import parse_cam_angle, parse_color, parse_win_seconds, strip, win_frames
+from peakline.functions.text import parse_cam_angle, parse_color, parse_win_seconds, seconds_to_frames, strip
 from peakline.operators.chunks import bucket_prefix, explode_range, floor_div
-from peakline.operators.cut import cut
+from peakline.operators.cut import cut, measured
 
 FRAMES_PER_BIN = 4096
 #: What stands at a frame, in the order in which it counts.
@@ -17,18 +17,18 @@ RANGE_END, MIDDLE = 0, 1
 MARKER_SIGNATURE = ["game_id", "frame", "color", "name", "note", "duration"]
 
 
-def _expandable(markers: DataFrame, fps: float) -> Column:
-    """A length that is no number of frames (see `win_frames`) is no length."""
-    win = parse_win_seconds(F.col("note"))
-    return F.coalesce((F.upper(strip(F.coalesce("name", F.lit("")))) != "REPLAY") & (win > 0) & win_frames(F.col("note"), fps).isNotNull(), F.lit(False))
+def _expandable(fps: float) -> Column:
+    """Needs `_win`, the seconds of the note. A length that is no number of frames (see `win_frames`) is no length."""
+    return F.coalesce((F.upper(strip(F.coalesce("name", F.lit("")))) != "REPLAY") & (F.col("_win") > 0) & seconds_to_frames(F.col("_win"), fps).isNotNull(), F.lit(False))
 
 
 def expand_markers(markers: DataFrame, fps: float, start_frame: int = 0) -> DataFrame:
     """Point markers to ranges on the absolute frame axis, with colour and 0-based angle."""
     name, note = strip(F.coalesce("name", F.lit(""))), F.coalesce("note", F.lit(""))
-    length = F.greatest(F.lit(1).cast("long"), win_frames(F.col("note"), fps))
+    length = F.greatest(F.lit(1).cast("long"), seconds_to_frames(F.col("_win"), fps))
     offset = F.lit(start_frame).cast("long")
-    return (markers.filter(_expandable(markers, fps))
+    parsed = markers.select("game_id", "seq", "frame", "name", "note", parse_win_seconds(F.col("note")).alias("_win"))
+    return (parsed.filter(_expandable(fps))
             .select("game_id", "seq", "frame", parse_color(name, note).alias("color"), name.alias("name"), note.alias("note"),
                     length.alias("duration"), (F.col("frame") + offset).alias("start_frame"),
                     (F.col("frame") + length + offset).alias("end_frame"), parse_cam_angle(name, note).alias("angle")))
@@ -36,8 +36,8 @@ def expand_markers(markers: DataFrame, fps: float, start_frame: int = 0) -> Data
 
 def expansion_counts(markers: DataFrame, fps: float = 60) -> DataFrame:
     """Markers expanded and skipped per game."""
-    yes = _expandable(markers, fps).cast("long")
-    return markers.groupBy("game_id").agg(F.sum(yes).alias("expanded"), F.sum(1 - yes).alias("skipped"))
+    known = markers.select("game_id", "name", parse_win_seconds(F.col("note")).alias("_win")).select("game_id", _expandable(fps).cast("long").alias("_yes"))
+    return known.groupBy("game_id").agg(F.sum("_yes").alias("expanded"), F.sum(1 - F.col("_yes")).alias("skipped"))
 
 
 def split_points(ranges: DataFrame) -> DataFrame:
@@ -68,8 +68,8 @@ def _ranked(clips: DataFrame, points: DataFrame) -> DataFrame:
 
     rows = of(clips, "end_frame", CLIP_END).unionByName(of(points, "frame", CUT)).unionByName(of(clips, "start_frame", CLIP_START)).distinct()
     rows = rows.withColumn("_bin", floor_div(F.col("frame"), FRAMES_PER_BIN)).withColumn("_cut", F.when(F.col("_kind") == CUT, F.col("frame")))
-    bins = cut(rows.groupBy("game_id", "_bin").agg(F.count("_cut").alias("_cuts"), F.min("_cut").alias("_first")))
-    most = bins.count()
+    bins, seen = measured(rows.groupBy("game_id", "_bin").agg(F.count("_cut").alias("_cuts"), F.min("_cut").alias("_first")), n=F.count(F.lit(1)))
+    most = seen["n"]
     folded = _over_bins(_over_bins(bins, "_cuts", "sum", "_before", False, most), "_first", "last", "_behind", True, most)
     rank = F.col("_before") + F.count("_cut").over(_in_bin())
     ahead = F.last("_cut", ignorenulls=True).over(_in_bin(backwards=True))
@@ -111,8 +111,8 @@ def assign_angles(clips: DataFrame, ranges: DataFrame) -> DataFrame:
     ends = ranges.groupBy("game_id", F.col("end_frame").alias("frame")).agg(least.alias("_range")).withColumn("_kind", F.lit(RANGE_END))
     middles = clips.select("game_id", F.col("_middle").alias("frame")).distinct().withColumn("_kind", F.lit(MIDDLE))
     rows = ends.unionByName(middles, allowMissingColumns=True).withColumn("_bin", floor_div(F.col("frame"), FRAMES_PER_BIN))
-    bins = cut(rows.groupBy("game_id", "_bin").agg(F.min("_range").alias("_least")))
-    behind = _over_bins(bins, "_least", "min", "_behind", True, bins.count()).drop("_least")
+    bins, seen = measured(rows.groupBy("game_id", "_bin").agg(F.min("_range").alias("_least")), n=F.count(F.lit(1)))
+    behind = _over_bins(bins, "_least", "min", "_behind", True, seen["n"]).drop("_least")
     first = F.least(F.min("_range").over(_in_bin(backwards=True)), F.col("_behind"))
     found = (rows.join(behind, ["game_id", "_bin"]).select("game_id", "frame", "_kind", first.alias("_range"))
              .filter((F.col("_kind") == MIDDLE) & (F.col("_range.start_frame") <= F.col("frame"))).select("game_id", F.col("frame").alias("_middle"), "_range"))

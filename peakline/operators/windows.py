@@ -9,7 +9,7 @@ from peakline.config import DetectConfig
 from peakline.functions.color import color_class, color_rank
 from peakline.operators import limits
 from peakline.operators.chunks import SERIES, bucket_prefix, largest_group, number_rows
-from peakline.operators.cut import cut
+from peakline.operators.cut import cut, measured
 from peakline.operators.peaks import suppress, suppress_by_distance
 
 BUCKET_S = 3600.0
@@ -78,8 +78,8 @@ def merge_intervals(intervals: DataFrame, gap_s: float, keys: tuple[str, ...] =
     of the largest game.
     """
     keys = list(keys)
-    rows = cut(intervals.select(*keys, "start_s", "end_s"))
-    one_window = largest_group(rows, keys) <= limits.SMALL_GROUP
+    rows, seen = measured(intervals.select(*keys, "start_s", "end_s"), n=F.count(F.lit(1)))
+    one_window = seen["n"] <= limits.SMALL_GROUP or largest_group(rows, keys) <= limits.SMALL_GROUP
     merged = _islands(rows, keys, gap_s) if one_window else cut(_islands_by_hour(rows, keys, gap_s))
     if one_window:
         number = F.row_number().over(Window.partitionBy(*keys).orderBy("start_s")).cast("long")

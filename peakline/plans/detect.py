@@ -17,8 +17,8 @@ from peakline.operators import scoring as S
 from peakline.operators import timeline as TL
 from peakline.operators import windows as WN
 from peakline.operators.chunks import CHUNK, SERIES, attach_by_chunk, group_sizes
-from peakline.operators.cut import cut
-from peakline.operators.peaks import tops_of
+from peakline.operators.cut import cut, measured
+from peakline.operators.peaks import open_tops, tops_of
 from peakline.operators.percentiles import exact_percentiles, percentile_name
 from peakline.operators.signals import attack_profile, segment_of
 
@@ -29,13 +29,15 @@ MIN_SAMPLES = 10
 class Attack:
     """The per-sample profile, its local maxima and the scalars of each series (n, level, p99).
 
-    `level` is the threshold of the whole series (version 1) or its floor (version 2).
+    `level` is the threshold of the whole series (version 1) or its floor (version 2); `far` counts the tops whose middle lies in another
+    segment than their end.
     """
 
     samples: DataFrame
     tops: DataFrame
     scalars: DataFrame
     series: int
+    far: int
 
 
 @dataclass(frozen=True)
@@ -53,14 +55,19 @@ class Detection:
 
 def prepare(signals: DataFrame, cfg: DetectConfig, version: int) -> Attack:
     longest, series = group_sizes(signals, SERIES)
-    samples = cut(attack_profile(signals, cfg, fused=version == 2, longest=longest, series=series))
+    samples, seen = measured(attack_profile(signals, cfg, fused=version == 2, longest=longest, series=series), open_tops=open_tops())
     pct = cfg.floor_pct if version == 2 else cfg.thresh_pct
     scalars = exact_percentiles(samples.select(*SERIES, CHUNK, "smooth"), {"smooth": [pct, 99.0]}, longest=longest)
     scalars = scalars.select(*SERIES, "last_chunk", F.col("smooth_n").alias("series_n"),
                              F.col(percentile_name("smooth", pct)).alias("level"),
                              F.col(percentile_name("smooth", 99.0)).alias("p99"))
-    tops = cut(tops_of(samples, "smooth", ("segment_level",), longest // cfg.segment_samples + 1))
-    return Attack(samples, tops, scalars, series)
+    tops, found = measured(tops_of(samples, seen["open_tops"], "smooth", ("segment_level",), longest // cfg.segment_samples + 1),
+                           far=F.count_if(_elsewhere(cfg)))
+    return Attack(samples, tops, scalars, series, found["far"])
+
+
+def _elsewhere(cfg: DetectConfig):
+    return segment_of(F.col("idx"), cfg) != F.col(CHUNK)
 
 
 def peak_candidates(attack: Attack, cfg: DetectConfig, version: int) -> DataFrame:
@@ -71,10 +78,10 @@ def peak_candidates(attack: Attack, cfg: DetectConfig, version: int) -> DataFram
     """
     tops = attack.tops
     if version == 2:
-        elsewhere = segment_of(F.col("idx"), cfg) != F.col(CHUNK)
+        elsewhere = _elsewhere(cfg)
         own = tops.filter(~elsewhere & (F.col("value") >= F.col("segment_level"))).drop("segment_level")
-        far = tops.filter(elsewhere).drop("segment_level")
-        if not far.isEmpty():
+        if attack.far:
+            far = tops.filter(elsewhere).drop("segment_level")
             levels = attack.samples.groupBy(*SERIES, CHUNK).agg(F.max("segment_level").alias("segment_level"))
             far = (far.withColumn(CHUNK, segment_of(F.col("idx"), cfg)).join(levels, [*SERIES, CHUNK])
                    .filter(F.col("value") >= F.col("segment_level")).drop("segment_level"))

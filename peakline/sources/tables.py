@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakline.functions.text import fixed, strip
+from peakline.sources.records import fields, quoted_records
 
 MARKER_HEADER = ["Frame", "Name", "Note", "Color", "Duration"]
+#: Bits of a row's place in its file; files are smaller than 2^40 bytes.
+FILE_BITS = 40
 EVENT_HEADER = ["start_s", "end_s", "score", "primary_cam", "confidence"]
 
 
@@ -15,23 +18,24 @@ def read_markers(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Raw marker rows (game_id, seq, Frame, Name, Note, Color, Duration), all text, trimmed.
 
     Games are `game_id=...` folders. `seq` follows the row order of a game: its files by path, then the
-    rows of each. Quoted fields may hold line breaks, so a file is read by one task; the writer
-    splits a large game into several.
+    rows of each. Quoted fields may hold line breaks; a file of any size is still read by many tasks.
     """
-    table = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, enforceSchema=False)
-    names = {c.strip(): c for c in table.columns}
-    missing = [c for c in MARKER_HEADER if c not in names]
+    # Only for its columns: one record is read. All files must have its header.
+    table = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True)
+    games = "game_id" in table.columns
+    header = [c.strip() for c in table.columns if c != "game_id" or not games]
+    missing = [c for c in MARKER_HEADER if c not in header]
     if missing:
-        raise ValueError(f"marker table lacks columns {missing}; found {sorted(names)}")
-    game = F.col("game_id") if "game_id" in table.columns else F.lit(0)
-    texts = [strip(F.coalesce(F.col(f"`{names[c]}`"), F.lit(""))).alias(c) for c in MARKER_HEADER]
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = table.select(game.alias("game_id"), F.col("_metadata.file_path").alias("_file"), row.alias("_row"), *texts)
+        raise ValueError(f"marker table lacks columns {missing}; found {sorted(header)}")
+    rows = fields(quoted_records(spark, path, sep), len(header), sep, names=header)
     # One row per file; the window numbers the files of a game.
-    number = F.row_number().over(Window.partitionBy("game_id").orderBy("_file")).cast("long")
-    files = rows.select("game_id", "_file").distinct().withColumn("_no", number)
-    return (rows.join(files.drop("game_id"), "_file")
-            .select("game_id", (F.shiftleft(F.col("_no") - 1, 33) + F.col("_row")).alias("seq"), *MARKER_HEADER)
+    folder = F.regexp_extract(F.url_decode("file"), r"/game_id=([^/]*)/", 1)
+    game = folder.cast(table.schema["game_id"].dataType) if games else F.lit(0)
+    number = F.row_number().over(Window.partitionBy("game_id").orderBy("file")).cast("long")
+    files = rows.select("file").distinct().withColumn("game_id", game).withColumn("_no", number)
+    texts = [strip(F.coalesce(F.col("fields")[header.index(c)], F.lit(""))).alias(c) for c in MARKER_HEADER]
+    return (rows.join(files, "file")
+            .select("game_id", (F.shiftleft(F.col("_no") - 1, FILE_BITS) + F.col("pos")).alias("seq"), *texts)
             .filter(F.col("Frame").rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")))
 
 
