@@ -28,7 +28,7 @@ from peakline.operators.chunks import CHUNK, SERIES, attach_by_chunk, floor_div,
 from peakline.operators.cut import checkpoint_folder, cut
 from peakline.operators.peaks import local_maxima, peaks_above, suppress_by_distance
 from peakline.plans import detect as D
-from peakline.plans.batch import run_game_batch
+from peakline.plans.batch import HEADERS, run_game_batch
 from peakline.plans.extract import extract_frame_signals
 from peakline.plans.extract import extract_signals as extract
 from peakline.sources import rois as R
@@ -97,9 +97,9 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _position(df: DataFrame) -> DataFrame:
+def _position(df: DataFrame, *more: str) -> DataFrame:
     """Row number within the game in the order of `seq`."""
-    return number_rows(df, ["game_id"], [("_block", floor_div(F.col("seq"), 65536))], ["seq"], "pos")
+    return number_rows(df, ["game_id", *more], [("_block", floor_div(F.col("seq"), 65536))], ["seq"], "pos")
 
 
 # Sources and sinks -------------------------------------------------------------------------------
@@ -554,11 +554,11 @@ def markers_v2(spark, sf_dir):
     return D.markers_v2(X.signals(spark, sf_dir), CFG)
 
 
-def _written_lines(spark, path: str) -> DataFrame:
+def _written_lines(spark, path: str, *folders: str) -> DataFrame:
     """(game_id, seq, line) of text files, in the order of the part numbers and of the lines in them."""
     part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return spark.read.text(path).select("game_id", (F.shiftleft(part, 36) + F.col("_metadata.file_block_start") + row).alias("seq"), F.col("value").alias("line"))
+    return spark.read.text(path).select("game_id", *folders, (F.shiftleft(part, 36) + F.col("_metadata.file_block_start") + row).alias("seq"), F.col("value").alias("line"))
 
 
 @query("game_id:i kind:s pos:i line:s")
@@ -567,17 +567,10 @@ def run_game_batch_query(spark, sf_dir):
     quiet = spark.range(200).select(F.lit(-1).alias("game_id"), (F.col("id") % 2 + 1).cast("int").alias("cam"), F.floor(F.col("id") / 2).alias("idx"),
                                     *[F.lit(0.0).alias(c) for c in ("net", "slot", "audio")])
     paths = run_game_batch(spark, X.signals(spark, sf_dir).unionByName(quiet), _scratch(spark, "batch"), CFG)
-    headers = {"events": ",".join(TB.EVENT_HEADER), "markers": ",".join(TB.MARKER_HEADER)}
-    rows = None
-    for kind, path in paths.items():
-        lines = _written_lines(spark, path)
-        header = F.col("line") == headers.get(kind)
-        body = _position(lines.filter(~header) if kind in headers else lines).select("game_id", "pos", "line")
-        if kind in headers:
-            body = body.unionByName(lines.filter(header).select("game_id", F.lit(0).cast("long").alias("pos"), "line").distinct())
-        body = body.withColumn("kind", F.lit(kind))
-        rows = body if rows is None else rows.unionByName(body)
-    return rows
+    lines = cut(_written_lines(spark, paths["events"].rpartition("/")[0], "kind"))
+    header = F.coalesce(*[F.when(F.col("kind") == kind, F.col("line") == text) for kind, text in HEADERS.items()], F.lit(False))
+    body = _position(lines.filter(~header), "kind").select("game_id", "kind", "pos", "line")
+    return body.unionByName(lines.filter(header).select("game_id", "kind", F.lit(0).cast("long").alias("pos"), "line").distinct())
 
 
 @query("game_id:i clip_id:i start_frame:i end_frame:i angle:i")

@@ -10,6 +10,7 @@ from peakline.operators import limits
 from peakline.operators.chunks import CHUNK, HOME, SERIES, explode_range, floor_div, with_halo
 from peakline.operators.cut import cut
 from peakline.operators.kernels import frame_diff_energy
+from peakline.operators.workers import shipped
 
 FRAMES_PER_CHUNK = 64
 
@@ -87,6 +88,7 @@ def framediff_energy(frames: DataFrame, rois: DataFrame, frames_per_chunk: int =
     rects = runs.join(_rects_per_camera(rois), SERIES)
     pairs = _with_rects(prev_frame_pairs(frames, frames_per_chunk), rects, [*SERIES, CHUNK])
     if isinstance(frames.schema["pixels"].dataType, T.BinaryType):
+        shipped(frames.sparkSession)
         diff_energy = F.pandas_udf(frame_diff_energy, "net double, slot double, full double")
         energy = diff_energy("pixels", "prev_pixels", "width", "height", "net_rect", "slot_rect")
         return pairs.withColumn("_e", energy).select(*SERIES, "idx", "_e.*")

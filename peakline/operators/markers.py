@@ -14,6 +14,7 @@ from peakline.functions.color import color_class, color_rank
 from peakline.functions.text import MOST_FRAMES, fixed, marker_label, parse_win_seconds, seconds_to_frames, strip, tag_note, xml_escape
 from peakline.functions.timecode import frames_to_tc, rational_time, sec_to_frame, tc_to_frames
 from peakline.operators.chunks import floor_div, number_rows
+from peakline.operators.cut import cut
 
 MARKER_COLUMNS = ["game_id", "seq", "frame", "name", "note", "color", "duration"]
 
@@ -93,12 +94,20 @@ def _clean(raw: DataFrame, *more: Column) -> DataFrame:
 
 def normalize_markers(raw: DataFrame, fps: int) -> DataFrame:
     """Typed markers: the Duration column counts, the note's `win=` only where it is not a number."""
+    return _typed(_clean(raw, _duration()), fps)
+
+
+def _duration() -> Column:
+    return numeric(F.col("Duration")).alias("_duration")
+
+
+def _typed(clean: DataFrame, fps: int, *more: Column) -> DataFrame:
     one = F.lit(1).cast("long")
     length = F.coalesce(whole(F.col("_duration")), seconds_to_frames(F.col("_win"), fps), one)
-    return _clean(raw, numeric(F.col("Duration")).alias("_duration")).select(
+    return clean.select(
         "game_id", "seq", F.col("_frame").alias("frame"), F.col("_name").alias("name"), F.col("_note").alias("note"),
         F.when(F.col("_color") == "", F.lit("Blue")).otherwise(F.col("_color")).alias("color"),
-        F.greatest(one, length).alias("duration"))
+        F.greatest(one, length).alias("duration"), *more)
 
 
 def number_by_frame(df: DataFrame, frame: str, name: str) -> DataFrame:
@@ -111,14 +120,24 @@ def number_by_frame(df: DataFrame, frame: str, name: str) -> DataFrame:
 
 def to_edl_events(raw: DataFrame, fps: int) -> DataFrame:
     """Cut-list events: length from the note's `win=` alone, one frame for replays and rows without it."""
+    return (number_by_frame(_events(_clean(raw), fps), "in_frame", "event_no")
+            .select("game_id", "event_no", "in_frame", "out_frame", "label"))
+
+
+def _events(clean: DataFrame, fps: int, *more: Column) -> DataFrame:
     frames = seconds_to_frames(F.col("_win"), fps)
     point = (F.upper(F.col("_name")) == "REPLAY") | frames.isNull()
     length = F.when(point, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), frames))
-    events = _clean(raw).select(
+    return clean.select(
         "game_id", "seq", F.col("_frame").alias("in_frame"), (F.col("_frame") + length).alias("out_frame"),
-        marker_label(F.col("_color"), F.col("_name"), F.col("_note")).alias("label"))
-    return (number_by_frame(events, "in_frame", "event_no")
-            .select("game_id", "event_no", "in_frame", "out_frame", "label"))
+        marker_label(F.col("_color"), F.col("_name"), F.col("_note")).alias("label"), *more)
+
+
+def documents(raw: DataFrame, fps: int, project: str, games: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of FCPXML and cut list of raw marker rows, which are parsed and numbered once for both."""
+    clean = cut(number_by_frame(_clean(raw, _duration()), "_frame", "_no"))
+    number = F.col("_no")
+    return fcpxml_lines(_typed(clean, fps, number), fps, project), edl_lines(_events(clean, fps, number.alias("event_no")), fps, games=games)
 
 
 # Interchange lines -------------------------------------------------------------------------------
@@ -146,7 +165,7 @@ def edl_lines(events: DataFrame, fps: int, tc_start: str = EDL_START, games: Dat
 
 
 def fcpxml_lines(markers: DataFrame, fps: int, project: str = XML_PROJECT) -> DataFrame:
-    """(game_id, line_no, line) of one FCPXML 1.4 document per game; five seconds of tail."""
+    """(game_id, line_no, line) of one FCPXML 1.4 document per game; five seconds of tail. Markers may bring their number, `_no`."""
     total = markers.groupBy("game_id").agg(F.max("frame").alias("last"), F.count(F.lit(1)).alias("n"))
     length = rational_time(F.col("last") + F.lit(XML_TAIL_S * fps), fps)
     # The document frame.
@@ -172,7 +191,7 @@ def fcpxml_lines(markers: DataFrame, fps: int, project: str = XML_PROJECT) -> Da
         F.lit('              <marker start="'), rational_time(F.col("frame"), fps),
         F.lit('" duration="'), rational_time(F.col("duration"), fps),
         F.lit('" value="'), xml_escape(F.col("name")), F.lit('" note="'), xml_escape(tagged), F.lit('"/>'))
-    body = number_by_frame(markers, "frame", "_no")
+    body = markers if "_no" in markers.columns else number_by_frame(markers, "frame", "_no")
     return (_lines(total, F.lit(1), head)
             .unionByName(_lines(body, F.lit(len(head)) + F.col("_no"), [marker]))
             .unionByName(_lines(total, F.lit(len(head) + 1) + F.col("n"), foot)))

@@ -11,6 +11,7 @@ from peakline.operators.chunks import (
     CHUNK, DEFAULT_CHUNK, HOME, SERIES, bucket_prefix, chunk_window, floor_div, with_halo)
 from peakline.operators.cut import measured
 from peakline.operators.kernels import DROPPED, KEPT, WAITING, group_numbers, resolve, whole_groups
+from peakline.operators.workers import shipped
 
 
 # Marks on `top`: not a maximum, a maximum, and the end of a flat top that began in an earlier chunk.
@@ -108,6 +109,7 @@ def _suppression_pass(candidates: DataFrame, keys: Sequence[str], pos: str, grou
                                     first - halo, first + span + halo, known)
             yield pdf.loc[pdf[HOME] & (pdf["_state"] != DROPPED), names]
 
+    shipped(rows.sparkSession)
     return rows.repartition(*parts).sortWithinPartitions(*runs, pos).mapInPandas(solve, schema=candidates.schema)
 
 

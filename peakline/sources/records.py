@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from peakline.operators import limits
 from peakline.operators.cut import measured
+from peakline.operators.workers import shipped
 
 _WHOLE, _HEAD, _TAIL = 0, 1, 2  # a record; the end of one that began before the block; the start of one that goes on behind it
 
@@ -102,6 +103,7 @@ def quoted_records(spark: SparkSession, path: str, sep: str = ",", quote: str =
     `pos` grows with the order of the records in their file and is 0 for the first one. Line breaks are those of a line feed, with or without a
     carriage return before it. A field that is still open where its file ends closes there.
     """
+    shipped(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), "value", F.monotonically_increasing_id().alias("_line"))
     quoted = lines.select("_file", "_block", "value").filter(F.contains("value", F.lit(quote)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakline.functions.text import fixed, strip
@@ -57,15 +57,24 @@ def write_markers(markers: DataFrame, path: str) -> None:
 
 def write_events(scored: DataFrame, path: str) -> None:
     """CSV of all scored windows, best first within a game."""
-    rows = scored.select("game_id", fixed(F.col("start_s"), 3).alias("start_s"), fixed(F.col("end_s"), 3).alias("end_s"),
-                         fixed(F.col("score"), 4).alias("score"), "primary_cam", fixed(F.col("conf"), 4).alias("confidence"),
-                         (-F.col("score")).alias("_best"), F.col("start_s").alias("_start"))
+    rows = scored.select("game_id", *_event_fields(), (-F.col("score")).alias("_best"), F.col("start_s").alias("_start"))
     _write_ordered(rows, ["_best", "_start"], ["_best", "_start"], "csv", path, header=True)
 
 
-def write_headers(games: DataFrame, header: str, path: str) -> None:
-    """Adds a file of one header line for each of `games`, which have no rows of their own."""
-    (games.select("game_id", F.lit(header).alias("value")).write.mode("append").partitionBy("game_id").text(path))
+def _event_fields() -> list[Column]:
+    return [fixed(F.col("start_s"), 3).alias("start_s"), fixed(F.col("end_s"), 3).alias("end_s"),
+            fixed(F.col("score"), 4).alias("score"), F.col("primary_cam"), fixed(F.col("conf"), 4).alias("confidence")]
+
+
+def event_lines(scored: DataFrame) -> DataFrame:
+    """(game_id, major, minor, line) of the event table, in the order of `write_events`."""
+    return scored.select("game_id", (-F.col("score")).alias("major"), F.col("start_s").alias("minor"), F.to_csv(F.struct(*_event_fields())).alias("line"))
+
+
+def marker_lines(markers: DataFrame) -> DataFrame:
+    """(game_id, major, minor, line) of the marker table, in the order of `write_markers`."""
+    row = F.to_csv(F.struct("frame", "name", "note", "color", "duration"), {"quote": '"', "escape": '"', "emptyValue": ""})
+    return markers.select("game_id", F.col("seq").cast("double").alias("major"), F.lit(0.0).alias("minor"), row.alias("line"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
