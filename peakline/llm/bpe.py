@@ -2,7 +2,7 @@
 
 The tokenizer's pattern never lets a token cross from a character that is no white space to white space, so a
 text may be cut there and its parts encoded alone. Words repeat a lot: the ids of a word are remembered per worker up
-to a fixed number of words; the rest are encoded again when they come.
+to a number of bytes; the rest, and words of more than KEPT_CHARS characters, are encoded again when they come.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words remembered by one worker process.
-WORDS_KEPT = 700_000
+#: Bytes of words and ids remembered by one worker process, what an entry costs besides its characters and ids, and the longest word remembered.
+KEPT_BYTES, ENTRY_BYTES, KEPT_CHARS = 100_000_000, 200, 64
 #: ASCII characters that the pattern puts into tokens of their own after a letter. Fixed by the pattern; the apostrophe is not among them.
 MARKS = "#*$%&|<>!.,;:?()[]{}\"-+=/\\@^_~`"
 _PLAIN = re.compile(rf"(\n?[^\W\d_]+)([{re.escape(MARKS)}]*)")
@@ -48,10 +48,25 @@ def pieces(text: str) -> list[str]:
 
 
 class Known(dict):
-    """Ids by key; a key that is not there gives None and is noted."""
+    """Ids by key; a key that is not there gives None and is noted. Holds at most `room` bytes."""
 
     missed: list[str] = []
 
+    def __init__(self, room: int):
+        super().__init__()
+        self.room = room
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        """Remembers what there is room for. Characters count as one byte; wider ones are made up for by ENTRY_BYTES on the average word."""
+        if self.room <= 0:
+            return
+        for key, ids in found.items():
+            if len(key) <= KEPT_CHARS:
+                self.room -= ENTRY_BYTES + len(key) + len(ids)
+                if self.room <= 0:
+                    return
+                self[key] = ids
+
     def __missing__(self, key: str) -> None:
         self.missed.append(key)
 
@@ -61,7 +76,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Known()
+        self.known = Known(KEPT_BYTES)
         self.tails: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.opens = {" ": np.zeros(size, dtype=bool), "\n": np.zeros(size, dtype=bool)}
@@ -107,11 +122,7 @@ class Encoder:
             if tail not in tails:
                 tails[tail] = self.whole(tail)
             found[key] = (found.get(core) or known[core]) + tails[tail]
-        room = WORDS_KEPT - len(known)
-        if room >= len(found):
-            known.update(found)
-        elif room > 0:
-            known.update((key, found[key]) for key in list(found)[:room])
+        known.keep(found)
         if len(tails) > 10_000:
             tails.clear()
         return found

@@ -54,7 +54,7 @@ def set_hash(values: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
-    """(doc_id, node, size, signature, prefixes): the shingle set's hash and size, a byte of every MinHash value, and the hash of
+    """(doc_id, row, node, size, signature, prefixes): the shingle set's hash and size, a byte of every MinHash value, and the hash of
     the matched prefix in every tree. Texts without words are left out."""
     n, prefix = forest.trees * forest.depth, forest.prefix()
     salts = np.random.default_rng(7).integers(0, 2**64, (2, n), dtype=np.uint64)
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
                 have = shingles(text, forest.width)
                 if not len(have):
                     continue
@@ -74,13 +74,13 @@ def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
                 hashed = np.arange(forest.trees, dtype=np.uint64)
                 for d in range(prefix):
                     hashed = mixed(hashed * np.uint64(0x9E3779B97F4A7C15) ^ label[:, d])
-                rows.append((doc, set_hash(have), len(have), label.ravel().astype(np.uint8).tobytes(), hashed.view(np.int64).tolist()))
+                rows.append((doc, row, set_hash(have), len(have), label.ravel().astype(np.uint8).tobytes(), hashed.view(np.int64).tolist()))
             if rows:
                 columns = list(zip(*rows, strict=True))
-                types = [pa.int64()] * 2 + [pa.int32(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "node", "size", "signature", "prefixes"])
+                types = [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "row", "node", "size", "signature", "prefixes"])
 
-    return docs.transform(in_arrow, run, "doc_id long, node long, size int, signature binary, prefixes array<long>")
+    return docs.transform(in_arrow, run, "doc_id long, row long, node long, size int, signature binary, prefixes array<long>")
 
 
 def _alike(batches: Iterator[pa.RecordBatch], doubt: float) -> Iterator[pa.RecordBatch]:
@@ -161,33 +161,43 @@ def join(docs: DataFrame, forest: Forest = Forest(), *, id_col: str = "doc_id",
 
     Returns one row per row: doc_id, class_id (the smallest id of its class), n_links (other documents whose shingle set is similar
     enough, equal ones included) and n_text_links (other shingle sets among them). Shingles are windows of `width` words; a text of fewer words
-    has one shingle of all of them; a null text or one without words has none, no links and a class of its own. A row without an id counts as a copy
-    of equal texts; without any such it has no class. Ids are meant to be unique; equal ids are distinct documents of one class.
+    has one shingle of all of them; a null text or one without words has none, no links and a class of its own. Rows without an id are compared like all others; a
+    class of such rows alone has no class_id. Ids are meant to be unique; different texts of one id are told apart by their texts.
     Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    narrow = _rows(docs, id_col, text_col)
+    linked = _classified(narrow, forest).select("doc_id", "class_id", "n_links", "n_text_links")
+    none = F.lit(0).cast("long")
+    empty = narrow.filter(~F.col("text").rlike(WORD)).select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_text_links"))
+    return linked.unionByName(empty)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, row): a row is known by its id and text."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    return narrow.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def _classified(narrow: DataFrame, forest: Forest) -> DataFrame:
+    """(doc_id, row, label, class_id, n_links, n_text_links) of every row with words; rows of one class have one label."""
     signed = stored(signatures(narrow, forest))
-    same = stored(signed.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("prefixes").alias("prefixes")))
+    same = stored(signed.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("prefixes").alias("prefixes")))
     checked = stored(verified(narrow, candidates(same, forest), same, forest))
     counts = checked.filter("link IS NULL").groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     classes = stored(components(checked.filter("link IS NOT NULL").select(F.col("node").alias("a"), F.col("link").alias("b"))))
     # A class is known by the smallest id of its documents.
     named = classes.join(same.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("class_id"))
     facts = (same.select("node", "doc", "copies").join(counts, "node", "left").join(classes, "node", "left").join(named, "label", "left")
-             .select("node", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    linked = signed.select("doc_id", "node").join(facts, "node").select("doc_id", "class_id", "n_links", "n_text_links")
-    none = F.lit(0).cast("long")
-    empty = narrow.filter(~F.col("text").rlike(WORD)).select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_text_links"))
-    return linked.unionByName(empty)
+             .select("node", F.coalesce("label", "node").alias("label"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    return signed.select("doc_id", "row", "node").join(facts, "node").drop("node")
 
 
 def candidates(classes: DataFrame, forest: Forest) -> DataFrame:
     """(node, label): components of classes that meet in a trie node and whose signatures may reach the threshold."""
-    known = classes.filter("doc IS NOT NULL")
-    places = known.select("node", F.explode("prefixes").alias("key"))
+    places = classes.select("node", F.explode("prefixes").alias("key"))
     shared = places.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
     met = stored(places.join(shared, "key"))
-    small = met.filter(F.col("n") <= forest.group).select("key", "node").join(known.select("node", "signature"), "node")
+    small = met.filter(F.col("n") <= forest.group).select("key", "node").join(classes.select("node", "signature"), "node")
     doubt = forest.doubt()
     near = small.repartition("key").sortWithinPartitions("key").transform(in_arrow, lambda batches: _alike(batches, doubt), "a long, b long")
     star = met.filter((F.col("n") > forest.group) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b"))
@@ -204,16 +214,16 @@ def verified(docs: DataFrame, found: DataFrame, classes: DataFrame, forest: Fore
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [shingles(text, forest.width) for text in batch.column("text").to_pylist()]
-            # Another text may bear the id of the class's first document.
+            # Another text may share the hash of the class's row.
             right = pa.array([set_hash(v) == n for v, n in zip(values, batch.column("node").to_pylist(), strict=True)], pa.bool_())
             table = [*(batch.column(c) for c in ("node", "label", "copies", "blocks")), pa.array([v.view(np.int64) for v in values], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(table, names=["node", "label", "copies", "blocks", "shingles"]).filter(right)
 
-    sized = found.join(classes.select("node", "doc", "size", "copies"), "node")
+    sized = found.join(classes.select("node", "row", "size", "copies"), "node")
     blocks = sized.groupBy("label").agg(F.ceil(F.sum("size") / forest.block).cast("int").alias("blocks"))
-    listed = stored(sized.join(blocks, "label").select("node", "doc", "label", "copies", "blocks"))
+    listed = stored(sized.join(blocks, "label").select("node", "row", "label", "copies", "blocks"))
     # The list grows with the corpus, so texts and list always meet by a shuffle, in the same way at every size.
-    texts = docs.join(listed.hint("merge"), docs["doc_id"] == listed["doc"]).select("node", "label", "copies", "blocks", "text")
+    texts = docs.join(listed.hint("merge"), "row").select("node", "label", "copies", "blocks", "text")
     with_sets = texts.transform(in_arrow, sets, "node long, label long, copies long, blocks int, shingles array<long>")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, F.col("block")).alias("one"), F.greatest(other, F.col("block")).alias("two")))
@@ -223,11 +233,22 @@ def verified(docs: DataFrame, found: DataFrame, classes: DataFrame, forest: Fore
     return spread.transform(in_arrow, lambda batches: _verified(batches, threshold), "node long, link long, texts long, docs long")
 
 
+#: A column that no table has.
+_ROW = "_peakline_row"
+
+
 def keep_one(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """One document of every class, the one with the smallest id; documents of no class stay. Columns as in `docs`. Of repeated
-    rows of one id one stays."""
-    firsts = join(docs, forest).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(firsts.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """One document of every class, the one with the smallest id; documents without words stay. Columns as in `docs`.
+
+    Rows are known by id and text, so of different texts under one id each is judged by itself, and rows without an id take part like others
+    (one stays of a class that has no other). Of rows equal in both one stays.
+    """
+    narrow = _rows(docs, "doc_id", "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    chosen = _classified(narrow, forest).groupBy("label").agg(first).select("first.row")
+    kept = chosen.unionByName(narrow.filter(~F.col("text").rlike(WORD)).select("row")).distinct().withColumnRenamed("row", _ROW)
+    return (docs.withColumn(_ROW, F.xxhash64(F.col("doc_id").cast("long"), whole_text())).join(kept.hint("merge"), _ROW, "left_semi")
+            .dropDuplicates([_ROW, "doc_id"]).drop(_ROW))
 
 
 def sql(forest: Forest = Forest(), source: str = "documents") -> str:

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from peakline.llm.bpe import encoder
 from peakline.llm.common import TASK_BYTES, in_arrow, whole_text
 
-#: Rounds of replacement, the count a pair needs in the last round, and how many rules a round may add.
-ROUNDS, LEAST_COUNT, RULES_PER_ROUND = 6, 16, 4096
+#: The count below which a pair is left (a rule costs two symbols, so rarer pairs save next to nothing), and about how many rules a round adds.
+LEAST_COUNT, RULES_PER_ROUND = 4, 16384
 #: Pairs are counted in 2 ** CELL_BITS cells.
 CELL_BITS = 20
 #: Shards whose offsets (two numbers each) may be broadcast; with more, the join shuffles.
@@ -30,51 +30,42 @@ BROADCAST_SHARDS = 500_000
 SHARD_SCHEMA = "shard long, base long, n_ids long, doc_ids array<long>, starts binary, rules binary, lengths binary, sequence binary"
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_COUNT, rules_per_round: int = RULES_PER_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, sequence) of a grammar for `ids`, all below `base`. Rules are rows (left, right) of earlier symbols.
+def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT, rules_per_round: int = RULES_PER_ROUND) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, sequence) of a grammar for `ids`, all below `base`. Rules are rows (left, right) of earlier symbols. Rounds
+    go on until no pair occurs `least` times; `rules_per_round` only orders the work, frequent pairs first.
 
-    Pairs are counted in hash cells; a busy cell stands for one pair of its own, and a pair that shares its cell with another waits for the next
-    round, which hashes differently. Where chosen pairs overlap, the more frequent one is replaced; of a run of equal pairs every
-    other one is.
+    Pairs are counted in hash cells; a busy cell stands for one pair of its own, whose exact count decides, and a pair that shares its cell with another waits for the next
+    round, which hashes differently. A round that finds none is followed by one that counts all pairs exactly. Where chosen pairs overlap,
+    the more frequent one is replaced; of a run of equal pairs every other one is.
     """
-    sequence, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
-    for round_ in range(rounds):
-        if len(sequence) < 2:
-            break
+    sequence, rules, round_, exactly = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], 0, False
+    while len(sequence) > 1:
         left, right = sequence[:-1], sequence[1:]
-        cell = (left * np.uint32(2654435761 + 8 * round_)) ^ (right * np.uint32(2246822519 + 8 * round_))  # wraps on purpose
-        cell >>= np.uint32(32 - CELL_BITS)
-        count = np.bincount(cell, minlength=1 << CELL_BITS)
-        floor = max(least, int(np.partition(count, -rules_per_round)[-rules_per_round]))
-        busy = np.flatnonzero(count >= floor)
-        if not len(busy):
-            break
-        index = np.full(1 << CELL_BITS, -1, np.int32)
-        index[busy] = np.arange(len(busy), dtype=np.int32)
-        which = index[cell]
-        at = np.flatnonzero(which >= 0)
-        which, a, b = which[at], left[at], right[at]
-        of = np.zeros((len(busy), 2), np.uint32)
-        of[which, 0] = a
-        of[which, 1] = b
-        same = (of[which, 0] == a) & (of[which, 1] == b)
-        at, which = at[same], which[same]
-        exact = np.bincount(which, minlength=len(busy))
-        rank = np.empty(len(busy), np.int64)
-        rank[np.argsort(-exact, kind="stable")] = np.arange(len(busy))
+        at, which, of = (_all_pairs if exactly else _pairs_of_cells)(left, right, least, rules_per_round, round_)
+        round_ += 1
+        exact = np.bincount(which, minlength=len(of))
+        chosen = exact >= least
+        at, which = at[chosen[which]], which[chosen[which]]
+        rank = np.empty(len(of), np.int64)
+        rank[np.argsort(-exact, kind="stable")] = np.arange(len(of))
         place = rank[which]
         near = np.diff(at) == 1
         tie = (place[:-1] == place[1:]) & near
-        odd = (at & 1).astype(bool)
-        lost = np.zeros(len(at), bool)
-        lost[1:] |= near & (place[1:] > place[:-1]) | (tie & odd[1:])
-        lost[:-1] |= near & (place[:-1] > place[1:]) | (tie & odd[:-1])
+        # Of a pair on end every other one gives way, counted from where that stretch begins.
+        here = np.arange(len(at))
+        odd = (here - np.maximum.accumulate(np.where(np.concatenate([[True], ~tie])[:len(at)], here, 0))) & 1 == 1
+        lost = odd.copy()
+        lost[1:] |= near & (place[1:] > place[:-1])
+        lost[:-1] |= near & (place[:-1] > place[1:])
         at, which = at[~lost], which[~lost]
-        used = np.bincount(which, minlength=len(busy)) >= 2
-        keep = used[which]
-        at, which = at[keep], which[keep]
+        used = np.bincount(which, minlength=len(of)) >= 2
+        at, which = at[used[which]], which[used[which]]
         if not len(at):
-            break
+            if exactly:
+                break
+            exactly = True
+            continue
+        exactly = len(at) * 500 < len(sequence)  # few left: cells would mostly hold rare pairs
         symbol = np.cumsum(used) - 1 + base + sum(map(len, rules))
         rules.append(of[used])
         sequence = sequence.copy()
@@ -85,6 +76,41 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
     return np.concatenate(rules), sequence
 
 
+def _cells(left: np.ndarray, right: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash cell of every pair, and the pairs in each cell."""
+    cell = (left * np.uint32(2654435761 + 8 * round_ & 0xFFFFFFFF)) ^ (right * np.uint32(2246822519 + 8 * round_ & 0xFFFFFFFF))  # wraps on purpose
+    cell >>= np.uint32(32 - CELL_BITS)
+    return cell, np.bincount(cell, minlength=1 << CELL_BITS)
+
+
+def _pairs_of_cells(left: np.ndarray, right: np.ndarray, least: int, most: int, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number of the pair there, pairs): of each of the about `most` fullest cells one pair."""
+    cell, count = _cells(left, right, round_)
+    busy = np.flatnonzero(count >= max(least, int(np.partition(count, -most)[-most])))
+    index = np.full(1 << CELL_BITS, -1, np.int32)
+    index[busy] = np.arange(len(busy), dtype=np.int32)
+    which = index[cell]
+    at = np.flatnonzero(which >= 0)
+    which, a, b = which[at], left[at], right[at]
+    of = np.zeros((len(busy), 2), np.uint32)
+    of[which, 0] = a
+    of[which, 1] = b
+    same = (of[which, 0] == a) & (of[which, 1] == b)
+    return at[same], which[same], of
+
+
+def _all_pairs(left: np.ndarray, right: np.ndarray, least: int, most: int, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `_pairs_of_cells`, with all pairs that occur `least` times: none of them is in an emptier cell."""
+    cell, count = _cells(left, right, round_)
+    at = np.flatnonzero((count >= least)[cell])
+    values, which, often = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True, return_counts=True)
+    keep = often >= least
+    number = np.cumsum(keep) - 1
+    at, which = at[keep[which]], number[which[keep[which]]]
+    values = values[keep]
+    return at, which, np.stack([values >> np.uint64(32), values & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Number of ids that each rule stands for. Rules refer only to earlier ones, which a pass by depth uses."""
     lengths = np.zeros(len(rules), np.int64)
@@ -184,12 +210,12 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             get = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
             base, before, docs = get("base"), get("before"), get("doc_ids")
             rules = np.frombuffer(get("rules"), "<u4").reshape(-1, 2)
-            lengths, sequence, starts = np.frombuffer(get("lengths"), "<u4").astype(np.int64), np.frombuffer(get("sequence"), "<u4"), np.frombuffer(get("starts"), "<u8").astype(np.int64)
-            # A whole shard is read in stretches of documents, each decoded on its own.
+            sequence, starts = np.frombuffer(get("sequence"), "<u4"), np.frombuffer(get("starts"), "<u8").astype(np.int64)
+            ids = expand(sequence, rules, base).astype("<u4", copy=False)
             for at in range(0, len(docs), 512):
                 to = min(at + 512, len(docs))
                 edges = starts[at:to + 1]
-                raw = decode_range(rules, lengths, sequence, base, int(edges[0]), int(edges[-1])).astype("<u4").tobytes()
+                raw = ids[int(edges[0]):int(edges[-1])].tobytes()
                 cut = ((edges - edges[0]) * 4).tolist()
                 parts = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs[at:to], pa.int64()), pa.array(edges[:-1] + before), pa.array(np.diff(edges)), pa.array(parts, pa.binary())],

@@ -28,8 +28,8 @@ from peakline.llm.common import in_arrow, whole_text
 MARK = "▁"
 #: What an uncovered character costs below the worst piece. Fixed by the library's unigram rule.
 UNKNOWN_PENALTY = 10.0
-#: Words remembered by one worker process.
-WORDS_KEPT = 700_000
+#: Bytes of words and ids remembered by one worker process, and texts encoded before their ids are handed over.
+KEPT_BYTES, SLICE = 40_000_000, 512
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -56,8 +56,10 @@ class Pieces:
                 self.automaton.add_word(name, (len(name), score, i))
         self.automaton.make_automaton()
         self.worst = worst - UNKNOWN_PENALTY
+        # A piece with a mark behind another character would cross the places where texts are cut: such models are encoded whole.
+        self.cuts = not any(MARK in name.lstrip(MARK) for i, name in enumerate(self.names) if i not in self.control)
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.known = Known()
+        self.known = Known(KEPT_BYTES)
 
     def best(self, word: str) -> list[int]:
         """The best-scoring pieces of a string in which spaces are marks: one pass, a table of the best score and last
@@ -93,6 +95,8 @@ class Pieces:
         """Little-endian uint32 ids. A mark is put in front of a text that is not empty, as the model's rules say."""
         if not text:
             return b""
+        if not self.cuts:
+            return np.array(self.best(MARK + text.replace(" ", MARK)), "<u4").tobytes()
         known, words = self.known, text.split(" ")
         if MARK in text or "" in words:  # marks in a row: cut where another character goes before
             words = [word if word[0] != MARK or word[1:2] == MARK or len(word) == 1 else word[1:] for word in _WORDS.findall(MARK + text.replace(" ", MARK))]
@@ -107,8 +111,7 @@ class Pieces:
                 if word not in found:
                     found[word] = np.array(self.best(word if word[0] == MARK else MARK + word), "<u4").tobytes()
                 ids[at] = found[word]
-            if len(known) < WORDS_KEPT:
-                known.update(found)
+            known.keep(found)
         return b"".join(ids)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -149,7 +152,7 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             ids = [coder.encode(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -162,7 +165,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             texts = [coder.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 

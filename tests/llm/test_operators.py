@@ -100,6 +100,36 @@ def test_jaccard_edges(make, texts):
     assert kept.columns == docs.columns and ids == [(False, i) for i in (1, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 15)] + [(True, None)]
 
 
+def test_jaccard_rows_without_ids_and_repeated_ids(make):
+    """Links of rows without an id are found; a unique text under a repeated id is not lost, a near copy under one is not kept."""
+    rng = random.Random(20)
+    prose = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(120))
+    a, b, c = prose(), prose(), prose()
+    rows = [(None, a), (None, a), (None, a + " more"), (1, b), (3, b + " tail"), (3, c), (4, ""), (4, None), (None, "")]
+    got = sorted(map(tuple, jaccard_join.join(make(rows)).collect()), key=str)
+    assert got == sorted([(None, None, 2, 1), (None, None, 2, 1), (None, None, 2, 1), (1, 1, 1, 1), (3, 1, 1, 1), (3, 3, 0, 0), (4, 4, 0, 0), (4, 4, 0, 0), (None, None, 0, 0)], key=str)
+    kept = jaccard_join.keep_one(make(rows)).collect()
+    assert sum(r["doc_id"] is None and bool(r["text"]) for r in kept) == 1 and {(r["doc_id"], r["text"]) for r in kept if r["doc_id"]} >= {(1, b), (3, c)}
+    assert not any(r["text"] == b + " tail" for r in kept) and set(kept[0].asDict()) == set(make([]).columns)
+
+
+def test_jaccard_recall_near_the_threshold(make):
+    """Planted pairs of similarity 0.80 to 0.85."""
+    rng = random.Random(21)
+    rows, pairs = [], 0
+    for k in range(150):
+        words = [f"v{rng.randint(0, 10**7)}" for _ in range(rng.choice([150, 300, 600]))]
+        other = list(words)
+        while len(brute.shingle_set(" ".join(words)) & brute.shingle_set(" ".join(other))) / len(brute.shingle_set(" ".join(words)) | brute.shingle_set(" ".join(other))) > 0.85:
+            other[rng.randrange(len(other))] = f"x{rng.randint(0, 10**7)}"
+        x, y = brute.shingle_set(" ".join(words)), brute.shingle_set(" ".join(other))
+        if len(x & y) >= 0.8 * len(x | y):
+            pairs += 1
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    found = jaccard_join.join(make(rows)).filter("n_links = 1").count() / 2
+    assert pairs >= 60 and found >= 0.9 * pairs
+
+
 def test_forest_recall():
     forest = jaccard_join.Forest()
     assert 1 - (1 - 0.8 ** forest.prefix()) ** forest.trees >= forest.recall and forest.prefix() < forest.depth
@@ -286,6 +316,22 @@ def test_repair_grammar():
     assert len(repair.compress(np.tile(np.arange(9, dtype=np.uint32), 500), 60000)[1]) < 300
 
 
+def test_repair_has_no_caps():
+    """A passage of 1,000 ids that comes back is one symbol, and no pair is left that occurs often enough."""
+    rng = np.random.default_rng(12)
+    passage = rng.permutation(1000).astype(np.uint32)
+    ids = np.concatenate([np.concatenate([passage, rng.integers(2000, 50000, 30).astype(np.uint32)]) for _ in range(6)])
+    rules, sequence = repair.compress(ids, 60000)
+    assert max(repair.expansion_lengths(rules, 60000)) >= 1000 and len(sequence) <= 6 * 31
+    many = rng.zipf(1.3, 40000).astype(np.uint32) % 5000
+    for least in (2, 4, 16):
+        rules, sequence = repair.compress(many, 60000, least=least, rules_per_round=64)
+        pairs = collections.Counter()
+        for a, b, before in zip(sequence, sequence[1:], [None, *sequence], strict=False):
+            pairs[a, b] += not a == b == before  # a stretch of one symbol counts every other pair
+        assert max(pairs.values()) < 2 * least and (repair.expand(sequence, rules, 60000) == many).all()
+
+
 def test_repair_files(spark, make, texts, tmp_path):
     pairs = sorted((x for x in texts if x[0] is not None), key=lambda x: x[0]) + [x for x in texts if x[0] is None]
     path = str(tmp_path / "ids")
