@@ -111,6 +111,11 @@ def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k * 11 % 900).cast("int").alias("w"), (k * 7 % 700 - 20).cast("int").alias("h"))
 
 
+def rois_with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rectangles; some bear another name, so their games lack one that is needed."""
+    return rois(spark, sf_dir).withColumn("roi", F.when(F.col("w") % 10 == 3, F.lit("bench")).otherwise(F.col("roi")))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 grey frames of two cameras."""
     pixel = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((e.cast("double") + 0.5) * 255))).cast("smallint")
@@ -154,6 +159,7 @@ def clips(markers: DataFrame) -> DataFrame:
 
 
 def merge_sides(markers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Source with repeats, and a destination that shares some markers with it."""
-    seq = F.col("seq")
-    return markers.filter(seq % 2 == 0).unionByName(markers.filter(seq % 10 == 0)), markers.filter(seq % 3 == 0)
+    """Source with repeats, of every second game, and a destination that shares some markers with it; every marker is on a side."""
+    seq, even = F.col("seq"), F.col("game_id") % 2 == 0
+    return (markers.filter(even & (seq % 2 == 0)).unionByName(markers.filter(even & (seq % 10 == 0))),
+            markers.filter((seq % 3 == 0) | (seq % 2 == 1) | ~even))

@@ -234,8 +234,8 @@ SELECT game_id, clip_id, edge AS start_frame, LEAD(edge) OVER (PARTITION BY game
   UNION SELECT c.game_id, c.clip_id, p.frame FROM fx_clips c JOIN cuts p ON p.game_id = c.game_id AND p.frame > c.start_frame AND p.frame < c.end_frame)
 QUALIFY end_frame IS NOT NULL"""
 CTES["merge_src"] = """
-SELECT * FROM fx_markers WHERE seq % 2 = 0 UNION ALL SELECT * FROM fx_markers WHERE seq % 10 = 0"""
-CTES["merge_dst"] = "SELECT * FROM fx_markers WHERE seq % 3 = 0"
+SELECT * FROM fx_markers WHERE game_id % 2 = 0 AND seq % 2 = 0 UNION ALL SELECT * FROM fx_markers WHERE game_id % 2 = 0 AND seq % 10 = 0"""
+CTES["merge_dst"] = "SELECT * FROM fx_markers WHERE seq % 3 = 0 OR seq % 2 = 1 OR game_id % 2 <> 0"
 CTES["merge_new"] = """
 SELECT DISTINCT game_id, frame, color, name, note, duration FROM merge_src
 EXCEPT SELECT game_id, frame, color, name, note, duration FROM merge_dst"""
@@ -339,13 +339,14 @@ _detector("4", "series4 s ON s.game_id = t.game_id AND s.cam = t.cam", "smoothed
 
 SELECTS: dict[str, str] = {
     # Sources and sinks
-    "read_rois": "SELECT * FROM fx_rois WHERE game_id IN (SELECT game_id FROM fx_rois GROUP BY 1 HAVING COUNT(*) = 4)",
+    "read_rois": "SELECT * FROM fx_rois",
     "clamp_rois": """SELECT game_id, cam, roi, cx AS x, cy AS y, GREATEST(1, LEAST(w, 1920 - cx)) AS w, GREATEST(1, LEAST(h, 1080 - cy)) AS h
         FROM (SELECT *, GREATEST(0, LEAST(x, 1919)) AS cx, GREATEST(0, LEAST(y, 1079)) AS cy FROM fx_rois)""",
     "rects_from_corners": """SELECT l_orderkey, l_linenumber, LEAST(a, c) AS x, LEAST(b, d) AS y, ABS(c - a) AS w, ABS(d - b) AS h FROM (
         SELECT *, GREATEST(0, LEAST(x1, 1919)) AS a, GREATEST(0, LEAST(y1, 1079)) AS b, GREATEST(0, LEAST(x2, 1919)) AS c, GREATEST(0, LEAST(y2, 1079)) AS d FROM fx_corners)
         WHERE ABS(c - a) > 3 AND ABS(d - b) > 3""",
-    "complete_rois": """SELECT game_id FROM fx_rois WHERE w % 10 <> 3 GROUP BY 1 HAVING COUNT(DISTINCT (cam, roi)) = 4""",
+    "complete_rois": """SELECT game_id FROM (SELECT game_id, cam, CASE WHEN w % 10 = 3 THEN 'bench' ELSE roi END AS roi FROM fx_rois)
+        WHERE roi IN ('net', 'slot') GROUP BY 1 HAVING COUNT(DISTINCT (cam, roi)) = 4""",
     "pair_sources": """SELECT folder, cam1, cam2 FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder,
         MIN(path) FILTER (path LIKE '%cam1%.mp4') AS cam1, MIN(path) FILTER (path LIKE '%cam2%.mp4') AS cam2 FROM fx_paths GROUP BY 1)
         WHERE cam1 IS NOT NULL AND cam2 IS NOT NULL""",
@@ -425,8 +426,8 @@ SELECTS: dict[str, str] = {
     "merge_markers": "SELECT game_id, frame, color, name, note, duration FROM merge_dst UNION ALL SELECT * FROM merge_new",
     "merge_counts": """SELECT s.game_id, COALESCE(n.c, 0) AS copied, s.c - COALESCE(n.c, 0) AS skipped FROM (SELECT game_id, COUNT(*) AS c FROM merge_src GROUP BY 1) s
         LEFT JOIN (SELECT game_id, COUNT(*) AS c FROM merge_new GROUP BY 1) n USING (game_id)""",
-    "replace_markers": """SELECT game_id, frame, color, name, note, duration FROM merge_dst WHERE game_id NOT IN (SELECT game_id FROM merge_src WHERE game_id % 2 = 0)
-        UNION ALL SELECT DISTINCT game_id, frame, color, name, note, duration FROM merge_src WHERE game_id % 2 = 0""",
+    "replace_markers": """SELECT game_id, frame, color, name, note, duration FROM merge_dst WHERE game_id NOT IN (SELECT game_id FROM merge_src)
+        UNION ALL SELECT DISTINCT game_id, frame, color, name, note, duration FROM merge_src""",
     # Composites
     "detect_v1": "SELECT * FROM final1",
     "detect_v2": "SELECT * FROM final2",

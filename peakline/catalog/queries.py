@@ -106,18 +106,18 @@ def _position(df: DataFrame, *more: str) -> DataFrame:
 
 @query("game_id:i cam:i roi:s x:i y:i w:i h:i")
 def read_rois(spark, sf_dir):
-    """Documents are written first, one per line, from the games that have all four rectangles."""
+    """Documents are written first, one per line; a game may lack rectangles."""
     rois = X.rois(spark, sf_dir)
     rect = F.array(*[F.col(c).cast("double") for c in "xywh"])
 
     def corner(cam, roi):
         return F.first(F.when((F.col("cam") == cam) & (F.col("roi") == roi), rect), ignorenulls=True).alias(roi)
 
-    docs = rois.join(R.complete_rois(rois), "game_id", "left_semi").groupBy(F.col("game_id").cast("string").alias("game_id")).agg(
+    docs = rois.groupBy(F.col("game_id").cast("string").alias("game_id")).agg(
         F.struct(corner(1, "net"), corner(1, "slot")).alias("camera_1"), F.struct(corner(2, "net"), corner(2, "slot")).alias("camera_2"))
     path = _scratch(spark, "rois")
     docs.write.json(path)
-    return R.read_rois(spark, path, multi_line=False)
+    return R.read_rois(spark, path, multi_line=False, strict=False)
 
 
 @query("game_id:i cam:i roi:s x:i y:i w:i h:i")
@@ -132,7 +132,7 @@ def rects_from_corners(spark, sf_dir):
 
 @query("game_id:i")
 def complete_rois(spark, sf_dir):
-    return R.complete_rois(X.rois(spark, sf_dir).filter(F.col("w") % 10 != 3))
+    return R.complete_rois(X.rois_with_holes(spark, sf_dir))
 
 
 @query("folder:s cam1:s cam2:s")
@@ -482,8 +482,7 @@ def merge_counts(spark, sf_dir):
 @query("game_id:i frame:i color:s name:s note:s duration:i")
 def replace_markers(spark, sf_dir):
     """The source covers every second game; the others keep their markers."""
-    src, dst = X.merge_sides(X.markers(spark, sf_dir))
-    return TL.replace_markers(src.filter(F.col("game_id") % 2 == 0), dst)
+    return TL.replace_markers(*X.merge_sides(X.markers(spark, sf_dir)))
 
 
 # Composites --------------------------------------------------------------------------------------

@@ -63,7 +63,7 @@ def test_scaling_a_silent_series(spark):
 
 @pytest.mark.parametrize("segment_s", [0.5, 3.0, 300.0])
 def test_profile_looks_past_chunk_edges(spark, segment_s):
-    """Halo larger than a chunk, and plateaus over several chunks."""
+    """Halo larger than a chunk, and plateaus over several chunks. Only the second detector has a level per segment."""
     cfg = DetectConfig.live(fps=6, segment_s=segment_s, thresh_pct=80)
     x = np.repeat(RNG.integers(0, 5, 40), RNG.integers(1, 9, 40)).astype(float)
     profile = SG.attack_profile(frame(spark, {0: x}), cfg, fused=False)
@@ -71,7 +71,12 @@ def test_profile_looks_past_chunk_edges(spark, segment_s):
     assert column(profile, "smooth", 0) == pytest.approx(s, abs=2e-9)
     assert column(profile, "fwd_min", 0) == pytest.approx([s[i:i + cfg.drop_samples].min() for i in range(len(s))], abs=2e-9)
     seg = cfg.segment_samples
-    assert column(profile, "segment_level", 0) == pytest.approx([np.percentile(s[i // seg * seg:i // seg * seg + seg], 80) for i in range(len(s))], abs=1e-8)
+    assert set(column(profile, "segment_level", 0)) == {None}
+    cfg = cfg.replace(audio_weight=0.0)
+    fused = SG.attack_profile(frame(spark, {0: x}), cfg, fused=True)
+    s = plain.smooth(cfg.flow_weight * (0.7 * x + 0.3 * x / 2) / (np.percentile(0.7 * x + 0.3 * x / 2, 99) + 1e-6), cfg.smooth_win)
+    assert column(fused, "smooth", 0) == pytest.approx(s, abs=2e-9)
+    assert column(fused, "segment_level", 0) == pytest.approx([np.percentile(s[i // seg * seg:i // seg * seg + seg], 80) for i in range(len(s))], abs=1e-8)
 
 
 def test_p99_of_a_missing_camera(spark):
