@@ -50,6 +50,12 @@ def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_to_grid(timed, 1.0 / BIN_S, values=["net", "slot", "audio"], n_samples=0 if last is None else last + 1)
 
 
+def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a point at its own second, the amounts as values."""
+    amount = sum((F.col(c) for c in ("slot", "audio")), F.col("net")).cast("double")
+    return timed_events(spark, sf_dir).select("game_id", "cam", "t_s", amount.alias("amount"))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two cameras per game, ten-minute bins taken as samples, as many as the whole table needs."""
     return cut(event_grid(spark, sf_dir).select("game_id", "cam", "idx", *[F.col(c).cast("double").alias(c) for c in ("net", "slot", "audio")]))

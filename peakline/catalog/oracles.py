@@ -294,6 +294,13 @@ SELECT g.game_id, g.cam, g.idx, CASE WHEN a.t IS NULL THEN b.rms WHEN b.t IS NUL
 FROM audio_grid g LEFT JOIN rms a ON a.game_id = g.game_id AND a.cam = g.cam AND a.k = LEAST(CAST(FLOOR(g.idx / 12.0 / 0.5 - 0.5) AS BIGINT), (SELECT MAX(k) FROM rms))
 LEFT JOIN rms b ON b.game_id = g.game_id AND b.cam = g.cam AND b.k = CAST(FLOOR(g.idx / 12.0 / 0.5 - 0.5) AS BIGINT) + 1"""
 
+CTES["event_points"] = "SELECT game_id, cam, CAST(t_s AS DOUBLE) AS t, MAX(CAST(v AS DOUBLE)) AS v FROM fx_events GROUP BY ALL"
+CTES["event_interp"] = """
+SELECT g.game_id, g.cam, g.idx,
+  round_even((CASE WHEN a.t IS NULL THEN b.v WHEN b.t IS NULL THEN a.v ELSE a.v + (b.v - a.v) * ((g.t - a.t) / (b.t - a.t)) END) * 1e6::DOUBLE, 0) / 1e6::DOUBLE AS amount
+FROM (SELECT game_id, cam, idx, idx / (1.0::DOUBLE / 600.0::DOUBLE) AS t FROM fx_grid) g
+ASOF LEFT JOIN event_points a ON a.game_id = g.game_id AND a.cam = g.cam AND g.t >= a.t
+ASOF LEFT JOIN event_points b ON b.game_id = g.game_id AND b.cam = g.cam AND g.t < b.t"""
 
 
 def _fused_run(v: str, signals: str, frame: str, win: int, segment: int, pct: float, **detector) -> None:
@@ -365,6 +372,7 @@ SELECTS: dict[str, str] = {
     "roi_mean_motion": "SELECT * FROM motion_rois",
     "audio_rms": "SELECT * FROM rms",
     "interp_to_grid": "SELECT * FROM audio_interp",
+    "interp_to_grid_events": "SELECT * FROM event_interp",
     "audio_or_zeros": """SELECT s.game_id, s.cam, s.idx, s.net, s.slot, COALESCE(a.rms, 0) AS audio FROM fx_signals s
         LEFT JOIN audio_interp a ON a.game_id = s.game_id AND a.cam = s.cam AND a.idx = s.idx""",
     "blend_rois": "SELECT game_id, cam, idx, flow FROM flow",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peakline.operators import limits
-from peakline.operators.chunks import CHUNK, HOME, SERIES, explode_range, floor_div, with_halo
+from peakline.operators.chunks import (
+    CHUNK, DEFAULT_CHUNK, FAN_OUT, HOME, SERIES, bucket_prefix, explode_range, floor_div, with_halo)
 from peakline.operators.cut import cut
 from peakline.operators.kernels import frame_diff_energy
 from peakline.operators.workers import shipped
@@ -139,31 +140,43 @@ def series_grid(lengths: DataFrame, length: str = "n") -> DataFrame:
     return explode_range(lengths, F.lit(0), F.col(length) - 1, "idx").drop(length)
 
 
-def interp_to_grid(points: DataFrame, grid: DataFrame, fps: int, win_s: float = 0.5, value: str = "rms") -> DataFrame:
-    """Linear interpolation of window-centre points at idx / fps, clamped outside the points.
+def interp_to_grid(points: DataFrame, grid: DataFrame, fps: float, value: str = "rms", time: str = "t", bucket_s: float | None = None) -> DataFrame:
+    """Linear interpolation of points at idx / fps, clamped outside the points. `grid` holds (keys, idx).
 
-    The spacing is uniform, so a grid sample finds its two neighbours by number: an equi-join on
-    (keys, k), never an ordered merge over a whole series. `grid` holds (keys, idx). The points, one row per
-    window, are computed once.
+    Points may lie anywhere: with gaps, at irregular times, before the first sample or behind the last. Of points at the same time the
+    largest counts; those without a time or a value are left out. A series without points gives nulls.
+
+    Points and samples meet in buckets of `bucket_s` seconds (one chunk of samples, if not given) and look for their neighbours in both
+    directions there; what lies beyond a bucket's edge comes from a fold over the buckets, a row each.
+    The points are computed once.
     """
-    points = cut(points)
-    left = points.select(*SERIES, "k", F.col(value).alias("v0"), F.lit(None).cast("double").alias("v1"))
-    right = points.select(*SERIES, (F.col("k") - 1).alias("k"), F.lit(None).cast("double").alias("v0"), F.col(value).alias("v1"))
-    spans = left.unionByName(right).groupBy(*SERIES, "k").agg(F.max("v0").alias("v0"), F.max("v1").alias("v1"))
-    t = F.col("idx") / F.lit(fps)
-    k = F.floor(t / F.lit(win_s) - F.lit(0.5)).cast("long")
-    # Samples behind the last point take its value: the last span is repeated for every sample
-    # number beyond it that occurs, found from the grid's own highest span number.
-    ends = (points.groupBy(*SERIES).agg(F.max("k").alias("k_last"))
-            .join(grid.groupBy(*SERIES).agg(F.max(k).alias("k_grid")), SERIES))
-    tail = (points.join(ends, SERIES).filter(F.col("k") == F.col("k_last"))
-            .select(*SERIES, F.col(value).alias("v0"), "k_last", "k_grid"))
-    tail = (explode_range(tail, F.col("k_last") + 1, F.col("k_grid"), "k")
-            .select(*SERIES, "k", "v0", F.lit(None).cast("double").alias("v1")))
-    at = (t - (F.col("k") + F.lit(0.5)) * F.lit(win_s)) / F.lit(win_s)
-    between = F.col("v0") + (F.col("v1") - F.col("v0")) * at
-    return (grid.withColumn("k", k).join(spans.unionByName(tail), [*SERIES, "k"], "left")
-            .select(*SERIES, "idx", F.coalesce(between, F.col("v0"), F.col("v1")).alias(value)))
+    seconds = bucket_s or DEFAULT_CHUNK / fps
+    at = F.col("_at")
+    point = F.struct(at.alias("t"), F.col(value).cast("double").alias("v"))
+    known = cut(points.select(*SERIES, F.col(time).cast("double").alias("_at"), value).filter(at.isNotNull() & ~F.isnan(at) & F.col(value).isNotNull())
+                .select(*SERIES, F.floor(at / seconds).cast("long").alias(CHUNK), "_at", point.alias("_point")))
+    samples = (grid.select(*SERIES, "idx").withColumn("_at", F.col("idx") / F.lit(fps))
+               .select(*SERIES, F.floor(at / seconds).cast("long").alias(CHUNK), "_at", "idx"))
+    rows = known.unionByName(samples, allowMissingColumns=True)
+
+    parts = [*SERIES, CHUNK]
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    # A point at the time of a sample comes before it; seen from behind, the sample comes first.
+    ahead = Window.partitionBy(*parts).orderBy("_at", F.col("idx").asc_nulls_first(), "_point").rowsBetween(*upto)
+    behind = Window.partitionBy(*parts).orderBy(F.desc("_at"), F.col("idx").desc_nulls_last(), "_point").rowsBetween(*upto)
+    near = (rows.withColumn("_low", F.last("_point", ignorenulls=True).over(ahead))
+            .withColumn("_high", F.last("_point", ignorenulls=True).over(behind)).filter(F.col("idx").isNotNull()))
+
+    highest = F.struct((-F.col("_point.t")).alias("t"), F.col("_point.v").alias("v"))
+    edges = rows.groupBy(*parts).agg(F.max("_point").alias("_last"), F.max(F.when(F.col("_point").isNotNull(), highest)).alias("_first"))
+    edges = edges.withColumn("_first", F.when(F.col("_first").isNotNull(), F.struct((-F.col("_first.t")).alias("t"), F.col("_first.v").alias("v"))))
+    edges = cut(edges)
+    before = bucket_prefix(edges, SERIES, CHUNK, "_last", "last", "_before").select(*parts, "_before")
+    after = bucket_prefix(edges, SERIES, CHUNK, "_first", "last", "_after", backwards=True).select(*parts, "_after")
+    low, high = F.coalesce("_low", "_before"), F.coalesce("_high", "_after")
+    between = low.v + (high.v - low.v) * ((at - low.t) / (high.t - low.t))
+    return (near.join(before, parts, "left").join(after, parts, "left")
+            .select(*SERIES, "idx", F.coalesce(between, low.v, high.v).alias(value)))
 
 
 def audio_or_zeros(signals: DataFrame, audio: DataFrame, value: str = "rms") -> DataFrame:
@@ -173,13 +186,15 @@ def audio_or_zeros(signals: DataFrame, audio: DataFrame, value: str = "rms") ->
 
 
 def sample_to_grid(df: DataFrame, fps: float, keys: list[str] = SERIES, time_s: str = "t_s",
-                   values: list[str] = ("value",), n_samples: int | None = None, origin_s: float = 0.0) -> DataFrame:
+                   values: list[str] = ("value",), n_samples: int | None = None, origin_s: float = 0.0, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Time-stamped rows onto a dense 1/fps grid: summed per bin, gaps filled with 0.
 
-    Rows and empty grid cells meet in one aggregate, so each row is shuffled once and already
-    combined on the map side. Sample 0 begins at `origin_s`; a row before it is an error. Rows without a
+    Sample 0 begins at `origin_s`; a row before it is an error. Rows without a
     time have no place and are left out. Without `n_samples` each series ends with its own last bin; with it
     the grid is that long, and later rows are cut off.
+
+    Only occupied cells are shuffled. An empty stretch is a run, unfolded afterwards: inside a chunk it follows the cell
+    before it, over chunk edges it is found by a fold over the chunks and dealt to all tasks in blocks.
     """
     keys = list(keys)
     place = F.col(time_s) if origin_s == 0 else F.col(time_s) - F.lit(origin_s)
@@ -188,11 +203,33 @@ def sample_to_grid(df: DataFrame, fps: float, keys: list[str] = SERIES, time_s:
     binned = df.withColumn("idx", F.when(cell < 0, early).otherwise(cell)).filter(F.col("idx").isNotNull())
     if n_samples is not None:
         binned = binned.filter(F.col("idx") < n_samples)
-        lengths = df.select(*keys).distinct().withColumn("n", F.lit(n_samples).cast("long"))
+    cells = cut(occupied_cells(binned, keys, values, chunk))
+    if n_samples is not None:
+        lengths = df.select(*keys).distinct().withColumn("_n", F.lit(n_samples).cast("long"))
     else:
-        lengths = binned.groupBy(*keys).agg((F.max("idx") + 1).alias("n"))
-    kinds = {v: df.schema[v].dataType for v in values}
-    zeros = explode_range(lengths, F.lit(0), F.col("n") - 1, "idx").select(
-        *keys, "idx", *[F.lit(0).cast(kinds[v]).alias(v) for v in values])
-    return (binned.select(*keys, "idx", *values).unionByName(zeros)
-            .groupBy(*keys, "idx").agg(*[F.sum(v).alias(v) for v in values]))
+        lengths = cells.groupBy(*keys).agg((F.max("idx") + 1).alias("_n"))
+
+    own = F.col("idx") == F.col("_cell")
+    zero = lambda v: F.lit(0).cast(cells.schema[v].dataType)
+    inside = explode_range(cells.withColumnRenamed("idx", "_cell"), F.col("_cell"), F.coalesce(F.col("_next") - 1, F.col("_cell")), "idx")
+    filled = inside.select(*keys, "idx", *[F.when(own, F.col(v)).otherwise(zero(v)).alias(v) for v in values])
+    empty = empty_runs(cells, lengths, keys)
+    return filled.unionByName(explode_range(empty, F.col("_from"), F.col("_to"), "idx").select(*keys, "idx", *[zero(v).alias(v) for v in values]))
+
+
+def occupied_cells(binned: DataFrame, keys: list[str], values: list[str], chunk: int) -> DataFrame:
+    """(keys, _chunk, idx, sums, _next): cells with rows, and the next one in the same chunk."""
+    sums = binned.groupBy(*keys, "idx").agg(*[F.sum(v).alias(v) for v in values])
+    return (sums.withColumn(CHUNK, floor_div(F.col("idx"), chunk))
+            .withColumn("_next", F.lead("idx").over(Window.partitionBy(*keys, CHUNK).orderBy("idx"))))
+
+
+def empty_runs(cells: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _from, _to): the empty stretches before, between and behind the chunks' occupied cells, in blocks of FAN_OUT cells, spread."""
+    chunks = cells.groupBy(*keys, CHUNK).agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"))
+    start = lengths.select(*keys, F.lit(-1).cast("long").alias(CHUNK), F.lit(None).cast("long").alias("_first"), F.lit(-1).cast("long").alias("_last"))
+    follow = bucket_prefix(chunks.unionByName(start), keys, CHUNK, "_first", "last", "_follow", backwards=True)
+    runs = follow.join(lengths, keys).select(*keys, (F.col("_last") + 1).alias("_a"), (F.coalesce("_follow", "_n") - 1).alias("_b")).filter("_a <= _b")
+    steps = runs.withColumn("_block", F.explode(F.sequence(floor_div(F.col("_a"), FAN_OUT), floor_div(F.col("_b"), FAN_OUT))))
+    base = F.col("_block") * F.lit(FAN_OUT).cast("long")
+    return steps.repartition(*keys, "_block").select(*keys, F.greatest("_a", base).alias("_from"), F.least(F.col("_b"), base + F.lit(FAN_OUT - 1)).alias("_to"))

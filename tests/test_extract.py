@@ -108,3 +108,61 @@ def test_rects_and_paths(spark):
 def test_scaled_rois(spark):
     df = spark.createDataFrame([(0, 1, "net", 10, 20, 31, 40)], "game_id int, cam int, roi string, x int, y int, w int, h int")
     assert tuple(EX.scale_rois(df, 0.5).first())[3:] == (5, 10, 15, 20) and EX.scale_rois(df) is df
+
+
+@pytest.mark.parametrize("bucket_s", [0.5, 7.0, 1000.0])
+def test_interpolation_between_irregular_points(spark, bucket_s):
+    """Gaps over many buckets, points before the first and behind the last sample, at samples' own times and twice at one time."""
+    t = np.unique(np.concatenate([RNG.random(30) * 20 - 2, [3.0, 3.25, 55.0, 200.0]]))
+    v = RNG.random(len(t))
+    rows = [(0, 1, float(a), float(b)) for a, b in zip(t, v)] + [(0, 1, 3.0, -1.0), (0, 1, None, 9.0), (0, 1, 4.0, None), (0, 1, float("nan"), 9.0), (0, 2, 500.0, 4.0)]
+    points = spark.createDataFrame(rows, "game_id int, cam int, t double, rms double")
+    grid = EX.series_grid(spark.createDataFrame([(0, 1, 400), (0, 2, 3), (1, 1, 2)], "game_id int, cam int, n long"))
+    got = {(r.game_id, r.cam, r.idx): r.rms for r in EX.interp_to_grid(points, grid, fps=4, bucket_s=bucket_s).collect()}
+    assert len(got) == 405
+    assert [got[0, 1, i] for i in range(400)] == pytest.approx(np.interp(np.arange(400) / 4, t, v))
+    assert [got[0, 2, i] for i in range(3)] == [4.0] * 3 and got[1, 1, 0] is None and got[1, 1, 1] is None
+    assert EX.interp_to_grid(points, grid.limit(0), fps=4).isEmpty()
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 3600])
+@pytest.mark.parametrize("n_samples", [None, 9000, 40])
+def test_grid_with_long_gaps(spark, chunk, n_samples):
+    """Gaps inside a chunk, over chunk edges and longer than a block; a series whose rows are all cut off."""
+    at = {(0, 1): [0, 1, 1, 7, 38, 8500], (0, 2): [5], (1, 1): [8000, 8001]}
+    rows = [(g, c, float(i), i + 1) for (g, c), idx in at.items() for i in idx]
+    df = spark.createDataFrame(rows, "game_id int, cam int, t_s double, value long")
+    got = {}
+    for r in EX.sample_to_grid(df, 1, n_samples=n_samples, chunk=chunk).collect():
+        assert got.setdefault((r.game_id, r.cam), {}).setdefault(r.idx, r.value) is r.value
+    for key, idx in at.items():
+        n = n_samples or max(idx) + 1
+        assert sorted(got[key]) == list(range(n))
+        assert {i: v for i, v in got[key].items() if v} == {i: idx.count(i) * (i + 1) for i in set(idx) if i < n}
+
+
+def test_grid_shuffles_cells_and_runs_only(spark):
+    rows = [(0, 1, float(i), 1.0) for i in (3, 100_000, 2_000_000)]
+    df = spark.createDataFrame(rows, "game_id int, cam int, t_s double, value double").withColumn("idx", F.col("t_s").cast("long"))
+    cells = EX.occupied_cells(df, ["game_id", "cam"], ["value"], 3600)
+    lengths = cells.groupBy("game_id", "cam").agg((F.max("idx") + 1).alias("_n"))
+    assert cells.count() == 3 and EX.empty_runs(cells, lengths, ["game_id", "cam"]).count() <= 2_000_000 / 4096 + 4
+    assert EX.sample_to_grid(df, 1).count() == 2_000_001
+
+
+def test_frame_differences_of_mixed_shapes():
+    """Sizes and rectangles change from frame to frame; lanes of sums are filled to the brim."""
+    import pandas as pd
+
+    from peakline.operators.kernels import frame_diff_energy
+
+    shapes = [(300, 200), (8, 8), (300, 200), (1, 1), (64, 129), (8, 8), (1029, 1100), (1029, 1100)]
+    a = [np.full(w * h, 255, np.uint8) if i % 3 == 0 else RNG.integers(0, 256, w * h).astype(np.uint8) for i, (w, h) in enumerate(shapes)]
+    b = [np.zeros(w * h, np.uint8) if i % 3 == 0 else RNG.integers(0, 256, w * h).astype(np.uint8) for i, (w, h) in enumerate(shapes)]
+    rects = [[(int(RNG.integers(0, w)), int(RNG.integers(0, h))) for w, h in shapes] for _ in range(2)]
+    frames = [pd.DataFrame([(x, y, w - x, h - y) for (x, y), (w, h) in zip(r, shapes)], columns=list("xywh")) for r in rects]
+    got = frame_diff_energy(pd.Series([x.tobytes() for x in a]), pd.Series([x.tobytes() for x in b]), pd.Series([w for w, _ in shapes]), pd.Series([h for _, h in shapes]), *frames)
+    for i, (w, h) in enumerate(shapes):
+        d = np.abs(a[i].astype(int) - b[i].astype(int)).reshape(h, w)
+        assert got.iloc[i].tolist() == [d[f.y[i]:, f.x[i]:].sum() for f in frames] + [d.sum()]
+    assert frame_diff_energy(*[pd.Series([], dtype=object)] * 2, *[pd.Series([], dtype=int)] * 2, *[f.iloc[:0] for f in frames]).empty
