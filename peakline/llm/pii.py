@@ -1,10 +1,11 @@
 """Personal data by weak supervision, in column expressions only.
 
-Exact patterns find addresses, IP numbers, cards and phones; those spans always stand. Looser candidates (long digit groups,
-spelled-out addresses) are sought in the text between those and voted on by labelers: patterns, gazetteers and the words around. Expectation-maximisation over the
-counts of vote patterns estimates how reliable each labeler is, and a logistic span classifier is trained on the resulting
-posteriors. Candidates it accepts are added. The votes are a handful of values from a fixed set, so what reaches the driver
-is one count per vote pattern, at most 3 ** (number of labelers) rows whatever the corpus.
+Exact patterns find addresses, IP numbers, cards and phones; those spans always stand. Looser candidates are sought in the text between those and voted on by
+labelers: patterns, gazetteers and the words around. There are two families of candidates, each with labelers of its own: numbers (long digit groups, spelled-out addresses)
+and secrets (long strings of letters and digits, and whatever is assigned to a password, token or key). Expectation-maximisation over the
+counts of vote patterns estimates how reliable each labeler of a family is, and a logistic span classifier is trained on the resulting
+posteriors. Candidates it accepts are added, and so are bank accounts (IBAN) whose check digits hold. The votes are a handful of values from a fixed set, so what reaches the driver
+is one count per vote pattern, at most 3 ** (number of labelers) rows a family whatever the corpus.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from peakline.llm.common import stored, whole_text
 
-#: Kinds in the order in which spans are listed; `id` are accepted candidates of no exact kind.
-KINDS = ("email", "ip", "card", "phone", "id")
+#: Kinds in the order in which spans are listed; `id` are accepted numbers of no exact kind.
+KINDS = ("email", "ip", "card", "phone", "id", "secret", "iban")
+ID, SECRET_KIND, IBAN_KIND = 4, 5, 6
 
 # Fixed by the definition of the exact spans. Possessive quantifiers and the guards in front change no match: they keep the patterns
 # linear and free of recursion on very long runs. A guard allows a start only where a run begins or the previous match ended.
@@ -43,7 +46,17 @@ ISSUER = r"^(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9
 DIALLING = r"^\+(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
 DATE = r"^(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{2,4})(?:\x20[0-9].*)?$"
 
+#: Secrets: strings of letters and digits as keys are written, or anything without white space that is assigned to one of the words.
+SECRET_WORD = r"token|secret|passw(?:or)?d|passwort|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|contraseña|clave|kennwort|mot\x20de\x20passe"
+ASSIGN = r"[\"']?\x20{0,3}(?:[:=]|:=|=>)\x20{0,3}[\"'`]?"
+SECRET = rf"(?:(?<![A-Za-z0-9_+/.@-])|\G)[A-Za-z0-9_+/-]{{16,}}+={{0,2}}|(?<=(?i:{SECRET_WORD}){ASSIGN})[^\x20\x09-\x0D\"'`<>,;]{{6,}}+"
+#: Public formats of access keys.
+KEY_FORMAT = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35})$"
+NO_SECRET = "commit|sha|sha1|sha256|md5|hash|checksum|digest|etag|revision|uuid|guid|doi|isbn|integrity"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+
 LABELERS = ("pattern", "card_issuer", "dialling_code", "mail_host", "contact_word", "other_word", "date", "grouping", "embedded")
+SECRET_LABELERS = ("key_format", "announced", "mixture", "words", "variety")
 
 
 @dataclass(frozen=True)
@@ -123,6 +136,42 @@ def _votes(text: Column, start: Column, end: Column, hit: Column) -> Column:
         vote(F.lit(False), around.rlike(r"[\p{L}_0-9]")))
 
 
+def _secret_votes(text: Column, start: Column, hit: Column) -> Column:
+    """Votes on one possible secret, in the order of SECRET_LABELERS."""
+    before = F.lower(F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40))))
+    letters, numbers = F.length(F.regexp_replace(hit, "[^A-Za-z]", "")), F.length(digits(hit))
+    variety = F.size(F.array_distinct(F.split(hit, "")))
+    named = before.rlike(rf"(?<![\p{{L}}])(?:{NO_SECRET})[\x20:.#=\"'(-]*$|://$")  # as something that is no secret
+    vote = lambda yes, no=F.lit(False): F.when(yes, 1).when(no, -1).otherwise(0)
+    return F.array(
+        vote(hit.rlike(KEY_FORMAT) & ~named, named),
+        vote(before.rlike(rf"(?:{SECRET_WORD})[a-z0-9_-]{{0,12}}{ASSIGN}$|bearer\x20{{1,3}}$"), ~before.rlike(rf"{ASSIGN}$") | before.rlike(r"^$")),
+        vote((letters >= 4) & (numbers >= 3), (letters == 0) | (numbers == 0)),
+        vote(F.lit(False), hit.rlike(r"^[A-Za-z]+[0-9]{0,4}(?:[-_/+][A-Za-z0-9]{1,12})+$|^[A-Za-z]+[0-9]{0,2}$")),
+        vote((F.length(hit) >= 20) & (variety >= 10), variety < 5))
+
+
+def iban_ok(hit: Column) -> Column:
+    """Whether the check digits of a bank account number hold: the number behind its country, letters as 10 to 35, leaves 1 modulo 97."""
+    plain = F.regexp_replace(hit, "\x20", "")
+    turned = F.filter(F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), ""), lambda c: c != "")
+    step = lambda rest, c: F.when(c.rlike("[0-9]"), (rest * 10 + c.cast("int")) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
+    return F.length(plain).between(15, 34) & (F.aggregate(turned, F.lit(0), step) == 1)
+
+
+def secrets(text: Column, left: Column) -> Column:
+    """Array of (start, end, votes) of the strings in `left` that may be secrets."""
+    found = F.filter(located(left, SECRET), lambda x: x["hit"].rlike("[^0-9+/=-]"))
+    listed_ = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _secret_votes(text, x["start"], x["hit"]).alias("votes")))
+    return F.when(left.rlike("[:=]|[A-Za-z0-9_+/-]{16}"), listed_).otherwise(F.array().cast("array<struct<start:int,end:int,votes:array<int>>>"))
+
+
+def accounts(text: Column) -> Column:
+    """Array of spans of bank accounts."""
+    found = F.filter(located(text, IBAN), lambda x: iban_ok(x["hit"]))
+    return F.transform(found, lambda x: F.struct(F.lit(IBAN_KIND).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+
 def _without(text: Column, spans: Column) -> Column:
     """The text with line breaks in place of every span, so that all positions stay."""
     blank = lambda t, s: F.overlay(t, F.repeat(F.lit("\n"), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"])
@@ -163,43 +212,35 @@ def anchors(text: Column, base: Column) -> Column:
     return F.transform(F.filter(base, lambda s: s["kind"] > 0), lambda s: _votes(text, s["start"], s["end"], F.substring(text, s["start"] + 1, s["end"] - s["start"])))
 
 
-def _sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
-
-
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, steps: int = 400) -> SpanModel:
-    """The span model from (votes, count) of every vote pattern.
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, steps: int = 400, labelers: int = len(LABELERS)) -> SpanModel:
+    """The span model of one family from (votes, count) of every vote pattern.
 
     EM with two classes: labelers vote independently given the class, each with its own chances of voting for, against or
     not at all; it starts from the majority of votes, and one added count keeps every chance above zero. The class of what the
-    exact patterns decide is known and anchors the others: their matches are personal data, numbers failing a check digit are not. The classifier is then fitted to the
-    posteriors by gradient steps on the logistic loss with a small ridge. Without candidates the model accepts nothing.
+    first labeler, an exact pattern, decides is known and anchors the others: its matches are personal data; numbers failing a check digit, and strings announced as a hash or a link, are not. The classifier is then fitted to the
+    posteriors by gradient steps on the logistic loss with a small ridge. Without candidates the model accepts nothing. A fit is `rounds` and `steps`
+    passes over a table of at most 3 ** labelers rows: 19,683 rows of nine votes take two seconds.
     """
-    k = len(LABELERS)
-    total = sum(n for _, n in patterns)
-    if not total:
+    k = labelers
+    if not sum(n for _, n in patterns):
         return SpanModel(-10.0, (0.0,) * k, (0.0,) * k, ((0.5, 0.5),) * k)
-    known = [{1: 1.0, -1: 0.0}.get(v[0]) for v, _ in patterns]
-    belief = [_sigmoid(2.0 * sum(v) - 1.0) if fixed is None else fixed for (v, _), fixed in zip(patterns, known, strict=True)]
+    votes, n = np.array([v for v, _ in patterns]), np.array([float(c) for _, c in patterns])
+    total, sigmoid = n.sum(), lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+    is_ = np.stack([votes == side for side in (-1, 0, 1)], axis=2).astype(float)
+    anchored, known = votes[:, 0] != 0, (votes[:, 0] == 1).astype(float)
+    belief = np.where(anchored, known, sigmoid(2.0 * votes.sum(axis=1) - 1.0))
     for _ in range(rounds):
-        sides = []
-        for side in (lambda b: b, lambda b: 1 - b):
-            mass = sum(side(b) * n for b, (_, n) in zip(belief, patterns, strict=True))
-            chance = [{s: (1 + sum(side(b) * n for b, (v, n) in zip(belief, patterns, strict=True) if v[j] == s)) / (mass + 3) for s in (-1, 0, 1)} for j in range(k)]
-            sides.append(((mass + 1) / (total + 2), chance))
-        (prior, yes), (rest, no) = sides
-        belief = [_sigmoid(math.log(prior / rest) + sum(math.log(yes[j][v[j]] / no[j][v[j]]) for j in range(1, k))) if fixed is None else fixed
-                  for (v, _), fixed in zip(patterns, known, strict=True)]
-    weights = [0.0] * (2 * k + 1)
-    rows = [([1.0, *(float(s == 1) for s in v), *(float(s == -1) for s in v)], b, n / total) for (v, n), b in zip(patterns, belief, strict=True)]
+        mass = np.stack([belief, 1 - belief]) * n
+        chance = (1 + np.einsum("sp,pjv->sjv", mass, is_)) / (mass.sum(axis=1) + 3)[:, None, None]
+        prior = (mass.sum(axis=1) + 1) / (total + 2)
+        gain = np.log(chance[0] / chance[1])
+        belief = np.where(anchored, known, sigmoid(np.log(prior[0] / prior[1]) + (is_[:, 1:] * gain[1:]).sum(axis=(1, 2))))
+    x = np.column_stack([np.ones(len(votes)), votes == 1, votes == -1]).astype(float)
+    weights = np.zeros(2 * k + 1)
     for _ in range(steps):
-        slope = [0.001 * w for w in weights]
-        for x, b, share in rows:
-            off = share * (_sigmoid(sum(w * a for w, a in zip(weights, x, strict=True))) - b)
-            for j, a in enumerate(x):
-                slope[j] += off * a
-        weights = [w - 1.5 * s for w, s in zip(weights, slope, strict=True)]
-    return SpanModel(weights[0], tuple(weights[1:k + 1]), tuple(weights[k + 1:]), tuple((yes[j][1] / (yes[j][1] + no[j][1]), no[j][-1] / (yes[j][-1] + no[j][-1])) for j in range(k)))
+        weights -= 1.5 * (0.001 * weights + (n / total * (sigmoid(x @ weights) - belief)) @ x)
+    right = [(float(yes[2] / (yes[2] + no[2])), float(no[0] / (yes[0] + no[0]))) for yes, no in zip(*chance, strict=True)]
+    return SpanModel(float(weights[0]), tuple(weights[1:k + 1].tolist()), tuple(weights[k + 1:].tolist()), tuple(right))
 
 
 def accepted(votes: Column, model: SpanModel, threshold: float) -> Column:
@@ -219,18 +260,22 @@ def find(docs: DataFrame, threshold: float = 0.9, *, id_col: str = "doc_id", tex
     """
     text, base = F.col("text"), F.col("base")
     exact = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).select("doc_id", "text", exact_spans(text).alias("base"))
-    found = stored(exact.select("doc_id", "base", candidates(text, base).alias("candidates"), anchors(text, base).alias("anchors")))
+    left = _without(text, base)
+    found = stored(exact.select("doc_id", "base", candidates(text, base).alias("candidates"), anchors(text, base).alias("anchors"), secrets(text, left).alias("secrets"), accounts(text).alias("accounts")))
     # Stretches of a long run overlap, so of those only what a pattern finds is an example.
     examples = F.concat("anchors", F.transform(F.filter("candidates", lambda c: ~c["part"] | (c["votes"][0] == 1)), lambda c: c["votes"]))
-    votes = found.select(F.explode(examples).alias("votes")).groupBy("votes").count()
-    model = fit(sorted((tuple(r["votes"]), r["count"]) for r in votes.collect()))
+    family = lambda kind, votes: F.transform(votes, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("votes")))
+    each = found.select(F.explode(F.concat(family(ID, examples), family(SECRET_KIND, F.transform("secrets", lambda c: c["votes"])))).alias("e"))
+    counted = sorted((r["kind"], tuple(r["votes"]), r["count"]) for r in each.groupBy("e.kind", "e.votes").count().collect())
+    model, secret_model = (fit([(v, n) for kind, v, n in counted if kind == family_], labelers=len(names)) for family_, names in ((ID, LABELERS), (SECRET_KIND, SECRET_LABELERS)))
     found = found.withColumn("taken", F.filter("candidates", lambda c: accepted(c["votes"], model, threshold)))
     # What a pattern finds in a long run stands; other stretches must not touch it nor lie in a longer one.
     touch = lambda c, o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & ((o["start"] != c["start"]) | (o["end"] != c["end"]))
     within = lambda c, o: (o["start"] <= c["start"]) & (c["end"] <= o["end"])
     stands = lambda c: ~c["part"] | (c["votes"][0] == 1) | ~F.exists("taken", lambda o: o["part"] & touch(c, o) & ((o["votes"][0] == 1) | within(c, o)))
     added = F.transform(F.filter("taken", stands), lambda c: F.struct(F.lit(KINDS.index("id")).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"), F.size("candidates").alias("rows"))
+    hidden = F.transform(F.filter("secrets", lambda c: accepted(c["votes"], secret_model, threshold)), lambda c: F.struct(F.lit(SECRET_KIND).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.array_distinct(F.concat("base", added, hidden, "accounts"))).alias("spans"), (F.size("candidates") + F.size("secrets")).alias("rows"))
 
 
 def listed(spans: Column) -> Column:

@@ -44,7 +44,7 @@ def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     counts = [F.size(F.filter(F.col("base")["kind"], (lambda kind: lambda x: x == kind)(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

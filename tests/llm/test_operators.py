@@ -426,6 +426,35 @@ def test_pii_finds_numbers_side_by_side(make):
     assert {f"id:{row.index(n)}:{row.index(n) + 16}" for n in ("7536784127813050", "4845168114407329")} <= set(spans[5])
 
 
+def test_pii_secrets_and_accounts(make):
+    """Planted keys, passwords and accounts of seeded texts are found whole; hashes, paths, links, prose and broken check digits are left alone."""
+    rng = __import__("random").Random(11)
+    key = lambda n, letters="0123456789abcdef": "".join(rng.choice(letters) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted, clean = {}, {}
+    for i in range(40):
+        secret = [key(40), key(32, mixed) + "7aB1", "AKIA" + key(16, "ABCDEFGH0123456789"), "tr0ub4dor&3" + key(4)][i % 4]
+        lead = ['token = "{}" ende', "api_key: {} und", "{} allein", "é😀 password={}\n"][i % 4]
+        text = "some words before " + lead.format(secret) + " and behind"
+        planted[i] = (text, f"secret:{text.index(secret)}:{text.index(secret) + len(secret)}")
+        clean[100 + i] = [f"commit {key(40)} of the tree", "see src/main/java/com/example1/thing2 there", "at https://host.example/" + "a" * 3, "uncharacteristically internationalisation = good", f"sha256: {key(64)} file", "DE89 3704 0044 0532 0130 01 is wrong"][i % 6]
+    planted[40] = ("pay to DE89 3704 0044 0532 0130 00, thanks", "iban:7:34")
+    planted[41] = ("IBAN GB82WEST12345698765432", "iban:5:27")
+    docs = make([*((i, t) for i, (t, _) in planted.items()), *clean.items(), (200, 'token = "'), (201, 'token = "' + "ab1" * 20000), (202, "=" * 5000 + "_" * 5000), (203, None)])
+    got = {i: v[0][0].split(",") for i, v in by_id(pii.find(docs).withColumn("all", pii.listed(pii.F.col("spans"))), "all").items()}
+    assert {i: want for i, (_, want) in planted.items() if want not in got[i]} == {}
+    assert {i: got[i] for i in clean if any(s.startswith(("secret", "iban")) for s in got[i])} == {}
+    assert got[200] == got[202] == got[203] == [""]
+    masked = by_id(pii.mask(docs), "text")
+    assert masked[0] == [('some words before token = "<SECRET>" ende and behind',)] and masked[40] == [("pay to <IBAN>, thanks",)]
+
+
+def test_pii_fit_reports_reliabilities():
+    model = pii.fit([((1, 1, 1, 0, 1), 50), ((0, 1, 1, 0, 1), 400), ((-1, -1, 1, 0, 1), 300), ((0, -1, -1, -1, 0), 900)], labelers=5)
+    assert model.reliability[1] > (0.95, 0.95) and model.votes_for[1] > 1 and model.votes_against[1] < -1
+    assert pii.fit([], labelers=5).bias < -5
+
+
 def test_pii_mask(make):
     docs = make([(1, "to a@b.cd or 1.2.3.4, end"), (2, None), (3, "plain"), (4, "+1 (555) 123-4567"), (5, "")])
     got = pii.mask(docs)
