@@ -49,7 +49,8 @@ DATE = r"^(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-.
 #: Secrets: strings of letters and digits as keys are written, or anything without white space that is assigned to one of the words.
 SECRET_WORD = r"token|secret|passw(?:or)?d|passwort|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|contraseña|clave|kennwort|mot\x20de\x20passe"
 ASSIGN = r"[\"']?\x20{0,3}(?:[:=]|:=|=>)\x20{0,3}[\"'`]?"
-SECRET = rf"(?:(?<![A-Za-z0-9_+/.@-])|\G)[A-Za-z0-9_+/-]{{16,}}+={{0,2}}|(?<=(?i:{SECRET_WORD}){ASSIGN})[^\x20\x09-\x0D\"'`<>,;]{{6,}}+"
+ANNOUNCED = rf"(?i:{SECRET_WORD})[A-Za-z0-9_-]{{0,12}}{ASSIGN}"
+SECRET = rf"{ANNOUNCED}[^\x20\x09-\x0D\"'`<>,;]{{6,}}+|(?:(?<![A-Za-z0-9_+/.@-])|\G)[A-Za-z0-9_+/-]{{16,}}+={{0,2}}"
 #: Public formats of access keys.
 KEY_FORMAT = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35})$"
 NO_SECRET = "commit|sha|sha1|sha256|md5|hash|checksum|digest|etag|revision|uuid|guid|doi|isbn|integrity"
@@ -145,7 +146,7 @@ def _secret_votes(text: Column, start: Column, hit: Column) -> Column:
     vote = lambda yes, no=F.lit(False): F.when(yes, 1).when(no, -1).otherwise(0)
     return F.array(
         vote(hit.rlike(KEY_FORMAT) & ~named, named),
-        vote(before.rlike(rf"(?:{SECRET_WORD})[a-z0-9_-]{{0,12}}{ASSIGN}$|bearer\x20{{1,3}}$"), ~before.rlike(rf"{ASSIGN}$") | before.rlike(r"^$")),
+        vote(before.rlike(rf"{ANNOUNCED}$|bearer\x20{{1,3}}$"), ~before.rlike(rf"{ASSIGN}$") | before.rlike(r"^$")),
         vote((letters >= 4) & (numbers >= 3), (letters == 0) | (numbers == 0)),
         vote(F.lit(False), hit.rlike(r"^[A-Za-z]+[0-9]{0,4}(?:[-_/+][A-Za-z0-9]{1,12})+$|^[A-Za-z]+[0-9]{0,2}$")),
         vote((F.length(hit) >= 20) & (variety >= 10), variety < 5))
@@ -161,9 +162,15 @@ def iban_ok(hit: Column) -> Column:
 
 def secrets(text: Column, left: Column) -> Column:
     """Array of (start, end, votes) of the strings in `left` that may be secrets."""
-    found = F.filter(located(left, SECRET), lambda x: x["hit"].rlike("[^0-9+/=-]"))
-    listed_ = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _secret_votes(text, x["start"], x["hit"]).alias("votes")))
-    return F.when(left.rlike("[:=]|[A-Za-z0-9_+/-]{16}"), listed_).otherwise(F.array().cast("array<struct<start:int,end:int,votes:array<int>>>"))
+    def of(left: Column) -> Column:
+        # What announces a secret is not part of it.
+        bare = F.transform(located(left, SECRET), lambda x: F.struct(x["end"].alias("end"), F.regexp_replace(x["hit"], rf"^{ANNOUNCED}(?=[^\x20\"'`]{{6}})", "").alias("hit")))
+        placed = F.transform(bare, lambda x: F.struct((x["end"] - F.length(x["hit"])).alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
+        voted = F.transform(F.filter(placed, lambda x: x["hit"].rlike("[^0-9+/=-]")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _secret_votes(text, x["start"], x["hit"]).alias("votes")))
+        any_ = left.rlike("[A-Za-z0-9_+/-]{16}") | (left.rlike("[:=]") & left.rlike(f"(?i:{SECRET_WORD})"))
+        return F.when(any_, voted).otherwise(F.array().cast("array<struct<start:int,end:int,votes:array<int>>>"))
+
+    return F.transform(F.array(left), of)[0]
 
 
 def accounts(text: Column) -> Column:
