@@ -203,17 +203,18 @@ def sample_to_grid(df: DataFrame, fps: float, keys: list[str] = SERIES, time_s:
     binned = df.withColumn("idx", F.when(cell < 0, early).otherwise(cell)).filter(F.col("idx").isNotNull())
     if n_samples is not None:
         binned = binned.filter(F.col("idx") < n_samples)
-    cells = cut(occupied_cells(binned, keys, values, chunk))
+    cells = occupied_cells(binned, keys, values, chunk)
     if n_samples is not None:
         lengths = df.select(*keys).distinct().withColumn("_n", F.lit(n_samples).cast("long"))
     else:
-        lengths = cells.groupBy(*keys).agg((F.max("idx") + 1).alias("_n"))
+        lengths = binned.groupBy(*keys).agg((F.max("idx") + 1).alias("_n"))
 
     own = F.col("idx") == F.col("_cell")
     zero = lambda v: F.lit(0).cast(cells.schema[v].dataType)
     inside = explode_range(cells.withColumnRenamed("idx", "_cell"), F.col("_cell"), F.coalesce(F.col("_next") - 1, F.col("_cell")), "idx")
     filled = inside.select(*keys, "idx", *[F.when(own, F.col(v)).otherwise(zero(v)).alias(v) for v in values])
-    empty = empty_runs(cells, lengths, keys)
+    # The ends of the chunks come from the times alone: a second, narrower scan, combined before its shuffle.
+    empty = empty_runs(binned.select(*keys, "idx", floor_div(F.col("idx"), chunk).alias(CHUNK)), lengths, keys)
     return filled.unionByName(explode_range(empty, F.col("_from"), F.col("_to"), "idx").select(*keys, "idx", *[zero(v).alias(v) for v in values]))
 
 
@@ -224,9 +225,9 @@ def occupied_cells(binned: DataFrame, keys: list[str], values: list[str], chunk:
             .withColumn("_next", F.lead("idx").over(Window.partitionBy(*keys, CHUNK).orderBy("idx"))))
 
 
-def empty_runs(cells: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _from, _to): the empty stretches before, between and behind the chunks' occupied cells, in blocks of FAN_OUT cells, spread."""
-    chunks = cells.groupBy(*keys, CHUNK).agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"))
+def empty_runs(placed: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _from, _to) from rows placed by `idx` and chunk: the empty stretches before, between and behind the chunks' occupied cells, in blocks of FAN_OUT cells, spread."""
+    chunks = placed.groupBy(*keys, CHUNK).agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"))
     start = lengths.select(*keys, F.lit(-1).cast("long").alias(CHUNK), F.lit(None).cast("long").alias("_first"), F.lit(-1).cast("long").alias("_last"))
     follow = bucket_prefix(chunks.unionByName(start), keys, CHUNK, "_first", "last", "_follow", backwards=True)
     runs = follow.join(lengths, keys).select(*keys, (F.col("_last") + 1).alias("_a"), (F.coalesce("_follow", "_n") - 1).alias("_b")).filter("_a <= _b")
